@@ -93,10 +93,14 @@ def order_hash(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The sampling operator: ``n`` rows chosen by key and seed, the same ones
-    on every run. Each partition keeps its best ``n`` before they are merged."""
-    return df.orderBy(order_hash(key, seed), F.col(key)).limit(n)
+def sample_rows(
+    df: DataFrame, key: str, n: int, seed: int = 42, order: Column | None = None
+) -> DataFrame:
+    """The sampling operator: ``n`` rows chosen by key and seed (or by another
+    row order), the same ones on every run. Each partition keeps its best ``n``
+    before they are merged."""
+    order = order_hash(key, seed) if order is None else order
+    return df.orderBy(order, F.col(key)).limit(n)
 
 
 def hash_split(df: DataFrame, key: str, shares: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:

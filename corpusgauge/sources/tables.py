@@ -15,14 +15,20 @@ from ..operators.ingestion import REPORT_SCHEMA, compare_reports, overall_status
 
 
 def read_csv(
-    spark: SparkSession, paths: Sequence[str], schema: str | T.StructType, **options: object
+    spark: SparkSession,
+    paths: Sequence[str],
+    schema: str | T.StructType,
+    multi_line: bool = False,
+    **options: object,
 ) -> DataFrame:
     """First readable of several CSV locations, with a header and a declared
-    schema (no inference pass over the data). Quoted fields may span lines."""
+    schema (no inference pass over the data). ``multi_line`` allows line breaks
+    inside quoted fields; a file is then read by one task, so leave it off
+    where the data does not need it."""
     last: Exception | None = None
     for path in paths:
         try:
-            reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             for k, v in options.items():
                 reader = reader.option(k, v)
             return reader.schema(schema).csv(path)
