@@ -220,7 +220,7 @@ def e15(spark, sf):
 
 
 @query(
-    "e12_token_buckets",
+    "b12_token_buckets",
     f"""with {DS}, t as (select dataset, len({split_sql('text')}) as n from ds),
         b as (select dataset, case when n <= 10 then '0-10' when n <= 20 then '11-20' when n <= 30 then '21-30' when n <= 50 then '31-50' when n <= 100 then '51-100' else '100+' end as bucket, count(*) as n from t group by 1, 2),
         o(bucket, position) as (values ('0-10', 1), ('11-20', 2), ('21-30', 3), ('31-50', 4), ('51-100', 5), ('100+', 6))

@@ -501,15 +501,20 @@ def c6(spark, sf):
 
 @query(
     "c7_set_difference",
-    """select user_id, 'view only' as side from (select user_id from events where event_type = 'view' except select user_id from events where event_type = 'error')
-       union all select user_id, 'error only' from (select user_id from events where event_type = 'error' except select user_id from events where event_type = 'view')""",
+    """with u as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT'),
+            l as (select distinct o_custkey from orders where o_orderpriority = '5-LOW')
+       select o_custkey, 'urgent only' as side from u where o_custkey not in (select o_custkey from l)
+       union all select o_custkey, 'low only' from l where o_custkey not in (select o_custkey from u)""",
 )
 def c7(spark, sf):
     """Both one-sided differences of two key lists in one outer join."""
-    ev = table(spark, sf, "events").select("user_id", "event_type")
-    one = lambda t, c: ev.filter(F.col("event_type") == t).select("user_id").distinct().withColumn(c, F.lit(1))
-    j = one("view", "a").join(one("error", "b"), "user_id", "full_outer").filter("a IS NULL OR b IS NULL")
-    return j.select("user_id", F.when(F.col("b").isNull(), "view only").otherwise("error only").alias("side"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority")
+
+    def keys(priority, mark):
+        return o.filter(F.col("o_orderpriority") == priority).select("o_custkey").distinct().withColumn(mark, F.lit(1))
+
+    j = keys("1-URGENT", "a").join(keys("5-LOW", "b"), "o_custkey", "full_outer").filter("a IS NULL OR b IS NULL")
+    return j.select("o_custkey", F.when(F.col("b").isNull(), "urgent only").otherwise("low only").alias("side"))
 
 
 @query(

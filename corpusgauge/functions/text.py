@@ -23,6 +23,7 @@ TOKEN = WORD + "{2,}"
 PUNCT = r"[!-/:-@\[\]^_`{|}~]"
 EMAIL = r"(?U)\b[\w.-]+@[\w.-]+\.\w{2,4}\b"
 REPEAT = r"(?U)\b(\w+)( \1\b)+"
+TO_END = 1_000_000_000  # "to the end" for slice
 UNSAFE_PATH = r"[^\p{L}\p{N}_-]+"
 
 # Display order of the document-length buckets.
@@ -62,12 +63,17 @@ def without(tokens: Column, words: Sequence[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams of a token array; empty when it is too short."""
+    """Space-joined n-grams of a token array; empty when it is too short. The
+    array is zipped with itself shifted, which stays linear in its length
+    however the expression is inlined."""
     if n == 1:
         return tokens
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    grams = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, grams).otherwise(_no_tokens())
+    out = tokens
+    for shift in range(1, n):
+        later = F.slice(tokens, shift + 1, TO_END)
+        # past the end the partner is NULL and so is the joined value
+        out = F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def n_tokens(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
-from .common import broadcast_if_small
+from ..functions.text import TO_END
 
 NOT_JUDGED = "error"
 # Trigrams sent to every executor at most; beyond this the join shuffles.
@@ -25,21 +25,24 @@ def letters(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}]+", " ")
 
 
-def trigrams(c: Column | str) -> Column:
-    """Overlapping three-character pieces of the letters, blanks included."""
-    c = F.col(c) if isinstance(c, str) else c
-    starts = F.sequence(F.lit(1), F.char_length(c) - 2)
-    grams = F.transform(starts, lambda i: F.substring(c, i, F.lit(3)))
-    return F.when(F.char_length(c) >= 3, grams).otherwise(F.array().cast("array<string>"))
+def trigram_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row ``(keep..., gram)`` per three neighbouring characters. The
+    characters are zipped with themselves shifted, which is linear in the
+    length of a text; taking substrings by position would be quadratic."""
+    chars = F.split(letters(text), "")
+    triple = F.arrays_zip(
+        chars.alias("a"), F.slice(chars, 2, TO_END).alias("b"), F.slice(chars, 3, TO_END).alias("c")
+    )
+    return (
+        df.select(*keep, F.explode(triple).alias("z"))
+        .select(*keep, F.concat("z.a", "z.b", "z.c").alias("gram"))
+        .filter(F.col("gram").isNotNull())
+    )
 
 
 def language_profile(df: DataFrame, text: str, lang: str, languages: Sequence[str]) -> DataFrame:
     """One row per trigram with its count in every language."""
-    grams = (
-        df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-        .select(lang, letters(text).alias("t"))
-        .select(lang, F.explode(trigrams("t")).alias("gram"))
-    )
+    grams = trigram_rows(df.filter(F.col(lang).isNotNull()), text, lang)
     return grams.groupBy("gram").agg(
         *[count_if(F.col(lang) == F.lit(x)).alias(f"c{i}") for i, x in enumerate(languages)]
     )
@@ -48,9 +51,10 @@ def language_profile(df: DataFrame, text: str, lang: str, languages: Sequence[st
 def detect_language(
     df: DataFrame, key: str, text: str, profile: DataFrame, languages: Sequence[str]
 ) -> DataFrame:
-    """``(key, language)``: NULL for NULL text, ``error`` for text without
-    three letters in a row of characters to judge, else the language with the
-    highest add-one smoothed log-likelihood (first in order on a tie)."""
+    """``(key, language)``: NULL for NULL text, ``error`` for text too short to
+    judge, else the language with the highest add-one smoothed log-likelihood
+    (first in order on a tie). ``profile`` is read twice; store it first
+    (:func:`~corpusgauge.session.cut_lineage`)."""
     m = len(languages)
     # two scalars per language and the number of known trigrams shape the plan
     tot = profile.agg(
@@ -61,15 +65,12 @@ def detect_language(
     logs = profile.select(
         "gram", *[F.ln((F.col(f"c{i}") + 1) * F.lit(floor[i])).alias(f"l{i}") for i in range(m)]
     )
-    logs = broadcast_if_small(logs, PROFILE_ROWS)
+    if v <= PROFILE_ROWS:
+        logs = F.broadcast(logs)
 
-    pieces = (
-        df.select(key, letters(text).alias("t"))
-        .select(key, F.explode(trigrams("t")).alias("gram"))
-        .filter(F.col("gram") != F.lit("   "))
-    )
     scored = (
-        pieces.join(logs, "gram", "left")
+        trigram_rows(df, text, key)
+        .join(logs, "gram", "left")
         .groupBy(key)
         .agg(
             *[
