@@ -1 +1,192 @@
-"""Placeholder."""
+"""Label clean-up, gates and input controls (K)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..datasets import DATASET
+from ..functions import labels as Lb
+from ..operators import controls as K
+from ..operators import evaluation as E
+from .registry import LANGS, PRED, SPACE_SQL, predictions, query, table
+
+_KINDS = """case doc_id % 8 when 0 then lang when 1 then 'Label: ' || upper(lang) || '.' when 2 then '  the category is "' || lang || '"'
+  when 3 then lang || ' - surely' when 4 then 'unknown' when 5 then 'Category: ' || lang || ' ' || source when 6 then source || lang || ' and a rather long explanation'
+  else 'predicted label: ' || lang || ';' end"""
+RAW = f"raw as (select doc_id, lang, {_KINDS} as answer from documents)"
+_CLASSES = "['de', 'en', 'es', 'fr']"
+
+
+def raw_labels(spark, sf):
+    """Free-text answers derived from the true language."""
+    k, lang, source = F.col("doc_id") % 8, F.col("lang"), F.col("source")
+    answer = (
+        F.when(k == 0, lang)
+        .when(k == 1, F.concat(F.lit("Label: "), F.upper(lang), F.lit(".")))
+        .when(k == 2, F.concat(F.lit('  the category is "'), lang, F.lit('"')))
+        .when(k == 3, F.concat(lang, F.lit(" - surely")))
+        .when(k == 4, "unknown")
+        .when(k == 5, F.concat(F.lit("Category: "), lang, F.lit(" "), source))
+        .when(k == 6, F.concat(source, lang, F.lit(" and a rather long explanation")))
+        .otherwise(F.concat(F.lit("predicted label: "), lang, F.lit(";")))
+    )
+    return table(spark, sf, "documents").select("doc_id", "lang", answer.alias("answer"))
+
+
+_TRIM = f"'^{SPACE_SQL}|{SPACE_SQL}$', '', 'g'"
+_PREFIX = "case " + " ".join(
+    f"when starts_with(lower(a), '{p}') then regexp_replace(substring(a, {len(p) + 1}), {_TRIM})" for p in Lb.PREFIXES
+) + " else a end"
+K1_SQL = f"""{RAW}, k0 as (select *, regexp_replace(answer, {_TRIM}) as a from raw), k1 as (select * exclude (a), {_PREFIX} as a from k0),
+k2 as (select * exclude (a), regexp_replace(regexp_replace(a, '[.,;"'']+$', ''), {_TRIM}) as a from k1),
+k3 as (select doc_id, lang, answer, case when list_contains({_CLASSES}, a) then a
+   when list_contains({_CLASSES}, lower(a)) then lower(a)
+   when len(list_filter({_CLASSES}, lambda x: contains(lower(a), x) and length(a) - length(x) < 20)) > 0
+     then list_filter({_CLASSES}, lambda x: contains(lower(a), x) and length(a) - length(x) < 20)[1] else a end as label from k2)"""
+
+
+@query("k1_normalise_label", f"with {K1_SQL} select doc_id, answer, label from k3")
+def k1(spark, sf):
+    return raw_labels(spark, sf).select("doc_id", "answer", Lb.normalise_label("answer", LANGS).alias("label"))
+
+
+K2_SQL = f"""{RAW}, g as (select doc_id, lang, case when doc_id % 31 = 0 then null when doc_id % 37 = 0 then '  ' else answer end as answer from raw),
+k0 as (select *, regexp_replace(answer, {_TRIM}) as a from g),
+k2 as (select doc_id, lang, case when answer is null then 'MISSING_PRED' when a = '' then 'EMPTY_PRED' when list_contains({_CLASSES}, a) then a
+  when len(list_filter({_CLASSES}, lambda x: contains(a, x))) > 0 then list_filter({_CLASSES}, lambda x: contains(a, x))[1] else a end as label from k0)"""
+
+
+def _gaps(spark, sf):
+    d = F.col("doc_id")
+    return raw_labels(spark, sf).withColumn(
+        "answer",
+        F.when(d % 31 == 0, F.lit(None).cast("string")).when(d % 37 == 0, "  ").otherwise(F.col("answer")),
+    )
+
+
+@query("k2_match_label", f"with {K2_SQL} select doc_id, label from k2")
+def k2(spark, sf):
+    return _gaps(spark, sf).select("doc_id", Lb.match_label("answer", LANGS).alias("label"))
+
+
+@query(
+    "k3_mark_invalid",
+    f"with {K1_SQL} select doc_id, case when list_contains({_CLASSES}, label) and doc_id % 41 > 0 then label else 'INVALID_PREDICTION' end as label from k3",
+)
+def k3(spark, sf):
+    """NULL labels stand for failed calls."""
+    found = F.when(F.col("doc_id") % 41 > 0, Lb.normalise_label("answer", LANGS))
+    return raw_labels(spark, sf).select("doc_id", Lb.mark_invalid(found, LANGS).alias("label"))
+
+
+@query(
+    "k3_report_with_invalid",
+    f"""with {K1_SQL}, x as (select lang as y_true, case when list_contains({_CLASSES}, label) then label else 'INVALID_PREDICTION' end as y_pred from k3)
+        select label, (select count(*) from x where y_true = label)::double as support, (select count(*) from x where y_pred = label) as predicted
+        from (values ('INVALID_PREDICTION'), ('de'), ('en'), ('es'), ('fr')) l(label)""",
+)
+def k3_report(spark, sf):
+    found = Lb.mark_invalid(Lb.normalise_label("answer", LANGS), LANGS)
+    df = raw_labels(spark, sf).select(F.lit("all").alias(DATASET), F.col("lang").alias("y_true"), found.alias("y_pred"))
+    cf = E.confusion(df, "y_true", "y_pred")
+    report = E.classification_report(cf, labels=Lb.report_labels(LANGS)).filter("section = 0")
+    predicted = E.class_counts(cf).select("label", "predicted")
+    return report.join(predicted, "label", "left").select(
+        "label", "support", F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted")
+    )
+
+
+@query(
+    "k4_macro_precision",
+    f"""with {K2_SQL}, l(c) as (values ('de'), ('en'), ('es'), ('fr'), ('it')), p as (select c, coalesce((select count(*) filter (where lang = label) / nullif(count(*), 0) from k2 where label = c), 0) as p from l)
+        select 'all' as dataset, (select count(*) from k2) as n, round(avg(p), 6) as score from p""",
+)
+def k4(spark, sf):
+    """Over a fixed class list, one class of which never occurs."""
+    df = _gaps(spark, sf).select(
+        F.lit("all").alias(DATASET), F.col("lang").alias("t"), Lb.match_label("answer", LANGS).alias("p")
+    )
+    return E.macro_precision_score(E.confusion(df, "t", "p"), [*LANGS, "it"])
+
+
+@query(
+    "k5_exact_match",
+    f"with {K1_SQL} select 'all' as dataset, count(*) as n, round(avg((list_contains({_CLASSES}, label) and label = lang)::int), 6) as score from k3",
+)
+def k5(spark, sf):
+    df = raw_labels(spark, sf).select(
+        F.lit("all").alias(DATASET), "lang", Lb.normalise_label("answer", LANGS).alias("label")
+    )
+    return E.exact_match_score(df, "lang", "label", LANGS)
+
+
+@query(
+    "k6_definition_text",
+    """with c as (select lang, count(*) || ' documents' as d from documents group by 1)
+       select 'Here are the definitions for each class:' || chr(10) || string_agg('- **' || lang || '**: ' || d || chr(10), '' order by lang) as definitions from c""",
+)
+def k6(spark, sf):
+    c = table(spark, sf, "documents").groupBy("lang").agg(
+        F.concat(F.count(F.lit(1)).cast("string"), F.lit(" documents")).alias("d")
+    )
+    return K.definition_text(c, "lang", "d")
+
+
+@query(
+    "k7_confidence_gate",
+    f"""with {PRED} select dataset, case when confidence >= 0.5 then 'accept' else 'review' end as route, count(*) as n,
+        round(avg((y_true = y_pred)::int), 6) as precision, round(count(*) / sum(count(*)) over (partition by dataset), 6) as coverage from pred group by 1, 2""",
+)
+def k7(spark, sf):
+    return E.confidence_gate(predictions(spark, sf), "y_true", "y_pred", "confidence")
+
+
+_CENTROIDS = """t as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select label::varchar as label, i, avg(x) as m, var_pop(x) as v from t where vec_id % 2 = 0 group by 1, 2)"""
+
+
+def _centroids(spark, sf):
+    return K.class_centroids(table(spark, sf, "embeddings").filter("vec_id % 2 = 0"), "embedding", "label")
+
+
+@query(
+    "k8_similarity_gate",
+    f"""with {_CENTROIDS}, s as (select vec_id, c.label as nearest, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) as similarity from t join c using (i) group by 1, 2)
+        select vec_id, nearest, round(similarity, 6) as similarity, case when similarity >= 0.3 then 'accept' else 'review' end as route from s
+        qualify row_number() over (partition by vec_id order by similarity desc, nearest desc) = 1""",
+)
+def k8(spark, sf):
+    """Centroids of one half of the vectors, gate on all of them."""
+    return K.similarity_gate(table(spark, sf, "embeddings"), "embedding", _centroids(spark, sf), 0.3, ["vec_id"])
+
+
+@query(
+    "k8_distance_gate",
+    f"""with {_CENTROIDS}, s as (select vec_id, c.label as nearest, sqrt(sum((x - m) * (x - m) / (v + 1e-9))) as distance from t join c using (i) group by 1, 2)
+        select vec_id, nearest, round(distance, 6) as distance, case when distance <= 8 then 'accept' else 'review' end as route from s
+        qualify row_number() over (partition by vec_id order by distance, nearest) = 1""",
+)
+def k8_distance(spark, sf):
+    return K.distance_gate(table(spark, sf, "embeddings"), "embedding", _centroids(spark, sf), 8.0, ["vec_id"])
+
+
+_STATUS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
+
+
+@query(
+    "k10_closest_label",
+    """with q as (select c_custkey, lower(case when c_custkey % 3 = 0 then left(c_mktsegment, length(c_mktsegment) - 2) when c_custkey % 3 = 1 then c_mktsegment || 's' else replace(c_mktsegment, 'I', 'y') end) as a from customer),
+       l(label, pos) as (values ('BUILDING', 0), ('AUTOMOBILE', 1), ('MACHINERY', 2), ('HOUSEHOLD', 3), ('FURNITURE', 4)),
+       s as (select c_custkey, label, pos, levenshtein(a, lower(label))::int as distance from q, l)
+       select c_custkey, distance, label from s qualify row_number() over (partition by c_custkey order by distance, pos) = 1""",
+)
+def k10(spark, sf):
+    """Misspelt segments against the list of segments."""
+    k, seg = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    typo = (
+        F.when(k == 0, F.substring(seg, F.lit(1), F.char_length(seg) - 2))
+        .when(k == 1, F.concat(seg, F.lit("s")))
+        .otherwise(F.replace(seg, F.lit("I"), F.lit("y")))
+    )
+    df = table(spark, sf, "customer").select("c_custkey", Lb.closest_label(typo, _STATUS).alias("x"))
+    return df.select("c_custkey", "x.distance", "x.label")
