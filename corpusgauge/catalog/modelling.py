@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..datasets import DATASET
@@ -30,19 +30,13 @@ def j1(spark, sf):
 @query("j1_tfidf_vectors")
 def j1_ml(spark, sf):
     """Spark ML features; every non-empty row has length 1."""
-    from pyspark.ml.functions import vector_to_array
-
     df = table(spark, sf, "documents").select("doc_id", "text")
     model = features.fit_tfidf(df, "text", 2000)
-    v = vector_to_array(features.tfidf(model, df, "text")["features"])
-    return (
-        features.tfidf(model, df, "text")
-        .withColumn("v", v)
-        .select(
-            "doc_id",
-            F.size(F.filter("v", lambda x: x != 0)).alias("n_terms"),
-            F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length"),
-        )
+    v = features.tfidf(model, df, "text").select("doc_id", vector_to_array("features").alias("v"))
+    return v.select(
+        "doc_id",
+        F.size(F.filter("v", lambda x: x != 0)).alias("n_terms"),
+        F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length"),
     )
 
 

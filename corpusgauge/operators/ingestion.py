@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..datasets import DatasetSet, kind_of
 from ..functions.columns import row_text
+from ..session import bounded_rows, cut_lineage
 from .quality import describe_numeric, describe_text, null_profile
 
 REPORT_SCHEMA = "section string, column string, position int, stat string, value string"
@@ -33,6 +34,7 @@ REPORT_SCHEMA = "section string, column string, position int, stat string, value
 FLAT_ROWS = 200_000
 TREE_LEAVES = 4096
 ONE = "table"
+REPORT_ROWS = 100_000
 
 
 # -- hashes -------------------------------------------------------------------
@@ -171,7 +173,11 @@ def validation_report(
     out = spark.createDataFrame(fixed + hash_rows, REPORT_SCHEMA)
     for p in parts:
         out = out.unionByName(p)
-    return out.filter(F.col("value").isNotNull())
+    out = out.filter(F.col("value").isNotNull())
+    # A report is taken once and then read by every check. Its size follows the
+    # number of columns, not of rows; one too large to fetch is stored instead.
+    rows = bounded_rows(out, REPORT_ROWS)
+    return cut_lineage(out) if rows is None else spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
 # -- comparison ---------------------------------------------------------------
