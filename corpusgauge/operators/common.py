@@ -15,6 +15,24 @@ from ..session import bounded_rows
 BROADCAST_GROUPS = 20_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small table before CPU-heavy text work.
+
+    A file of one row group is one task however many cores wait. When the
+    planner's size estimate is below one full-sized split per core, the rows
+    are dealt out evenly, which moves little. Larger tables already have more
+    splits than that and are left where they are: no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    split = 128 * 1024 * 1024
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # no planner at hand (Spark Connect)
+        return df
+    return df.repartition(cores) if size < cores * split else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Broadcast a key table after fetching at most ``limit`` rows proved that
     it is small; a larger one is returned as it is, for an ordinary join."""

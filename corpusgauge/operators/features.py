@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from ..functions.columns import ratio
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN, word_tokens
+from .common import spread
 
 VOCABULARY = 5000
 
@@ -77,7 +78,8 @@ def tfidf_terms(
     docs = df.filter(F.col(text).isNotNull())
     n_docs = docs.count()
     tf = (
-        docs.select(key, F.explode(word_tokens(text, stop_words)).alias("term"))
+        spread(docs.select(key, text))
+        .select(key, F.explode(word_tokens(text, stop_words)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

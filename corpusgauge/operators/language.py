@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
 from ..functions.text import TO_END
+from .common import spread
 
 NOT_JUDGED = "error"
 # Trigrams sent to every executor at most; beyond this the join shuffles.
@@ -34,7 +35,8 @@ def trigram_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
         chars.alias("a"), F.slice(chars, 2, TO_END).alias("b"), F.slice(chars, 3, TO_END).alias("c")
     )
     return (
-        df.select(*keep, F.explode(triple).alias("z"))
+        spread(df.select(*keep, text))
+        .select(*keep, F.explode(triple).alias("z"))
         .select(*keep, F.concat("z.a", "z.b", "z.c").alias("gram"))
         .filter(F.col("gram").isNotNull())
     )

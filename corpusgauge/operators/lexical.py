@@ -16,7 +16,7 @@ from ..datasets import DATASET, DatasetSet
 from ..functions.columns import count_if, ratio
 from ..functions.stopwords import ENGLISH
 from ..functions.text import basic_tokens, ngrams, raw_tokens, strip_punctuation, without, word_tokens
-from .common import top_per
+from .common import spread, top_per
 
 TOP_TERMS = 20
 MIN_ROWS_PER_CLASS = 10
@@ -36,7 +36,7 @@ def _wide_counts(ds: DatasetSet, text: str, tokens: Column) -> tuple[DataFrame,
     comparing their vocabularies takes one shuffle and no join."""
     cols = {n: f"n{i}" for i, n in enumerate(ds.names)}
     wide = (
-        ds.long([text])
+        spread(ds.long([text]))
         .select(DATASET, F.explode(tokens).alias("token"))
         .groupBy("token")
         .agg(*[count_if(F.col(DATASET) == F.lit(n)).alias(c) for n, c in cols.items()])
@@ -46,7 +46,7 @@ def _wide_counts(ds: DatasetSet, text: str, tokens: Column) -> tuple[DataFrame,
 
 def vocabulary_size(ds: DatasetSet, text: str, reference: str) -> DataFrame:
     """Distinct tokens and all tokens of the reference dataset."""
-    tok = token_counts(ds.only([reference]).long([text]), basic_tokens(text))
+    tok = token_counts(spread(ds.only([reference]).long([text])), basic_tokens(text))
     return tok.groupBy(DATASET).agg(
         F.count(F.lit(1)).alias("vocabulary"), F.sum("n").alias("tokens")
     )
@@ -84,7 +84,7 @@ def oov_rate_against(ds: DatasetSet, text: str, vocabulary: DataFrame, column: s
     """Case-sensitive rate against a given word list, 2 decimals, 0 on no text.
 
     Both sides are one row per word, so the join is free of hot keys."""
-    tok = token_counts(ds.long([text]), raw_tokens(text))
+    tok = token_counts(spread(ds.long([text])), raw_tokens(text))
     known = vocabulary.select(F.col(column).alias("token")).distinct().withColumn("known", F.lit(True))
     return (
         tok.join(known, "token", "left")
@@ -99,7 +99,7 @@ def oov_rate_against(ds: DatasetSet, text: str, vocabulary: DataFrame, column: s
 
 def type_token_ratio(ds: DatasetSet, text: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
     """Distinct over all tokens in percent, stop words left out."""
-    tok = token_counts(ds.long([text]), without(basic_tokens(text), stop_words))
+    tok = token_counts(spread(ds.long([text])), without(basic_tokens(text), stop_words))
     return (
         tok.groupBy(DATASET)
         .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
@@ -117,7 +117,7 @@ def type_token_ratio_by_class(
     """Type-token ratio per class; classes with fewer rows are left out."""
     ds = ds.only(ds.members_with(text, label))
     df = (
-        ds.long([text, label])
+        spread(ds.long([text, label]))
         .filter(F.col(text).isNotNull() & F.col(label).isNotNull())
         .withColumn("label", F.col(label).cast("string"))
     )
@@ -138,7 +138,7 @@ def diversity(ds: DatasetSet, text: str) -> DataFrame:
     The entropy is ``log2(N) - sum(n log2 n) / N``, which needs no total
     beforehand."""
     spark = ds.frames[ds.names[0]].sparkSession
-    tok = token_counts(ds.long([text]), raw_tokens(text))
+    tok = token_counts(spread(ds.long([text])), raw_tokens(text))
     sums = tok.groupBy(DATASET).agg(
         F.sum("n").alias("tokens"),
         F.count(F.lit(1)).alias("words"),
@@ -161,7 +161,7 @@ def diversity(ds: DatasetSet, text: str) -> DataFrame:
 
 def common_words(ds: DatasetSet, text: str, top_n: int = 30) -> DataFrame:
     """Most frequent white-space words once punctuation is stripped."""
-    tok = token_counts(ds.long([text]), raw_tokens(strip_punctuation(text)))
+    tok = token_counts(spread(ds.long([text])), raw_tokens(strip_punctuation(text)))
     return top_per(tok, [DATASET], top_n, F.desc("n"), F.col("token")).select(DATASET, "rank", "token", "n")
 
 
@@ -175,7 +175,7 @@ def top_ngrams(
 ) -> DataFrame:
     """Most frequent n-grams per dataset, or per dataset and class, over all
     rows; stop words go before the n-grams are formed."""
-    df = ds.long(list(dict.fromkeys([text, *by]))).filter(F.col(text).isNotNull())
+    df = spread(ds.long(list(dict.fromkeys([text, *by])))).filter(F.col(text).isNotNull())
     for b in by:
         df = df.filter(F.col(b).isNotNull()).withColumn(b, F.col(b).cast("string"))
     keys = [DATASET, *by]
