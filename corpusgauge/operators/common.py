@@ -60,11 +60,11 @@ def attach_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> Data
     return df.join(right, cond).drop(*[f"__g{i}" for i in range(len(keys))])
 
 
-def attach_dataset_total(counts: DataFrame, n: str = "n", out: str = "total") -> DataFrame:
-    """Add the dataset's sum of ``n``. The right side has one row per declared
-    dataset (at most ``MAX_DATASETS``), which is why it may be broadcast."""
-    totals = counts.groupBy(DATASET).agg(F.sum(n).alias(out))
-    return counts.join(F.broadcast(totals), DATASET)
+def per_dataset(df: DataFrame, **measures: Column) -> dict[str, dict]:
+    """A few scalars per dataset that shape the plan after them, as
+    ``{dataset: {measure: value}}``; at most ``MAX_DATASETS`` rows."""
+    rows = df.groupBy(DATASET).agg(*[c.alias(n) for n, c in measures.items()]).collect()
+    return {r[DATASET]: r.asDict() for r in rows}
 
 
 def top_per(df: DataFrame, by: Sequence[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:

@@ -38,17 +38,19 @@ def class_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     )
 
 
-def _with_centroids(df: DataFrame, centroids: DataFrame) -> DataFrame:
+def _with_centroids(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
     """Give every row the array of class centroids: one broadcast row whose
     size is checked. Class lists are short; a table of centroids that fails the
     check is no class list and is refused."""
     size = centroids.agg(F.sum(F.size("centroid") * 2).alias("n"), F.count(F.lit(1)).alias("k")).head()
     if (size["n"] or 0) > CENTROID_NUMBERS:
         raise ValueError(f"{size['k']} centroids are too large to give to every row")
-    one = centroids.groupBy(F.lit(1).alias("__one")).agg(
-        F.array_sort(F.collect_list(F.struct("label", "centroid", "variance"))).alias("__centroids")
+    one = centroids.agg(
+        F.array_sort(F.collect_list(F.struct("label", "centroid", "variance"))).alias("__centroids"),
+        F.max(F.col("centroid").isNotNull()).alias("__has"),
     )
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+    # rows that have a vector meet the one row of centroids
+    return df.withColumn("__has", F.col(vector).isNotNull()).join(F.broadcast(one), "__has", "left").drop("__has")
 
 
 def similarity_gate(
@@ -63,7 +65,7 @@ def similarity_gate(
     )
     best = F.array_max(F.filter(scored, lambda s: s["similarity"].isNotNull()))
     return (
-        _with_centroids(df, centroids)
+        _with_centroids(df, vector, centroids)
         .withColumn("__best", best)
         .select(
             *keep,
@@ -98,7 +100,7 @@ def distance_gate(
     )
     best = F.array_min(scored)
     return (
-        _with_centroids(df, centroids)
+        _with_centroids(df, vector, centroids)
         .withColumn("__best", best)
         .select(
             *keep,

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..datasets import DATASET, DatasetSet
 from ..functions.columns import as_col, count_if, lookup, missing_to_null, ratio
-from .common import attach_dataset_total, attach_groups, top_per
+from .common import attach_groups, per_dataset, top_per
 from .quantiles import exact_quantiles, quantile_columns
 
 TOP_CATEGORIES = 40
@@ -33,13 +33,25 @@ def value_counts(
         df = df.withColumn("value", F.coalesce("value", F.lit(MISSING_LABEL)))
     else:
         df = df.filter(F.col("value").isNotNull())
+    totals = per_dataset(df, total=F.count(F.lit(1)))
     counts = df.groupBy(DATASET, "value").agg(F.count(F.lit(1)).alias("n"))
-    share = ratio(F.col("n"), F.col("total"))
-    return attach_dataset_total(counts).select(
+    share = ratio(F.col("n"), _scalar(totals, "total", "long"))
+    return counts.select(
         DATASET, "value", "n", (share if digits is None else F.round(share, digits)).alias("proportion")
     )
 
 
+def _scalar(table: dict[str, dict], name: str, dtype: str = "double") -> Column:
+    """A measure of :func:`per_dataset` as a column."""
+    return lookup(DATASET, {d: m[name] for d, m in table.items()}).cast(dtype)
+
+
+def _usable(df: DataFrame, column: str) -> dict[str, dict]:
+    """Rows of the datasets in which the column is not all missing."""
+    found = per_dataset(df, total=F.count(F.lit(1)), seen=F.count(column))
+    return {d: m for d, m in found.items() if m["seen"] > 0}
+
+
 def _order_column(column: Column, order: Sequence[str]) -> Column:
     pos = F.array_position(F.array(*[F.lit(o) for o in order]), column)
     return F.when(pos > 0, pos.cast("int"))
@@ -57,12 +69,10 @@ def discrete_distribution(
     has no rows."""
     v = F.col(f"`{column}`").cast("string")
     df = ds.long([column]).select(DATASET, v.alias("raw"))
-    counts = (
-        df.groupBy(DATASET, F.coalesce("raw", F.lit(MISSING_LABEL)).alias("category"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count("raw").alias("n_seen"))
+    df = df.filter(F.col(DATASET).isin(*_usable(df, "raw")))
+    counts = df.groupBy(DATASET, F.coalesce("raw", F.lit(MISSING_LABEL)).alias("category")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    usable = counts.groupBy(DATASET).agg(F.sum("n_seen").alias("seen"))
-    counts = counts.join(F.broadcast(usable), DATASET).filter("seen > 0")
     if order is not None:
         counts = counts.filter(F.col("category").isin(*order))
     kept = top_per(counts, [DATASET], max_categories, F.desc("n"), F.col("category"))
@@ -86,15 +96,16 @@ def compare_discrete(
     the sum when a display order restricts them. Empty unless two datasets have
     usable values."""
     df = ds.long([column]).select(DATASET, F.col(f"`{column}`").cast("string").alias("raw"))
+    usable = _usable(df, "raw")
+    if len(usable) < 2:
+        usable = {}
     counts = (
-        df.groupBy(DATASET, F.coalesce("raw", F.lit(MISSING_LABEL)).alias("category"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count("raw").alias("n_seen"))
+        df.filter(F.col(DATASET).isin(*usable))
+        .groupBy(DATASET, F.coalesce("raw", F.lit(MISSING_LABEL)).alias("category"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = counts.groupBy(DATASET).agg(F.sum("n").alias("total"), F.sum("n_seen").alias("seen"))
-    # declared datasets only, so this is at most MAX_DATASETS rows
-    totals = totals.filter("seen > 0").withColumn("members", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
-    props = counts.join(F.broadcast(totals), DATASET).filter("members >= 2").select(
-        DATASET, "category", "n", ratio(F.col("n"), F.col("total")).alias("proportion")
+    props = counts.select(
+        DATASET, "category", "n", ratio(F.col("n"), _scalar(usable, "total", "long")).alias("proportion")
     )
     if order is None:
         weight = F.avg("proportion")
@@ -161,17 +172,11 @@ def _numbers(ds: DatasetSet, column: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def value_ranges(numbers: DataFrame) -> dict[str, tuple[float, float]]:
-    """Smallest and largest ``x`` per dataset: two scalars that shape the plan."""
-    rows = numbers.groupBy(DATASET).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    return {r[DATASET]: (r["lo"], r["hi"]) for r in rows}
-
-
 def histogram(ds: DatasetSet, column: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram between each dataset's smallest and largest value,
     with density; empty bins are kept."""
     x = _numbers(ds, column)
-    ranges = value_ranges(x)
+    ranges = {d: (m["lo"], m["hi"]) for d, m in per_dataset(x, lo=F.min("x"), hi=F.max("x")).items()}
     schema = f"{DATASET} string, lo double, width double"
     edges = []
     for name, (lo, hi) in ranges.items():
@@ -243,36 +248,23 @@ def density_curve(ds: DatasetSet, column: str, points: int = 200, cut: float = 3
     points on its own partition, so only sums are shuffled.
     """
     x = _numbers(ds, column)
-    stats = (
-        x.groupBy(DATASET)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.stddev_samp("x").alias("std"),
-            F.min("x").alias("lo"),
-            F.max("x").alias("hi"),
-        )
-        .filter("n > 1 AND std > 0")
-        .withColumn("h", F.col("std") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    )
-    grid = stats.select(
-        DATASET,
-        "n",
-        "h",
-        (F.col("lo") - cut * F.col("h")).alias("start"),
-        ((F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("step"),
-    )
-    values = x.groupBy(DATASET, "x").agg(F.count(F.lit(1)).alias("c"))
-    z = (F.col("start") + F.col("i") * F.col("step") - F.col("x")) / F.col("h")
+    found = per_dataset(x, n=F.count(F.lit(1)), std=F.stddev_samp("x"), lo=F.min("x"), hi=F.max("x"))
+    curves = {}
+    for name, m in found.items():
+        if m["n"] > 1 and m["std"] > 0:
+            h = m["std"] * m["n"] ** -0.2
+            start = m["lo"] - cut * h
+            curves[name] = {"n": m["n"], "h": h, "start": start, "step": (m["hi"] - m["lo"] + 2 * cut * h) / (points - 1)}
+    n, h, start, step = (_scalar(curves, c) for c in ("n", "h", "start", "step"))
+    values = x.filter(F.col(DATASET).isin(*curves)).groupBy(DATASET, "x").agg(F.count(F.lit(1)).alias("c"))
+    at = start + F.col("point") * step
+    z = (at - F.col("x")) / h
     return (
-        values.join(F.broadcast(grid), DATASET)
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(DATASET, "i", "start", "step", "n", "h")
+        values.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .groupBy(DATASET, "point")
         .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
         .select(
-            DATASET,
-            F.col("i").alias("point"),
-            (F.col("start") + F.col("i") * F.col("step")).alias("at"),
-            (F.col("s") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
+            DATASET, "point", at.alias("at"), (F.col("s") / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")
         )
     )
 
@@ -427,24 +419,27 @@ def year_buckets(
     than ``threshold`` distinct years; empty buckets are kept then."""
     size = max(1, size)
     years = year_counts(ds, column)
-    agg = years.groupBy(DATASET).agg(
-        F.count(F.lit(1)).alias("n_years"), F.min("year").alias("lo"), F.max("year").alias("hi")
-    )
-    step = F.when(F.col("n_years") > threshold, size).otherwise(1)
-    frame = agg.select(DATASET, "lo", "hi", step.alias("step"), (F.col("n_years") > threshold).alias("bucketed"))
-    grid = frame.filter("bucketed").select(
-        DATASET, "step", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.col("step"))).alias("first")
-    )
+    # one row per dataset and year from here on
+    w = W.partitionBy(DATASET)
+    years = years.select(
+        DATASET,
+        "year",
+        "n",
+        F.min("year").over(w).alias("lo"),
+        F.max("year").over(w).alias("hi"),
+        (F.count(F.lit(1)).over(w) > threshold).alias("bucketed"),
+    ).withColumn("step", F.when(F.col("bucketed"), size).otherwise(1))
     at = (F.col("lo") + F.floor((F.col("year") - F.col("lo")) / F.col("step")) * F.col("step")).cast("int")
-    counted = (
-        years.join(F.broadcast(frame), DATASET)
-        .groupBy(DATASET, "step", at.alias("first"))
-        .agg(F.sum("n").alias("n"))
+    counted = years.select(DATASET, "step", at.alias("first"), "n")
+    empty = years.filter("bucketed AND year = lo").select(
+        DATASET, "step", F.explode(F.sequence(F.col("lo"), F.col("hi"), F.col("step"))).alias("first"),
+        F.lit(0).cast("long").alias("n"),
     )
     last = F.col("first") + F.col("step") - 1
-    label = F.when(last > F.col("first"), F.concat_ws("-", "first", last)).otherwise(
-        F.col("first").cast("string")
-    )
-    return counted.join(grid, [DATASET, "step", "first"], "full_outer").select(
-        DATASET, "first", label.alias("label"), F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    label = F.when(last > F.col("first"), F.concat_ws("-", "first", last)).otherwise(F.col("first").cast("string"))
+    return (
+        counted.unionByName(empty)
+        .groupBy(DATASET, "step", "first")
+        .agg(F.sum("n").alias("n"))
+        .select(DATASET, "first", label.alias("label"), "n")
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..datasets import DATASET, DatasetSet, column_plan
 from ..functions.columns import lookup, ratio
@@ -26,13 +27,9 @@ def pair_discrete(pair: DatasetSet, column: str, **kw) -> DataFrame:
 def pair_continuous(pair: DatasetSet, column: str) -> DataFrame:
     """Box statistics of both sides; no rows unless both have values."""
     boxes = box_stats(pair, column)
-    both = boxes.groupBy(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("sides"))
-    # one row per side; the aggregate is a single row
-    return (
-        boxes.withColumn("one", F.lit(1))
-        .join(F.broadcast(both.filter("sides = 2")), "one")
-        .drop("one", "sides")
-    )
+    # one row per side
+    sides = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    return boxes.withColumn("sides", sides).filter("sides = 2").drop("sides")
 
 
 def pair_datetime(

@@ -68,26 +68,23 @@ def class_names(cf: DataFrame, dataset: str | None = None) -> list[str]:
 def class_list_check(cf: DataFrame, names: Sequence[str]) -> DataFrame:
     """Whether each dataset has the class list of the first one."""
     lists = cf.groupBy(DATASET).agg(F.array_sort(F.collect_set("y_true")).alias("classes"))
-    first = lists.filter(F.col(DATASET) == F.lit(names[0])).select(F.col("classes").alias("reference"))
-    first = first.withColumn("one", F.lit(1))
-    return (
-        lists.withColumn("one", F.lit(1))
-        .join(F.broadcast(first), "one", "left")
-        .select(
-            DATASET,
-            F.size("classes").alias("n_classes"),
-            F.array_join("classes", ",").alias("classes"),
-            (F.col("classes") == F.col("reference")).alias("same_as_first"),
-        )
+    # one row per dataset
+    first = F.max(F.when(F.col(DATASET) == F.lit(names[0]), F.col("classes"))).over(W.partitionBy(F.lit(0)))
+    return lists.select(
+        DATASET,
+        F.size("classes").alias("n_classes"),
+        F.array_join("classes", ",").alias("classes"),
+        (F.col("classes") == first).alias("same_as_first"),
     )
 
 
 # -- per class ----------------------------------------------------------------
 
 
-def class_counts(cf: DataFrame, by: Sequence[str] = (DATASET,)) -> DataFrame:
+def class_counts(cf: DataFrame, by: Sequence[str] = (DATASET,), missing: bool = False) -> DataFrame:
     """tp, predicted and support per class, for every label that occurs as a
-    true or a predicted one."""
+    true or a predicted one. ``missing`` keeps the row of NULL labels, with
+    which support sums to the number of rows."""
     sides = F.array(
         F.struct(
             F.col("y_true").alias("label"),
@@ -102,12 +99,11 @@ def class_counts(cf: DataFrame, by: Sequence[str] = (DATASET,)) -> DataFrame:
             F.col("n").alias("predicted"),
         ),
     )
-    return (
-        cf.select(*by, F.explode(sides).alias("s"))
-        .select(*by, "s.*")
-        .filter(F.col("label").isNotNull())
-        .groupBy(*by, "label")
-        .agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("support").alias("support"))
+    cells = cf.select(*by, F.explode(sides).alias("s")).select(*by, "s.*")
+    if not missing:
+        cells = cells.filter(F.col("label").isNotNull())
+    return cells.groupBy(*by, "label").agg(
+        F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("support").alias("support")
     )
 
 
@@ -120,15 +116,23 @@ def with_rates(counts: DataFrame, empty: float | None = 0.0) -> DataFrame:
     )
 
 
-def _listed(counts: DataFrame, labels: str | Sequence[str]) -> DataFrame:
-    """Restrict to the labels a report averages over."""
+def _is_listed(labels: str | Sequence[str]) -> Column:
+    """Whether a label is one a report averages over."""
+    known = F.col("label").isNotNull()
     if labels == "true":
-        return counts.filter("support > 0")
+        return known & (F.col("support") > 0)
     if labels == "union":
-        return counts
+        return known
     if isinstance(labels, str):
         raise ValueError("labels is 'true', 'union' or a list")
-    return counts.filter(F.col("label").isin(*labels))
+    return F.coalesce(F.col("label").isin(*labels), F.lit(False))
+
+
+def _listed(counts: DataFrame, labels: str | Sequence[str]) -> DataFrame:
+    return counts.filter(_is_listed(labels))
+
+
+RATES = ("precision", "recall", "f1")
 
 
 def _fill_labels(counts: DataFrame, by: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -141,48 +145,51 @@ def _fill_labels(counts: DataFrame, by: Sequence[str], labels: Sequence[str]) ->
     )
 
 
-def overall_metrics(
-    cf: DataFrame, by: Sequence[str] = (DATASET,), labels: str | Sequence[str] = "true"
-) -> DataFrame:
-    """n, accuracy, and macro and weighted precision, recall and F1. Averages
-    run over the given labels (the true ones by default); zero division is 0.
-    Predicted labels outside the list count as misses and add no class."""
-    size = cf.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("n_correct"),
-    )
-    rates = with_rates(_listed(class_counts(cf, by), labels))
-    k = F.count(F.lit(1)) if isinstance(labels, str) else F.lit(len(set(labels)))
-    avg = rates.groupBy(*by).agg(
-        *[ratio(F.sum(m), k).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
-        *[
-            ratio(F.sum(F.col(m) * F.col("support")), F.sum("support"), 0.0).alias(f"weighted_{m}")
-            for m in ("precision", "recall", "f1")
-        ],
-        k.cast("long").alias("n_classes"),
+def _averages(counts: DataFrame, by: Sequence[str], labels: str | Sequence[str]) -> DataFrame:
+    """Overall numbers from the counts per class (NULL labels included)."""
+    rates = with_rates(counts).withColumn("listed", _is_listed(labels))
+    k = count_if(F.col("listed")) if isinstance(labels, str) else F.lit(len(set(labels))).cast("long")
+    on = lambda c: F.sum(F.when(F.col("listed"), c))
+    out = rates.groupBy(*by).agg(
+        F.sum("support").alias("n"),
+        F.sum("tp").alias("n_correct"),
+        k.alias("n_classes"),
+        on(F.col("support")).alias("listed_support"),
+        *[on(F.col(m)).alias(f"s_{m}") for m in RATES],
+        *[on(F.col(m) * F.col("support")).alias(f"w_{m}") for m in RATES],
     )
-    return size.join(avg, list(by), "left").select(
+    return out.select(
         *by,
         "n",
         ratio(F.col("n_correct"), F.col("n")).alias("accuracy"),
-        *[f"macro_{m}" for m in ("precision", "recall", "f1")],
-        *[f"weighted_{m}" for m in ("precision", "recall", "f1")],
+        *[ratio(F.col(f"s_{m}"), F.col("n_classes")).alias(f"macro_{m}") for m in RATES],
+        *[ratio(F.col(f"w_{m}"), F.col("listed_support"), 0.0).alias(f"weighted_{m}") for m in RATES],
         "n_classes",
+        "listed_support",
     )
 
 
+def overall_metrics(
+    cf: DataFrame, by: Sequence[str] = (DATASET,), labels: str | Sequence[str] = "true"
+) -> DataFrame:
+    """n, accuracy, and macro and weighted precision, recall and F1. Averages
+    run over the given labels (the true ones by default); zero division is 0.
+    Predicted labels outside the list count as misses and add no class."""
+    return _averages(class_counts(cf, by, missing=True), by, labels).drop("listed_support")
+
+
 def classification_report(
     cf: DataFrame, by: Sequence[str] = (DATASET,), labels: str | Sequence[str] = "true"
 ) -> DataFrame:
     """Rows per class, then ``accuracy`` (the same number in all four columns),
     ``macro avg`` and ``weighted avg``."""
     by = list(by)
-    counts = class_counts(cf, by)
+    counts = class_counts(cf, by, missing=True)
     if isinstance(labels, str):
-        counts = _listed(counts, labels)
+        listed = _listed(counts, labels)
     else:
-        counts = _fill_labels(counts, by, list(dict.fromkeys(labels)))
-    per_class = with_rates(counts).select(
+        listed = _fill_labels(counts, by, list(dict.fromkeys(labels)))
+    per_class = with_rates(listed).select(
         *by,
         F.lit(0).alias("section"),
         "label",
@@ -191,9 +198,9 @@ def classification_report(
         "f1",
         F.col("support").cast("double").alias("support"),
     )
-    summary = overall_metrics(cf, by, labels)
-    total = counts.groupBy(*by).agg(F.sum("support").cast("double").alias("total"))
-    wide = summary.join(total, by)
+    wide = _averages(counts, by, labels).withColumn(
+        "total", F.coalesce(F.col("listed_support"), F.lit(0)).cast("double")
+    )
 
     def line(pos: int, name: str, p: str, r: str, f: str, s: str) -> Column:
         return F.struct(
@@ -237,13 +244,11 @@ def report_side_by_side(
 
 def class_accuracy(cf: DataFrame, by: Sequence[str] = (DATASET,)) -> DataFrame:
     """(TP + TN) / N per class."""
-    total = cf.groupBy(*by).agg(F.sum("n").alias("n"))
+    counts = class_counts(cf, by, missing=True)
+    # as many rows per window as there are classes
+    counts = counts.withColumn("n", F.sum("support").over(W.partitionBy(*by)))
     wrong = F.col("predicted") + F.col("support") - F.col("tp") * 2
-    return (
-        _listed(class_counts(cf, by), "true")
-        .join(total, list(by))
-        .withColumn("accuracy", ratio(F.col("n") - wrong, F.col("n")))
-    )
+    return _listed(counts, "true").withColumn("accuracy", ratio(F.col("n") - wrong, F.col("n")))
 
 
 def micro_average(cf: DataFrame, by: Sequence[str] = (DATASET,), labels="true") -> DataFrame:
@@ -264,38 +269,41 @@ def group_metrics(cf: DataFrame, group: str, groups: DataFrame | None = None) ->
     classes, and then run over all classes of the dataset. ``groups``
     (dataset, group) adds the groups without rows, with n = 0."""
     by = [DATASET, group]
-    whole = cf.groupBy(DATASET).agg(F.count_distinct("y_true").alias("k"))
-    size = cf.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("n_correct"),
-        F.count_distinct("y_true").alias("k_here"),
-    )
-    # A class outside the dataset's list (only ever predicted) must not count:
-    # its support over the whole dataset is zero.
-    known = cf.select(DATASET, F.col("y_true").alias("label")).filter("label IS NOT NULL").distinct()
-    rates = with_rates(class_counts(cf, by)).join(known, [DATASET, "label"], "left_semi")
+    counts = class_counts(cf, by, missing=True)
+    # A class is one of the dataset's if any of its rows has it as the truth.
+    in_dataset = F.sum("support").over(W.partitionBy(DATASET, "label")) > 0
+    known = F.col("label").isNotNull() & in_dataset
+    rates = with_rates(counts).withColumn("known", known)
+    rates = rates.withColumn(
+        "k", F.size(F.collect_set(F.when(F.col("known"), F.col("label"))).over(W.partitionBy(DATASET)))
+    )
+    out = _group_averages(rates, by, min_rows=2)
+    if groups is not None:
+        out = groups.join(out, by, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return out
+
+
+def _group_averages(rates: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
+    """n, accuracy and macro averages over ``k`` classes from rates per label
+    marked ``known``; NULL averages below two true classes."""
+    here = count_if(F.col("label").isNotNull() & (F.col("support") > 0))
     sums = rates.groupBy(*by).agg(
-        F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf")
-    )
-    full = size.alias("a").join(
-        sums.alias("b"),
-        (F.col(f"a.{DATASET}") == F.col(f"b.{DATASET}")) & F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")),
-        "left",
-    ).select("a.*", "sp", "sr", "sf")
-    enough = (F.col("n") >= 2) & (F.col("k_here") >= 2)
-    out = full.join(whole, DATASET).select(
-        DATASET,
-        group,
+        F.sum("support").alias("n"),
+        F.sum("tp").alias("n_correct"),
+        here.alias("k_here"),
+        F.max("k").alias("k"),
+        *[F.sum(F.when(F.col("known"), F.col(m))).alias(f"s_{m}") for m in RATES],
+    )
+    enough = (F.col("n") >= min_rows) & (F.col("k_here") >= 2)
+    return sums.select(
+        *by,
         "n",
         ratio(F.col("n_correct"), F.col("n")).alias("accuracy"),
         *[
-            F.when(enough, ratio(F.coalesce(c, F.lit(0.0)), F.col("k"))).alias(f"macro_{m}")
-            for c, m in (("sp", "precision"), ("sr", "recall"), ("sf", "f1"))
+            F.when(enough, ratio(F.coalesce(f"s_{m}", F.lit(0.0)), F.col("k"))).alias(f"macro_{m}")
+            for m in RATES
         ],
     )
-    if groups is not None:
-        out = groups.join(out, by, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    return out
 
 
 def year_group(
@@ -392,44 +400,35 @@ def threshold_curve(
         hit = F.when(conf >= t, 1).otherwise(0)
         passed = hit if passed is None else passed + hit
     cf = confusion(df.withColumn("passed", passed), y_true, y_pred, [DATASET, "passed"])
+    # Level 0 holds all rows. Every count is present at every level, as 0 where
+    # its rows do not pass, so that uncovered thresholds keep their row.
     by = [DATASET, "level"]
     spread = (
-        cf.filter("passed > 0")
-        .withColumn("level", F.explode(F.sequence(F.lit(1), F.col("passed"))))
+        cf.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(thr)))))
+        .withColumn("n", F.when(F.col("level") <= F.col("passed"), F.col("n")).otherwise(0))
         .groupBy(*by, "y_true", "y_pred")
         .agg(F.sum("n").alias("n"))
     )
-    whole = cf.groupBy(DATASET).agg(F.sum("n").alias("total"), F.count_distinct("y_true").alias("k"))
-    known = cf.select(DATASET, F.col("y_true").alias("label")).filter("label IS NOT NULL").distinct()
-    size = spread.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("n_correct"),
-        F.count_distinct("y_true").alias("k_here"),
+    counts = class_counts(spread, by, missing=True)
+    whole = F.sum(F.when(F.col("level") == 0, F.col("support")).otherwise(0))
+    in_dataset = whole.over(W.partitionBy(DATASET, "label")) > 0
+    rates = with_rates(counts).withColumn("known", F.col("label").isNotNull() & in_dataset)
+    rates = rates.withColumn(
+        "k", F.size(F.collect_set(F.when(F.col("known"), F.col("label"))).over(W.partitionBy(DATASET)))
     )
-    sums = (
-        with_rates(class_counts(spread, by))
-        .join(known, [DATASET, "label"], "left_semi")
-        .groupBy(*by)
-        .agg(F.sum("precision").alias("sp"), F.sum("recall").alias("sr"), F.sum("f1").alias("sf"))
-    )
-    levels = F.sequence(F.lit(1), F.lit(len(thr)))
-    grid = whole.withColumn("level", F.explode(levels))
-    value = F.array(*[F.lit(t) for t in thr])[F.col("level") - 1]
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    several = F.col("k_here") > 1
+    out = _group_averages(rates, by, min_rows=1)
+    total = F.max("n").over(W.partitionBy(DATASET))
+    value = F.array(*[F.lit(t) for t in thr])
     return (
-        grid.join(size, by, "left")
-        .join(sums, by, "left")
+        out.withColumn("coverage", ratio(F.col("n"), total, 0.0))
+        .filter("level > 0")
         .select(
             DATASET,
-            value.alias("threshold"),
-            ratio(n, F.col("total"), 0.0).alias("coverage"),
-            n.alias("n_covered"),
-            ratio(F.col("n_correct"), n).alias("accuracy"),
-            *[
-                F.when(several, ratio(F.coalesce(c, F.lit(0.0)), F.col("k"))).alias(f"macro_{m}")
-                for c, m in (("sp", "precision"), ("sr", "recall"), ("sf", "f1"))
-            ],
+            value[F.col("level") - 1].alias("threshold"),
+            "coverage",
+            F.col("n").alias("n_covered"),
+            "accuracy",
+            *[f"macro_{m}" for m in RATES],
         )
     )
 
@@ -625,12 +624,10 @@ def class_sample_weights(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("correct"),
     )
-    total = cf.groupBy(*by).agg(F.sum("n").alias("total"))
+    support = support.withColumn("total", F.sum("support").over(W.partitionBy(*by)))
     w = shares.select(F.col(label).cast("string").alias("label"), F.col(share).cast("double").alias("share"))
-    return (
-        support.join(total, list(by))
-        .join(w, "label")
-        .withColumn("weight", ratio(F.col("share") * F.col("total"), F.col("support")))
+    return support.join(w, "label").withColumn(
+        "weight", ratio(F.col("share") * F.col("total"), F.col("support"))
     )
 
 

@@ -35,6 +35,7 @@ FLAT_ROWS = 200_000
 TREE_LEAVES = 4096
 ONE = "table"
 REPORT_ROWS = 100_000
+SIDES = ("base", "ingested")
 
 
 # -- hashes -------------------------------------------------------------------
@@ -287,20 +288,18 @@ def compare_hashes(base: DataFrame, other: DataFrame) -> DataFrame:
     """One row with the status of the hash check, whether it makes the whole
     validation fail, and what the two reports did differently."""
 
-    def one(report: DataFrame, side: str) -> DataFrame:
-        rows = report.filter("section = 'hash'")
-        pick = lambda s: F.max(F.when(F.col("stat") == s, F.col("value")))
-        # exactly one row per side, also for an empty report
-        return rows.agg(
-            (F.coalesce(pick("hashed"), F.lit("false")) == "true").alias(f"hashed_{side}"),
-            pick("aggregate_hash").alias(f"hash_{side}"),
-            pick("hash_columns").alias(f"columns_{side}"),
-            pick("mode").alias(f"mode_{side}"),
-            pick("sorted").alias(f"sorted_{side}"),
-            pick("error").alias(f"error_{side}"),
-        ).withColumn("one", F.lit(1))
-
-    row = one(base, "base").join(F.broadcast(one(other, "ingested")), "one")
+    tagged = base.filter("section = 'hash'").withColumn("side", F.lit("base")).unionByName(
+        other.filter("section = 'hash'").withColumn("side", F.lit("ingested"))
+    )
+
+    def pick(side: str, stat: str) -> Column:
+        return F.max(F.when((F.col("side") == side) & (F.col("stat") == stat), F.col("value")))
+
+    names = {"hash": "aggregate_hash", "columns": "hash_columns", "mode": "mode", "sorted": "sorted", "error": "error"}
+    row = tagged.agg(
+        *[(F.coalesce(pick(x, "hashed"), F.lit("false")) == "true").alias(f"hashed_{x}") for x in SIDES],
+        *[pick(x, stat).alias(f"{n}_{x}") for x in SIDES for n, stat in names.items()],
+    )
     both = F.col("hashed_base") & F.col("hashed_ingested")
     none = ~F.col("hashed_base") & ~F.col("hashed_ingested")
     failed = F.col("error_base").isNotNull() | F.col("error_ingested").isNotNull()
@@ -350,13 +349,14 @@ def compare_reports(base: DataFrame, other: DataFrame, **stat_rules) -> DataFram
     )
     hashes = compare_hashes(base, other)
 
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(F.lit(1).alias("one"), *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
-
-    # seven one-row aggregates side by side
-    row = named(shape, "shape")
-    for df, p in ((cols, "cols"), (types, "types"), (stats, "stats"), (nulls, "nulls"), (hashes, "hash")):
-        row = row.join(F.broadcast(named(df, p)), "one")
+    # The six one-row summaries are stacked and folded into one row.
+    parts = {"shape": shape, "cols": cols, "types": types, "stats": stats, "nulls": nulls, "hash": hashes}
+    stacked, fields = None, []
+    for prefix, df in parts.items():
+        one = df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+        fields += one.columns
+        stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
+    row = stacked.agg(*[F.max(c).alias(c) for c in fields])
 
     element = F.col("shape_ok") & F.col("cols_ok")
     passed = lambda c: F.when(c, "PASS").otherwise("FAIL")

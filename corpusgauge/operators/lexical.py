@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..datasets import DATASET, DatasetSet
 from ..functions.columns import count_if, ratio
@@ -188,20 +189,18 @@ def top_ngrams(
 def dataset_overlap(tops: DataFrame, reference: str) -> DataFrame:
     """How many of the reference dataset's top n-grams another dataset's list
     has too; the denominator is the reference list's length."""
-    ref = tops.filter(F.col(DATASET) == F.lit(reference)).select("ngram")
-    other = tops.filter(F.col(DATASET) != F.lit(reference))
-    n_ref = ref.agg(F.count(F.lit(1)).alias("denominator")).withColumn("one", F.lit(1))
-    shared = (
-        other.join(ref.withColumn("in_ref", F.lit(1)), "ngram", "left")
-        .groupBy(DATASET)
-        .agg(F.count("in_ref").alias("overlap"))
-        .withColumn("one", F.lit(1))
-    )
-    return shared.join(F.broadcast(n_ref), "one").select(
+    is_ref = F.col(DATASET) == F.lit(reference)
+    # top lists: a few rows per dataset
+    marked = tops.select(
         DATASET,
-        "overlap",
-        "denominator",
-        ratio(F.col("overlap") * 100, F.col("denominator"), 0.0).alias("overlap_pct"),
+        count_if(is_ref).over(W.partitionBy("ngram")).alias("in_ref"),
+        count_if(is_ref).over(W.partitionBy(F.lit(0))).alias("denominator"),
+    )
+    return (
+        marked.filter(~is_ref)
+        .groupBy(DATASET)
+        .agg(count_if(F.col("in_ref") > 0).alias("overlap"), F.max("denominator").alias("denominator"))
+        .withColumn("overlap_pct", ratio(F.col("overlap") * 100, F.col("denominator"), 0.0))
     )
 
 
