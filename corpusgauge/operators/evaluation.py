@@ -270,19 +270,25 @@ def group_metrics(cf: DataFrame, group: str, groups: DataFrame | None = None) ->
     (dataset, group) adds the groups without rows, with n = 0."""
     by = [DATASET, group]
     counts = class_counts(cf, by, missing=True)
-    # A class is one of the dataset's if any of its rows has it as the truth.
-    in_dataset = F.sum("support").over(W.partitionBy(DATASET, "label")) > 0
-    known = F.col("label").isNotNull() & in_dataset
-    rates = with_rates(counts).withColumn("known", known)
-    rates = rates.withColumn(
-        "k", F.size(F.collect_set(F.when(F.col("known"), F.col("label"))).over(W.partitionBy(DATASET)))
-    )
+    rates = _mark_classes(with_rates(counts), F.col("support"), group)
     out = _group_averages(rates, by, min_rows=2)
     if groups is not None:
         out = groups.join(out, by, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return out
 
 
+def _mark_classes(rates: DataFrame, support: Column, group: str) -> DataFrame:
+    """Mark the labels that are the dataset's classes (``known``: any of its
+    rows has the label as the truth) and count them (``k``). Works on counts, a
+    row per group and label."""
+    per_label = W.partitionBy(DATASET, "label")
+    marked = rates.withColumn(
+        "known", F.col("label").isNotNull() & (F.sum(support).over(per_label) > 0)
+    ).withColumn("first", F.row_number().over(per_label.orderBy(group)) == 1)
+    one = F.when(F.col("known") & F.col("first"), 1).otherwise(0)
+    return marked.withColumn("k", F.sum(one).over(W.partitionBy(DATASET)))
+
+
 def _group_averages(rates: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
     """n, accuracy and macro averages over ``k`` classes from rates per label
     marked ``known``; NULL averages below two true classes."""
@@ -410,12 +416,8 @@ def threshold_curve(
         .agg(F.sum("n").alias("n"))
     )
     counts = class_counts(spread, by, missing=True)
-    whole = F.sum(F.when(F.col("level") == 0, F.col("support")).otherwise(0))
-    in_dataset = whole.over(W.partitionBy(DATASET, "label")) > 0
-    rates = with_rates(counts).withColumn("known", F.col("label").isNotNull() & in_dataset)
-    rates = rates.withColumn(
-        "k", F.size(F.collect_set(F.when(F.col("known"), F.col("label"))).over(W.partitionBy(DATASET)))
-    )
+    everything = F.when(F.col("level") == 0, F.col("support")).otherwise(0)
+    rates = _mark_classes(with_rates(counts), everything, "level")
     out = _group_averages(rates, by, min_rows=1)
     total = F.max("n").over(W.partitionBy(DATASET))
     value = F.array(*[F.lit(t) for t in thr])

@@ -26,6 +26,8 @@ from ..functions.text import TOKEN, word_tokens
 from .common import spread
 
 VOCABULARY = 5000
+# Largest vocabulary cap for which the terms are sent to every executor.
+BROADCAST_TERMS = 200_000
 
 
 def fit_tfidf(
@@ -74,7 +76,7 @@ def tfidf_terms(
 ) -> DataFrame:
     """The same weights in long form ``(key, term, tf, df, weight)``. The
     vocabulary is at most ``vocabulary`` terms, the most frequent first, equal
-    ones alphabetically; that cap is what makes it fit a broadcast."""
+    ones alphabetically; the cap tells whether it fits a broadcast."""
     docs = df.filter(F.col(text).isNotNull())
     n_docs = docs.count()
     tf = (
@@ -92,7 +94,8 @@ def tfidf_terms(
         .select("term", "df")
     )
     idf = F.ln((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1
-    weighted = tf.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * idf)
+    small = F.broadcast(vocab) if vocabulary <= BROADCAST_TERMS else vocab
+    weighted = tf.join(small, "term").withColumn("raw", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
     return weighted.select(key, "term", "tf", "df", ratio(F.col("raw"), norm).alias("weight"))
 
