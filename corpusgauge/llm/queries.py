@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixture, quality_rules, url_filter, warc
+from . import classifier, mixture, quality_rules, url_filter, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op8_warc_archive(spark, sf_dir):
 @query("op9_url_filter", url_filter.judge_sql())
 def op9_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.score_documents(docs, table(spark, sf_dir, "labels"))
