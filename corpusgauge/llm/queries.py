@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, mixture, quality_rules, url_filter, warc
+from . import classifier, mixture, near_dedup, quality_rules, url_filter, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op9_url_filter(spark, sf_dir):
 def op10_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classifier.score_documents(docs, table(spark, sf_dir, "labels"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, near_dedup.Forest(shingle=4))
