@@ -2,11 +2,13 @@
 
 Every tree sorts the documents by its own sequence of minimum hashes. Neighbours in
 that order share the longest prefixes, so each document meets the next ``reach``
-ones with which it shares at least ``least_depth`` values: where a region is dense
-the shared prefix is deep, where it is sparse it is short, and nothing of the size
-of a region is ever gathered or paired. The orders are range-partitioned sorts, so
-a region of any size spreads over tasks. Candidates are confirmed on the full
-shingle sets, and confirmed links form components.
+ones with which it shares at least two values: where a region is dense the shared
+prefix is deep, where it is sparse it is short, and nothing of the size of a region
+is ever gathered or paired. The orders are range-partitioned sorts, so a region of
+any size spreads over tasks. Candidates are confirmed on the full shingle sets, and
+confirmed links form components. Documents of dense regions are sorted again by
+further trees, in which they meet only documents of other components, until a round
+of trees joins no components any more.
 
 Documents of equal shingle sets are one class before any of this (grouped by digest
 with partial minima); a group of copies that holds a third of all rows enters the
@@ -34,14 +36,20 @@ from .store import stored
 from .textbytes import Chunk, chunks, mix64
 
 
+#: Signature values that a tree sorts by: two whole ones and sixteen of eight bits.
+DEPTH = 18
+
+
 @dataclass(frozen=True)
 class Forest:
     shingle: int = 5
     percent: int = 80
+    values: int = 84
     trees: int = 14
-    depth: int = 6
-    least_depth: int = 2
     reach: int = 3
+    # regions in which a document has met this many others get more trees
+    dense: int = 30
+    more_trees: int = 96
     seed: int = 11
 
 
@@ -72,7 +80,7 @@ def shingle_sets(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(docs: DataFrame, how: Forest, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number of shingles, digest of the set (NULL if empty) and minimum hashes."""
-    k = how.trees * how.depth
+    k = how.values
     rng = np.random.default_rng(how.seed)
     a = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, k, dtype=np.uint64)
@@ -108,40 +116,82 @@ def signatures(docs: DataFrame, how: Forest, key: str = "doc_id", text: str = "t
     return narrow.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, signature array<int>")
 
 
-def candidates(classes: DataFrame, how: Forest) -> DataFrame:
-    """Distinct pairs (a < b) of neighbours in the sorted orders of all trees."""
-    d = how.depth
-    values = [F.element_at("signature", F.col("tree") * d + (i + 1)).alias(f"m{i}") for i in range(d)]
-    rows = classes.select("id", "signature", F.explode(F.sequence(F.lit(0), F.lit(how.trees - 1))).alias("tree"))
-    order = ["tree", *[f"m{i}" for i in range(d)], "id"]
-    rows = rows.select("tree", *values, "id").repartitionByRange(*order).sortWithinPartitions(*order)
+def tree_orders(how: Forest, round_no: int) -> np.ndarray:
+    """For every tree of a round, the numbers of the ``DEPTH`` signature values that it
+    sorts by. The leading two differ between trees while there are values left."""
+    rng = np.random.default_rng([how.seed, round_no])
+    out = []
+    for t in range(how.trees if round_no == 0 else how.more_trees):
+        if 2 * t % (how.values - 1) < 2:
+            order = rng.permutation(how.values)
+        lead = order[2 * t % (how.values - 1) :][:2]
+        rest = rng.permutation(np.setdiff1d(np.arange(how.values), lead))[: DEPTH - 2]
+        out.append(np.concatenate([lead, rest]))
+    return np.array(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
+    """Distinct pairs (a < b) of neighbours in the sorted orders of all trees, without
+    pairs whose ``component`` is the same already.
+
+    The two leading values are kept whole, since pairs must share them; of the
+    following ones eight bits each, which only order the rows.
+    """
+    orders = tree_orders(how, round_no)
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = batch.column(2).flatten().to_numpy().reshape(n, how.values)
+            for t, order in enumerate(orders):
+                low = np.ascontiguousarray(sig[:, order[2:]].astype(np.uint8))
+                deep = low.view(">i8").astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, t, dtype=np.int16)),
+                        *[pa.array(np.ascontiguousarray(sig[:, order[i]])) for i in (0, 1)],
+                        *[pa.array(np.ascontiguousarray(deep[:, i])) for i in range(deep.shape[1])],
+                        batch.column(0),
+                        batch.column(1),
+                    ],
+                    ["tree", "m0", "m1", "d0", "d1", "id", "component"],
+                )
+
+    kind = classes.schema["id"].dataType.simpleString()
+    order = ["tree", "m0", "m1", "d0", "d1", "id"]
+    rows = classes.select("id", "component", "signature").mapInArrow(
+        plant, f"tree short, m0 int, m1 int, d0 long, d1 long, id {kind}, component {kind}"
+    )
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
             old = 0 if tail is None else tail.num_rows
             n = table.num_rows
-            prefix = [table.column(i).to_numpy() for i in range(how.least_depth + 1)]
+            prefix = [table.column(i).to_numpy() for i in range(3)]
+            home = table.column(6).to_numpy()
             left, right = [], []
             for step in range(1, how.reach + 1):
                 if n <= step:
                     break
-                same = np.ones(n - step, dtype=bool)
+                same = home[step:] != home[:-step]
                 for p in prefix:
                     same &= p[step:] == p[:-step]
                 same[: max(0, old - step)] = False  # met with the batch before
                 left.append(np.flatnonzero(same))
                 right.append(left[-1] + step)
-            tail = table.slice(max(0, n - how.reach)).to_batches()
-            tail = tail[0] if tail else None
+            kept = table.slice(max(0, n - how.reach)).combine_chunks().to_batches()
+            tail = kept[0] if kept else None
             if left:
-                ids = table.column(d + 1)
+                ids = table.column(5)
                 x, y = ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))
                 yield pa.RecordBatch.from_arrays([x.combine_chunks(), y.combine_chunks()], ["a", "b"])
 
-    kind = classes.schema["id"].dataType.simpleString()
-    pairs = rows.mapInArrow(run, f"a {kind}, b {kind}")
+    pairs = rows.mapInArrow(meet, f"a {kind}, b {kind}")
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -191,9 +241,26 @@ def near_duplicates(
     base = stored(signatures(docs, how, key, text), "forest-signatures")
     groups = base.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     groups = stored(groups, "forest-classes")
-    classes = base.join(groups.select(F.col("rep").alias("id")).distinct(), "id").select("id", "signature")
-    links = confirm(candidates(classes.filter("id is not null").dropDuplicates(["id"]), how), docs, how, key, text)
-    found = components(links).withColumnRenamed("id", "rep")
+    classes = base.join(groups.select(F.col("rep").alias("id")).filter("id is not null").distinct(), "id")
+    classes = stored(classes.select("id", "signature").dropDuplicates(["id"]), "forest-rows")
+    apart = classes.withColumn("component", F.col("id"))
+    pairs = stored(candidates(apart, how), "forest-pairs")
+    links = stored(confirm(pairs, docs, how, key, text), "forest-links")
+    found = components(links)
+    crowded = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    crowded = crowded.filter(F.col("n") >= how.dense).select("id")
+    dense = stored(classes.join(crowded, "id"), "forest-dense")
+    round_no = 0 if dense.isEmpty() else 1
+    while round_no:
+        at = dense.join(found, "id", "left")
+        at = stored(at.select("id", "signature", F.coalesce("component", "id").alias("component")), "forest-round")
+        more = stored(candidates(at, how, round_no), "forest-pairs")
+        more = stored(confirm(more, docs, how, key, text), "forest-links")
+        if more.isEmpty():
+            break
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        round_no += 1
+    found = found.withColumnRenamed("id", "rep")
     named = groups.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
