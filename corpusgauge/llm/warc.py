@@ -137,10 +137,15 @@ def write_archive(
     )
     archive = Archive(f"{folder}/headers", f"{folder}/payloads")
     heads.select("page_id", F.encode(_header(date), "UTF-8").alias("header")).write.option("compression", "zstd").parquet(archive.headers)
-    chosen = groups.select(F.col("address").alias("__address"), F.col("__response").alias("__page"))
-    held = base.join(chosen, F.col("page_id").eqNullSafe(F.col("__page")))
+    # payload rows meet their group by page id, and stay there to drop repeated rows
+    chosen = groups.select(F.col("address").alias("__address"), F.col("__response").alias("page_id"))
+    held = base.join(chosen.filter("page_id is not null"), "page_id")
     held = held.withColumn("address", F.sha2("payload", 256)).filter("address = __address")
-    held.select("address", "payload").dropDuplicates(["address"]).write.option("compression", "zstd").parquet(archive.payloads)
+    held = held.select("page_id", "address", "payload").dropDuplicates(["page_id", "address"])
+    lost = base.filter("page_id is null").withColumn("address", F.sha2("payload", 256))
+    lost = lost.join(chosen.filter("page_id is null").select(F.col("__address").alias("address")), "address", "left_semi")
+    held = held.select("address", "payload").union(lost.select("address", "payload").dropDuplicates(["address"]))
+    held.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
