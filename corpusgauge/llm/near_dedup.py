@@ -48,7 +48,7 @@ class Forest:
     trees: int = 14
     reach: int = 3
     # regions in which a document has met this many others get more trees
-    dense: int = 30
+    dense: int = 8
     more_trees: int = 96
     seed: int = 11
 
