@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import classifier, mixture, near_dedup, quality_rules, url_filter, warc
+from . import classifier, mixture, near_dedup, pii, quality_rules, url_filter, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,20 @@ def op10_quality_classifier(spark, sf_dir):
 def op6_near_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_duplicates(docs, near_dedup.Forest(shingle=4))
+
+
+@query("op4_pii")
+def op4_pii(spark, sf_dir):
+    found = pii.label_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = "x -> concat(x.kind, ':', x.start, ':', x.end)"
+    # sorted by kind as listed, then by place
+    order = "case x.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(pii.KINDS)) + " end"
+    every = f"array_sort(transform(concat(base, added), x -> struct({order} as o, x.start as start, x.end as end, x.kind as kind)))"
+    count = lambda k: F.expr(f"bigint(size(filter(base, x -> x.kind = '{k}')))").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.expr(f"sha2(array_join(transform(base, {text}), ','), 256)").alias("base_sha256"),
+        F.expr(f"array_join(transform({every}, {text}), ',')").alias("spans"),
+        F.expr("bigint(size(added))").alias("n_added"),
+    )
