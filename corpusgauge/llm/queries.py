@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixture, near_dedup, pii, quality_rules, url_filter, warc
+from . import classifier, mixture, near_dedup, pii, quality_rules, suffix_dedup, url_filter, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,15 @@ def op4_pii(spark, sf_dir):
         F.expr(f"array_join(transform({every}, {text}), ',')").alias("spans"),
         F.expr("bigint(size(added))").alias("n_added"),
     )
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400, keep="none")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.expr("n_bytes - bigint(octet_length(kept))").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
