@@ -2,8 +2,8 @@
 
 Every tree sorts the documents by its own sequence of minimum hashes. Neighbours in
 that order share the longest prefixes, so each document meets the next ``reach``
-ones with which it shares at least two values: where a region is dense the shared
-prefix is deep, where it is sparse it is short, and nothing of the size of a region
+ones with which it shares at least two values, or in a dense region the next one: where
+a region is dense the shared prefix is deep, where it is sparse it is short, and nothing of the size of a region
 is ever gathered or paired. The orders are range-partitioned sorts, so a region of
 any size spreads over tasks. Candidates are confirmed on the full shingle sets, and
 confirmed links form components. Documents of dense regions are sorted again by
@@ -47,9 +47,13 @@ class Forest:
     values: int = 84
     trees: int = 14
     reach: int = 3
+    # rows of equal leading values beyond which a region counts as dense
+    region: int = 8
     # regions in which a document has met this many others get more trees
     dense: int = 8
     more_trees: int = 96
+    # share of equal signature values from which a pair of a dense region is confirmed
+    likely: float = 0.68
     seed: int = 11
 
 
@@ -145,6 +149,11 @@ def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
             if not n:
                 continue
             sig = batch.column(2).flatten().to_numpy().reshape(n, how.values)
+            # a byte of each value, where rows are few and their pairs many
+            size = how.values if round_no else 0
+            data = pa.py_buffer(np.ascontiguousarray(sig[:, :size].astype(np.uint8)))
+            at = pa.py_buffer(np.arange(0, size * n + 1, size, dtype=np.int32) if size else np.zeros(n + 1, dtype=np.int32))
+            brief = pa.BinaryArray.from_buffers(pa.binary(), n, [None, at, data])
             for t, order in enumerate(orders):
                 low = np.ascontiguousarray(sig[:, order[2:]].astype(np.uint8))
                 deep = low.view(">i8").astype(np.int64)
@@ -155,25 +164,33 @@ def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
                         *[pa.array(np.ascontiguousarray(deep[:, i])) for i in range(deep.shape[1])],
                         batch.column(0),
                         batch.column(1),
+                        brief,
                     ],
-                    ["tree", "m0", "m1", "d0", "d1", "id", "component"],
+                    ["tree", "m0", "m1", "d0", "d1", "id", "component", "brief"],
                 )
 
     kind = classes.schema["id"].dataType.simpleString()
     order = ["tree", "m0", "m1", "d0", "d1", "id"]
     rows = classes.select("id", "component", "signature").mapInArrow(
-        plant, f"tree short, m0 int, m1 int, d0 long, d1 long, id {kind}, component {kind}"
+        plant, f"tree short, m0 int, m1 int, d0 long, d1 long, id {kind}, component {kind}, brief binary"
     )
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, keep = None, max(how.reach, how.region)
         for batch in batches:
             table = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
             old = 0 if tail is None else tail.num_rows
             n = table.num_rows
             prefix = [table.column(i).to_numpy() for i in range(3)]
             home = table.column(6).to_numpy()
+            # rows that share their leading values with one as far off as the region limit
+            far = np.ones(max(n - how.region, 0), dtype=bool)
+            for p in prefix:
+                far &= p[how.region :] == p[: len(far)]
+            crowded = np.zeros(n, dtype=bool)
+            for i in range(how.region + 1):
+                crowded[i : i + len(far)] |= far
             left, right = [], []
             for step in range(1, how.reach + 1):
                 if n <= step:
@@ -181,10 +198,16 @@ def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
                 same = home[step:] != home[:-step]
                 for p in prefix:
                     same &= p[step:] == p[:-step]
+                if step > 1:  # in a dense region the next one only: order there is depth
+                    same &= ~crowded[step:]
                 same[: max(0, old - step)] = False  # met with the batch before
-                left.append(np.flatnonzero(same))
-                right.append(left[-1] + step)
-            kept = table.slice(max(0, n - how.reach)).combine_chunks().to_batches()
+                x = np.flatnonzero(same)
+                if round_no and len(x):
+                    sig = np.frombuffer(b"".join(table.column(7).to_pylist()), dtype=np.uint8).reshape(n, how.values)
+                    x = x[(sig[x] == sig[x + step]).mean(axis=1) >= how.likely]
+                left.append(x)
+                right.append(x + step)
+            kept = table.slice(max(0, n - keep)).combine_chunks().to_batches()
             tail = kept[0] if kept else None
             if left:
                 ids = table.column(5)
@@ -250,12 +273,14 @@ def near_duplicates(
     crowded = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     crowded = crowded.filter(F.col("n") >= how.dense).select("id")
     dense = stored(classes.join(crowded, "id"), "forest-dense")
+    tested = pairs
     round_no = 0 if dense.isEmpty() else 1
     while round_no:
         at = dense.join(found, "id", "left")
         at = stored(at.select("id", "signature", F.coalesce("component", "id").alias("component")), "forest-round")
-        more = stored(candidates(at, how, round_no), "forest-pairs")
-        more = stored(confirm(more, docs, how, key, text), "forest-links")
+        new = stored(candidates(at, how, round_no).join(tested, ["a", "b"], "left_anti"), "forest-pairs")
+        tested = tested.union(new)
+        more = stored(confirm(new, docs, how, key, text), "forest-links")
         if more.isEmpty():
             break
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
