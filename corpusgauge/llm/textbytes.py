@@ -18,6 +18,8 @@ CHUNK_BYTES = 1 << 21
 # White space is blank, \t, \n, \v, \f, \r.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# what separates words that are compared without their punctuation
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 # An odd base with its inverse modulo 2^64, and the mixer's constants.
@@ -75,10 +77,10 @@ class Chunk:
         shift = powers(INVERSE, len(self.buf) + 1)
         return mix64((prefix[b] - prefix[a]) * shift[a] + (b - a).astype(np.uint64))
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of every word, and for each text the number of its first
         word (one more at the end). No word crosses texts."""
-        solid = ~SPACE[self.buf]
+        solid = ~breaks[self.buf]
         n = len(solid)
         edge = self.offs[(self.offs > 0) & (self.offs < n)]
         before = np.zeros(n, dtype=bool)
