@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, mixture, near_dedup, pii, quality_rules, suffix_dedup, url_filter, warc
+from . import classifier, decontaminate, line_dedup, mixture, near_dedup, pii, quality_rules, suffix_dedup, url_filter, warc
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op3_suffix_dedup(spark, sf_dir):
 def op2_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
