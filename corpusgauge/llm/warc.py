@@ -30,6 +30,7 @@ from .store import string_or_empty
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEADER_END = "\r\n\r\n"
+HEADER, PAYLOAD = "page_id long, header binary", "address string, payload binary"
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -77,7 +78,7 @@ class Archive:
     def payload_facts(self, spark: SparkSession) -> DataFrame:
         """Address, length and digest of the stored bytes, computed from the bytes;
         a payload that does not hash to its address ends the read."""
-        at = spark.read.parquet(self.payloads)
+        at = spark.read.schema(PAYLOAD).parquet(self.payloads)
         same = F.sha2("payload", 256) == F.col("address")
         return at.select(
             F.when(same, F.col("address"))
@@ -92,7 +93,7 @@ class Archive:
         head = F.col("header").cast("string")
         take = lambda name, pattern="(.*)": F.regexp_extract(head, rf"\r\n{name}: {pattern}\r\n", 1)
         number = lambda name: F.nullif(take(name, "<urn:page:(-?[0-9]+)>"), F.lit("")).cast("long")
-        return spark.read.parquet(self.headers).select(
+        return spark.read.schema(HEADER).parquet(self.headers).select(
             number("WARC-Record-ID").alias("page_id"),
             take("WARC-Type").alias("record_type"),
             number("WARC-Refers-To").alias("refers_to"),
@@ -106,7 +107,7 @@ class Archive:
         (empty for a revisit) and the two line ends that close a record. One payload
         row meets its records; a payload of many records is a skewed join, which
         adaptive execution splits."""
-        payloads = spark.read.parquet(self.payloads)
+        payloads = spark.read.schema(PAYLOAD).parquet(self.payloads)
         out = self.records(spark).join(payloads, "address", "left")
         block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
         return out.withColumn("record", F.concat("header", block, F.lit(HEADER_END.encode())))
@@ -120,7 +121,7 @@ def write_archive(
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "archive")
     payload = F.encode(string_or_empty(pages, html), "UTF-8")
-    base = pages.select(F.col(f"`{key}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("__url"), payload.alias("payload"))
+    base = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("__url"), payload.alias("payload"))
     facts = base.select(
         "page_id",
         "__url",
