@@ -113,7 +113,7 @@ def line_places(docs: DataFrame, how: LineJoin) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, line int, d binary")
 
 
-def line_keys(docs: DataFrame, how: LineJoin, keys) -> DataFrame:
+def line_keys(docs: DataFrame, how: LineJoin, keys, names: tuple[str, str]) -> DataFrame:
     """(key, head of the digest) of the lines; copies within a chunk give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def line_keys(docs: DataFrame, how: LineJoin, keys) -> DataFrame:
                     [pa.array(np.concatenate(columns)), pa.array(np.tile(head, len(columns)))], ["key", "head"]
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, head long")
+    return docs.select("text").mapInArrow(run, f"{names[0]} long, {names[1]} long")
 
 
 def sketch(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -242,11 +242,13 @@ def _keys_of_lines(how: LineJoin, keys):
 def line_links(base: DataFrame, lines: DataFrame, how: LineJoin) -> DataFrame:
     """Links (a, b) between digests of different lines. ``lines`` has one row per
     distinct line: d and its first place."""
-    index, probe = line_keys(base, how, index_keys), line_keys(base, how, probe_keys)
-    i2, p2 = index.toDF("k2", "h2"), probe.toDF("k2", "h2")
-    probing = probe.join(i2, (F.col("key") == F.col("k2")) & (F.col("head") != F.col("h2")), "left_semi")
-    probed = index.join(p2, (F.col("key") == F.col("k2")) & (F.col("head") != F.col("h2")), "left_semi")
-    heads = stored(probing.select("head").union(probed.select("head")).distinct(), "line-heads")
+    index = line_keys(base, how, index_keys, ("key", "head"))
+    probe = line_keys(base, how, probe_keys, ("probe_key", "probe_head"))
+    # no column is renamed between map and join: both joins then read one exchange per side
+    met = (F.col("key") == F.col("probe_key")) & (F.col("head") != F.col("probe_head"))
+    probed, probing = index.join(probe, met, "left_semi"), probe.join(index, met, "left_semi")
+    heads = probed.select("head").union(probing.select("probe_head")).distinct()
+    heads = stored(heads, "line-heads")
     wanted = lines.join(heads, "head", "left_semi").groupBy("first.id").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "d")).alias("wanted"))
     texts = base.join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
     found = texts.select("text", "wanted").mapInArrow(_fetch(how), "d binary, bytes binary")
