@@ -10,13 +10,22 @@ from ..session import scratch_path
 
 #: Java regular expression for the separators of words: blank, \t, \n, \v, \f, \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Spark's setting by which a finished query gives its shuffle files back.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: the
-    lineage ends there, and a lost executor costs only the stage that ran."""
+    lineage ends there, and a lost executor costs only the stage that ran. The shuffle
+    files behind it are dropped once it is written."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
