@@ -72,6 +72,22 @@ def _passages(c: Chunk, how: Retrieval) -> tuple[np.ndarray, np.ndarray, np.ndar
     return key >> how.bucket_bits, key & ((1 << how.bucket_bits) - 1), tf, int(begin[-1])
 
 
+def segment_sums(table: np.ndarray, rows: np.ndarray, weight: np.ndarray | None, at: np.ndarray) -> np.ndarray:
+    """Sums of ``weight * table[rows]`` over the segments that begin at ``at``, in
+    pieces that stay in a core's cache."""
+    out = np.empty((len(at), table.shape[1]), dtype=np.float32)
+    edges = [0]
+    while edges[-1] < len(at):
+        edges.append(max(int(np.searchsorted(at, at[edges[-1]] + 2048, "right")) - 1, edges[-1] + 1))
+    for i, j in zip(edges, edges[1:]):
+        x, y = at[i], at[j] if j < len(at) else len(rows)
+        part = table[rows[x:y]]
+        if weight is not None:
+            part *= weight[x:y, None]
+        np.add.reduceat(part, at[i:j] - x, axis=0, out=out[i:j])
+    return out
+
+
 def inverse_frequencies(docs: DataFrame, how: Retrieval) -> np.ndarray:
     """Log inverse share of passages that hold a bucket, over all passages."""
     size = 1 << how.bucket_bits
@@ -92,9 +108,9 @@ def inverse_frequencies(docs: DataFrame, how: Retrieval) -> np.ndarray:
     return np.log((full[size] + 1.0) / (full[:size] + 0.5)).clip(0.0)
 
 
-def latent_map(docs: DataFrame, how: Retrieval) -> np.ndarray:
+def latent_map(docs: DataFrame, how: Retrieval) -> tuple[np.ndarray, np.ndarray]:
     """Buckets x rank: inverse frequencies times the leading right singular vectors
-    of the passages' TF-IDF matrix, over the singular values."""
+    of the passages' TF-IDF matrix, over the singular values. Also the frequencies."""
     size, width = 1 << how.bucket_bits, how.rank + how.oversample
     idf = inverse_frequencies(docs, how)
     omega = np.random.default_rng(how.seed).normal(size=(size, width)).astype(np.float32)
@@ -109,12 +125,12 @@ def latent_map(docs: DataFrame, how: Retrieval) -> np.ndarray:
                 w = tf * idf[b]
                 norm = np.sqrt(np.bincount(p, w * w, minlength=n))
                 w = (w / np.maximum(norm, 1e-9)[p]).astype(np.float32)
-                y = np.add.reduceat(omega[b] * w[:, None], np.searchsorted(p, np.arange(n)), axis=0)
+                y = segment_sums(omega, b, w, np.searchsorted(p, np.arange(n)))
                 gram += (y.T @ y).astype(np.float64)
                 # rows of equal bucket side by side
                 order = np.argsort(b.astype(np.uint16), kind="stable")
                 at = np.flatnonzero(np.diff(b[order], prepend=-1))
-                cross[b[order][at]] += np.add.reduceat(y[p[order]] * w[order, None], at, axis=0)
+                cross[b[order][at]] += segment_sums(y, p[order], w[order], at)
         some = np.flatnonzero(cross.any(axis=1))
         rows = [cross[i].tobytes() for i in some] + [g.tobytes() for g in gram]
         number = np.concatenate([some, size + np.arange(width)]).astype(np.int32)
@@ -143,7 +159,7 @@ def latent_map(docs: DataFrame, how: Retrieval) -> np.ndarray:
     _, s, right = np.linalg.svd(half.T, full_matrices=False)
     # directions count alike: else the few that every text shares would rule the cosine
     scale = np.where(s > 1e-4 * max(s[0], 1e-12), 1.0 / np.maximum(s, 1e-12), 0.0)[: how.rank]
-    return (idf[:, None] * right[: how.rank].T * scale).astype(np.float32)
+    return (idf[:, None] * right[: how.rank].T * scale).astype(np.float32), idf
 
 
 def _block_vectors(h: np.ndarray, first: np.ndarray, latent: np.ndarray, how: Retrieval) -> tuple[np.ndarray, np.ndarray]:
@@ -153,13 +169,7 @@ def _block_vectors(h: np.ndarray, first: np.ndarray, latent: np.ndarray, how: Re
     begin = np.concatenate([[0], np.cumsum(blocks)])
     owner = np.repeat(np.arange(len(words)), blocks)
     at = first[owner] + (np.arange(len(owner)) - begin[owner]) * how.block
-    out = np.zeros((len(at), latent.shape[1]), dtype=np.float32)
-    b = _buckets(h, how)
-    step = 4096
-    for i in range(0, len(at), step):
-        x, y = at[i], at[i + step] if i + step < len(at) else len(h)
-        out[i : i + step] = np.add.reduceat(latent[b[x:y]], at[i : i + step] - x, axis=0)
-    return out, begin
+    return segment_sums(latent, _buckets(h, how), None, at), begin
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -182,9 +192,9 @@ def common_subsequence(masks: dict[int, int], n: int, words: list[int]) -> int:
 class Items:
     """The benchmark items of one pass: words, masks and latent windows."""
 
-    def __init__(self, rows: list[tuple], latent: np.ndarray, how: Retrieval):
+    def __init__(self, rows: list[tuple], latent: np.ndarray, idf: np.ndarray, how: Retrieval):
         self.ids, self.words, self.masks, self.answer = [], [], [], []
-        self.scale: dict[int, tuple[list, list]] = {}
+        self.scale: dict[int, tuple[list, list, list]] = {}
         for item, text, answer in rows:
             c = next(chunks(pa.array([text or ""])))
             h, _ = _hashed(c)
@@ -200,10 +210,30 @@ class Items:
             size = min(len(h), how.passage)
             blocks = 1 + -(-size // how.block)
             for i in range(0, max(len(h) - how.passage, 0) + 1, how.block):
-                vectors, numbers = self.scale.setdefault(blocks, ([], []))
+                vectors, numbers, offsets = self.scale.setdefault(blocks, ([], [], []))
                 vectors.append(latent[_buckets(h[i : i + how.passage], how)].sum(0))
                 numbers.append(number)
-        self.scale = {s: (_unit(np.array(v)), np.array(n)) for s, (v, n) in self.scale.items()}
+                offsets.append(i)
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.scale = {s: (_unit(np.array(v)), np.array(n), np.array(o)) for s, (v, n, o) in self.scale.items()}
+        # a common subsequence that is long enough holds this many of an item's rarer words
+        self.rare = np.zeros((len(self.ids), 1 << how.bucket_bits), dtype=bool)
+        self.least = np.zeros(len(self.ids), dtype=np.int64)
+        for number, words in enumerate(self.words):
+            b = _buckets(np.array(words, dtype=np.uint64), how)
+            n = len(b)
+            rare = idf[b] >= np.quantile(idf[b], 0.4)
+            self.rare[number, b[rare]] = True
+            need = 1.0 if n < how.short else how.likely
+            self.least[number] = np.ceil(need * n - 1e-9) - np.count_nonzero(~self.rare[number, b])
+
+    def possible(self, number: np.ndarray, lo: np.ndarray, hi: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the places [lo, hi) hold enough of the rarer words of their item."""
+        size = hi - lo
+        at = np.cumsum(size) - size
+        words = np.repeat(lo - at, size) + np.arange(int(size.sum()))
+        hit = self.rare[np.repeat(number, size), b[words]]
+        return np.add.reduceat(hit, at, dtype=np.int64) >= self.least[number] if len(at) else np.zeros(0, dtype=bool)
 
     @staticmethod
     def _mask(h: np.ndarray) -> dict[int, int]:
@@ -227,6 +257,15 @@ class Items:
         return (share, answer) if share >= how.sure or answer >= how.answer_share else None
 
 
+def _peaks(cosine: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (x, y) those no lower than the rows before and after them."""
+    value = cosine[x, y]
+    before = np.where(x > 0, cosine[np.maximum(x - 1, 0), y], -1.0)
+    after = np.where(x + 1 < len(cosine), cosine[np.minimum(x + 1, len(cosine) - 1), y], -1.0)
+    top = (value >= before) & (value >= after)
+    return x[top], y[top]
+
+
 def _search(items: Items, latent: np.ndarray, how: Retrieval):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,28 +275,40 @@ def _search(items: Items, latent: np.ndarray, how: Retrieval):
                 if not len(h):
                     continue
                 vectors, begin = _block_vectors(h, first, latent, how)
-                running = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0, dtype=np.float64)])
+                b = _buckets(h, how)
                 owner = np.repeat(np.arange(len(c)), np.diff(begin))
                 block = np.arange(len(owner))
                 last = begin[owner + 1]
-                for s, (wanted, numbers) in items.scale.items():
+                window, width = vectors.copy(), 1
+                for s in sorted(items.scale):
+                    wanted, numbers, offsets = items.scale[s]
+                    for k in range(width, s):  # blocks of the same text only
+                        inside = np.flatnonzero(block + k < last)
+                        window[inside] += vectors[inside + k]
+                    width = s
                     # a window per block; one that would leave the text is covered by those before
-                    at = block[(block + s <= last) | (block == begin[owner])]
-                    window = _unit((running[np.minimum(at + s, last[at])] - running[at]).astype(np.float32))
+                    at = np.flatnonzero((block + s <= last) | (block == begin[owner]))
+                    near = np.zeros((0, 3), dtype=np.int64)
                     for i in range(0, len(at), 4096):
-                        x, y = np.nonzero(window[i : i + 4096] @ wanted.T >= how.cosine)
-                        near = {(int(at[i + a]), int(numbers[b])) for a, b in zip(x, y)}
-                        for a, number in near:
-                            doc = int(owner[a])
-                            n = len(items.words[number])
-                            start = first[doc] + (a - begin[doc]) * how.block
-                            lo, hi = max(first[doc], start - n), min(first[doc + 1], start + s * how.block + n)
-                            if found.get((c.row + doc, number), (0.0,))[0] == 1.0:
-                                continue
-                            hit = items.confirm(number, h[lo:hi].tolist(), how)
-                            if hit:
-                                key = (c.row + doc, number)
-                                found[key] = max(hit, found.get(key, (0.0, 0.0)))
+                        cosine = _unit(window[at[i : i + 4096]]) @ wanted.T
+                        x, y = np.nonzero(cosine >= how.cosine)
+                        # of neighbouring windows that are near one item, the nearest
+                        x, y = _peaks(cosine, x, y)
+                        near = np.concatenate([near, np.column_stack([at[i + x], numbers[y], offsets[y]])])
+                    a, number, offset = near.T
+                    n = items.sizes[number]
+                    doc = owner[a]
+                    start = first[doc] + (a - begin[doc]) * how.block
+                    # the whole item, with a block to spare on both sides
+                    lo = np.maximum(first[doc], start - offset - how.block)
+                    hi = np.minimum(first[doc + 1], start - offset + np.maximum(n, s * how.block) + 2 * how.block)
+                    for i in np.flatnonzero(items.possible(number, lo, hi, b)).tolist():
+                        key = (c.row + int(doc[i]), int(number[i]))
+                        if found.get(key, (0.0,))[0] == 1.0:
+                            continue
+                        hit = items.confirm(key[1], h[lo[i] : hi[i]].tolist(), how)
+                        if hit:
+                            found[key] = max(hit, found.get(key, (0.0, 0.0)))
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -292,13 +343,13 @@ def contaminated(
         (F.col(f"`{answer}`").cast("string") if answer else F.lit(None).cast("string")).alias("a"),
     ).filter("t is not null")
     n_blocks = wanted.count() // how.item_block + 1
-    latent = latent_map(base, how)
+    latent, idf = latent_map(base, how)
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, share double, answer_share double"
     out = None
     for b in range(n_blocks):
         # blocks of even size by digest: what travels to the tasks is bounded
         rows = wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
-        part = base.mapInArrow(_search(Items([tuple(r) for r in rows], latent, how), latent, how), schema)
+        part = base.mapInArrow(_search(Items([tuple(r) for r in rows], latent, idf, how), latent, how), schema)
         out = part if out is None else out.union(part)
     return out
 
