@@ -74,29 +74,33 @@ def i2(spark, sf):
     return _keyed(spark, sf).select("o_orderkey", t.alias("row_text"), F.sha2(t, 256).alias("h"))
 
 
+def tree_sql(rows: str) -> str:
+    """The digest tree over a column ``h`` of row hashes, as a scalar query."""
+    return f"""(with leaf as (select h, h || ':' || count(*) as e from {rows} group by h),
+       l6 as (select left(h, 6) as p, sha256(string_agg(e, '' order by e)) as e from leaf group by 1),
+       l3 as (select left(p, 3) as p, sha256(string_agg(p || '=' || e, '' order by p || '=' || e)) as e from l6 group by 1)
+       select sha256(string_agg(p || '=' || e, '' order by p || '=' || e)) from l3)"""
+
+
 @query(
     "i3_aggregate_hash",
     f"""with h as (select sha256({_ROW}) as h from orders)
-        select 'flat' as mode, sha256(string_agg(h, '' order by h)) as aggregate_hash from h""",
+        select 'flat' as mode, sha256(string_agg(h, '' order by h)) as aggregate_hash from h
+        union all select 'tree', {tree_sql('h')}""",
 )
 def i3(spark, sf):
     df = _keyed(spark, sf)
-    one, mode = I.aggregate_hash(df, KEYS, df.count())
-    return one.select(F.lit(mode).alias("mode"), "aggregate_hash")
+    parts = [I.aggregate_hash(df, KEYS, m).select(F.lit(m).alias("mode"), "aggregate_hash") for m in ("flat", "tree")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
     "i3_hash_tree",
-    """with r as (select sha256(concat_ws('|', l_orderkey::varchar, l_returnflag, l_linestatus)) as h from lineitem),
-       n as (select count(*) as n from r), d as (select greatest(0, ceil(ln(n / 4096) / ln(16)))::int as d from n),
-       leaf as (select h, h || ':' || count(*) as e from r group by h),
-       l1 as (select left(h, d) as p, sha256(string_agg(e, '' order by e)) as e from leaf, d group by 1)
-       select sha256(string_agg(p || '=' || e, '' order by p || '=' || e)) as aggregate_hash from l1""",
+    f"""with r as (select sha256(concat_ws('|', l_orderkey::varchar, l_returnflag, l_linestatus)) as h from lineitem)
+       select {tree_sql('r')} as aggregate_hash""",
 )
 def i3_tree(spark, sf):
-    df = table(spark, sf, "lineitem")
-    one, _ = I.aggregate_hash(df, ["l_orderkey", "l_returnflag", "l_linestatus"], df.count(), "tree")
-    return one
+    return I.aggregate_hash(table(spark, sf, "lineitem"), ["l_orderkey", "l_returnflag", "l_linestatus"])
 
 
 # -- comparisons --------------------------------------------------------------
@@ -138,7 +142,7 @@ def _reports(spark, sf, change, **kw):
        union all select 'columns', '6', '6', true""",
 )
 def i4(spark, sf):
-    return I.compare_shapes(*_reports(spark, sf, _moved))
+    return I.compare_shapes(*_reports(spark, sf, _moved, sections=["shape"]))
 
 
 @query(
@@ -149,7 +153,7 @@ def i4(spark, sf):
        from a full join b using (c)""",
 )
 def i4_columns(spark, sf):
-    return I.compare_columns(*_reports(spark, sf, _moved)).select("column", "finding")
+    return I.compare_columns(*_reports(spark, sf, _moved, sections=["column"])).select("column", "finding")
 
 
 @query(
@@ -159,7 +163,7 @@ def i4_columns(spark, sf):
        t("column", base, ingested, compatible) where "column" in (select column_name from duckdb_columns() where table_name = 'orders')""",
 )
 def i5(spark, sf):
-    return I.compare_types(*_reports(spark, sf, _touched))
+    return I.compare_types(*_reports(spark, sf, _touched, sections=["dtype"]))
 
 
 _NUMERIC, _TEXT = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
@@ -176,7 +180,7 @@ _NUMERIC, _TEXT = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus",
         union all select * from d""",
 )
 def i6(spark, sf):
-    return I.compare_stats(*_reports(spark, sf, _touched)).select("column", "stat", "outcome")
+    return I.compare_stats(*_reports(spark, sf, _touched, sections=["column", "stat"])).select("column", "stat", "outcome")
 
 
 @query(
@@ -188,17 +192,18 @@ def i6(spark, sf):
         select a."column", a.n::varchar as base, b.n::varchar as ingested, a.n = b.n as equal from a join b on a."column" = b."column" """,
 )
 def i7(spark, sf):
-    return I.compare_nulls(*_reports(spark, sf, _touched))
+    return I.compare_nulls(*_reports(spark, sf, _touched, sections=["null"]))
 
 
 @query(
     "i7_compare_hashes",
-    f"""with {TOUCHED}, a as (select sha256(string_agg(h, '' order by h)) as h from (select sha256(concat_ws('|', o_orderkey, coalesce(o_orderstatus, '<<NaN>>'))) as h from orders)),
-        b as (select sha256(string_agg(h, '' order by h)) as h from (select sha256(concat_ws('|', o_orderkey, coalesce(o_orderstatus, '<<NaN>>'))) as h from touched))
-        select case when a.h = b.h then 'PASS' else 'FAIL' end as status, a.h <> b.h as issue, a.h as hash_base, b.h as hash_ingested from a, b""",
+    f"""with {TOUCHED}, ra as (select sha256(concat_ws('|', o_orderkey, coalesce(o_orderstatus, '<<NaN>>'))) as h from orders),
+        rb as (select sha256(concat_ws('|', o_orderkey, coalesce(o_orderstatus, '<<NaN>>'))) as h from touched),
+        x as (select {tree_sql('ra')} as a, {tree_sql('rb')} as b)
+        select case when a = b then 'PASS' else 'FAIL' end as status, a <> b as issue, a as hash_base, b as hash_ingested from x""",
 )
 def i7_hashes(spark, sf):
-    pair = _reports(spark, sf, _touched, hash_columns=["o_orderkey", "o_orderstatus"])
+    pair = _reports(spark, sf, _touched, hash_columns=["o_orderkey", "o_orderstatus"], sections=["hash"])
     return I.compare_hashes(*pair).select("status", "issue", "hash_base", "hash_ingested")
 
 

@@ -16,7 +16,6 @@ hash       ``hashed``, ``hash_columns``, ``mode``, ``aggregate_hash``, ``error``
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -29,10 +28,12 @@ from ..session import bounded_rows, cut_lineage
 from .quality import describe_numeric, describe_text, null_profile
 
 REPORT_SCHEMA = "section string, column string, position int, stat string, value string"
-# Tables up to this many rows get the flat digest (all row digests in one
-# sorted string); larger ones the digest tree.
-FLAT_ROWS = 200_000
-TREE_LEAVES = 4096
+# Leading hex digits by which row hashes are grouped at each level of the digest
+# tree, the same for a table of any size.
+TREE_LEVELS = (6, 3, 0)
+SECTIONS = ("shape", "column", "dtype", "stat", "null", "hash")
+# Fixed value: what a statistic reads that one side lacks.
+MISSING = "MISSING_OR_NULL"
 ONE = "table"
 REPORT_ROWS = 100_000
 SIDES = ("base", "ingested")
@@ -51,50 +52,37 @@ def row_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def flat_hash(hashes: DataFrame) -> DataFrame:
     """SHA-256 of all row hashes sorted and concatenated. One task holds every
-    hash, so callers check the row count first (:func:`aggregate_hash`)."""
+    hash: a form for small tables, made only when asked for."""
     return hashes.agg(
         F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("aggregate_hash")
     )
 
 
-def tree_depth(n: int, leaves: int = TREE_LEAVES) -> int:
-    """Hex digits by which ``n`` distinct hashes fall into buckets of about
-    ``leaves``."""
-    return 0 if n <= leaves else max(0, math.ceil(math.log(n / leaves, 16)))
-
-
-def tree_hash(hashes: DataFrame, n: int, fan_digits: int = 3) -> DataFrame:
-    """Order-free digest of any number of row hashes.
+def tree_hash(hashes: DataFrame, levels: Sequence[int] = TREE_LEVELS) -> DataFrame:
+    """Order-free digest of any number of row hashes, by one algorithm for all.
 
     Equal hashes are counted first, so a row that makes up a third of the table
     is one leaf. Leaves are grouped by leading hex digits, each group's sorted
-    leaves are hashed, and the digests are grouped again with ``fan_digits``
-    fewer digits until one is left. No group exceeds a few thousand entries.
+    leaves are hashed, and the digests are grouped again with fewer digits until
+    one is left. A trillion different rows make groups of 60,000 leaves, and
+    above the leaves no group has more than 4,096 entries.
     """
-    depth = tree_depth(n)
-    leaf = F.concat_ws(":", "h", F.col("c").cast("string"))
     level = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    level = level.select(F.substring("h", 1, depth).alias("p"), leaf.alias("e"))
-    while True:
-        level = level.groupBy("p").agg(
-            F.sha2(F.concat_ws("", F.array_sort(F.collect_list("e"))), 256).alias("e")
-        )
-        if depth == 0:
-            return level.select(F.col("e").alias("aggregate_hash"))
-        depth = max(0, depth - fan_digits)
+    level = level.select(F.col("h").alias("p"), F.concat_ws(":", "h", F.col("c").cast("string")).alias("e"))
+    for digits in levels:
+        level = level.select(F.substring("p", 1, digits).alias("p"), "e")
+        level = level.groupBy("p").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("e"))), 256).alias("e"))
         # the prefix keeps siblings in order and apart
-        level = level.select(F.substring("p", 1, depth).alias("p"), F.concat("p", F.lit("="), "e").alias("e"))
+        level = level.select("p", F.concat("p", F.lit("="), "e").alias("e"))
+    return level.select(F.substring("e", 2, 64).alias("aggregate_hash"))
 
 
-def aggregate_hash(df: DataFrame, columns: Sequence[str], n: int, mode: str = "auto") -> tuple[DataFrame, str]:
-    """One-row frame with the table's digest and the mode used; ``auto`` picks
-    the tree beyond ``FLAT_ROWS`` rows."""
-    if mode == "auto":
-        mode = "flat" if n <= FLAT_ROWS else "tree"
-    if mode == "flat" and n > FLAT_ROWS:
-        raise ValueError(f"flat hash of {n} rows; at most {FLAT_ROWS} fit one task, use mode='tree'")
+def aggregate_hash(df: DataFrame, columns: Sequence[str], mode: str = "tree") -> DataFrame:
+    """One-row frame with the table's digest."""
+    if mode not in ("tree", "flat"):
+        raise ValueError(f"mode is 'tree' or 'flat', not {mode!r}")
     hashes = row_hashes(df, columns)
-    return (flat_hash(hashes) if mode == "flat" else tree_hash(hashes, n)), mode
+    return flat_hash(hashes) if mode == "flat" else tree_hash(hashes)
 
 
 # -- report -------------------------------------------------------------------
@@ -114,30 +102,40 @@ def _cells(df: DataFrame, section: str, column: Column, pairs: Sequence[tuple[st
 def validation_report(
     df: DataFrame,
     hash_columns: Sequence[str] | None = None,
-    hash_mode: str = "auto",
+    hash_mode: str = "tree",
     sort_for_hashing: bool = True,
+    sections: Sequence[str] = SECTIONS,
 ) -> DataFrame:
-    """The report of one table. The digest does not depend on row order;
-    ``sort_for_hashing`` is only recorded, so that two reports made with
-    different settings can be told apart."""
+    """The report of one table, of which only the asked ``sections`` are computed:
+    ``column`` and ``dtype`` need no look at the rows, ``shape`` one count. The
+    digest does not depend on row order; ``sort_for_hashing`` is only recorded, so
+    that two reports made with different settings can be told apart."""
     spark = df.sparkSession
+    unknown = set(sections) - set(SECTIONS)
+    if unknown:
+        raise ValueError(f"unknown sections {sorted(unknown)}")
     ds = DatasetSet({ONE: df})
-    n_rows = df.count()
-    fixed = [("shape", None, None, "rows", str(n_rows)), ("shape", None, None, "columns", str(len(df.columns)))]
-    fixed += [("column", f.name, i, "name", f.name) for i, f in enumerate(df.schema.fields)]
-    fixed += [("dtype", f.name, i, "type", f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    fixed = []
+    if "shape" in sections:
+        fixed += [("shape", None, None, "rows", str(df.count())), ("shape", None, None, "columns", str(len(df.columns)))]
+    if "column" in sections:
+        fixed += [("column", f.name, i, "name", f.name) for i, f in enumerate(df.schema.fields)]
+    if "dtype" in sections:
+        fixed += [("dtype", f.name, i, "type", f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
 
     parts = []
-    nulls = null_profile(ds)
-    parts.append(_cells(nulls, "null", F.col("column"), [("nulls", F.col("n_null"))]))
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    if "null" in sections:
+        nulls = null_profile(ds)
+        parts.append(_cells(nulls, "null", F.col("column"), [("nulls", F.col("n_null"))]))
+    described = df.schema.fields if "stat" in sections else []
+    kinds = {f.name: kind_of(f.dataType) for f in described}
     numeric = [c for c, k in kinds.items() if k == "continuous"]
     if numeric:
         d = describe_numeric(ds, numeric)
         names = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "q25"),
                  ("50%", "q50"), ("75%", "q75"), ("max", "max")]
         parts.append(_cells(d, "stat", F.col("column"), [(s, F.col(c)) for s, c in names]))
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    text = [f.name for f in described if isinstance(f.dataType, T.StringType)]
     if text:
         d = describe_text(ds, text)
         parts.append(
@@ -156,22 +154,24 @@ def validation_report(
                 _cells(agg, "stat", F.lit(c), [(s, F.col(f"s{i}.{s}")) for s in ("count", "min", "max")])
             )
 
-    hash_rows = [("hash", None, None, "hashed", "false")]
-    if hash_columns:
+    hash_rows = [("hash", None, None, "hashed", "false")] if "hash" in sections else []
+    if hash_columns and "hash" in sections:
         hash_rows = [
             ("hash", None, None, "hash_columns", ",".join(hash_columns)),
             ("hash", None, None, "sorted", str(sort_for_hashing).lower()),
         ]
         try:
-            one, mode = aggregate_hash(df, hash_columns, n_rows, hash_mode)
+            one = aggregate_hash(df, hash_columns, hash_mode)
         except ValueError as e:
             hash_rows += [("hash", None, None, "hashed", "false"), ("hash", None, None, "error", str(e))]
         else:
-            hash_rows += [("hash", None, None, "hashed", "true"), ("hash", None, None, "mode", mode)]
+            hash_rows += [("hash", None, None, "hashed", "true"), ("hash", None, None, "mode", hash_mode)]
             parts.append(
                 _cells(one, "hash", F.lit(None).cast("string"), [("aggregate_hash", F.col("aggregate_hash"))])
             )
     out = spark.createDataFrame(fixed + hash_rows, REPORT_SCHEMA)
+    if not parts:
+        return out
     for p in parts:
         out = out.unionByName(p)
     out = out.filter(F.col("value").isNotNull())
@@ -268,7 +268,7 @@ def compare_stats(
         & F.coalesce("freq_equal", F.lit(True))
     )
     outcome = F.when(missing, "differs").when(equal, "equal").when(ignored, "ignored").otherwise("differs")
-    gone = F.lit("MISSING_OR_NULL")
+    gone = F.lit(MISSING)
     return pairs.join(freq, "column", "left").select(
         "column",
         "stat",

@@ -20,37 +20,67 @@ def table(spark):
 
 def test_flat_hash_golden(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "c|d")], "k int, v string")
-    one, mode = I.aggregate_hash(df, ["k", "v"], 3)
-    assert mode == "flat"
+    one = I.aggregate_hash(df, ["k", "v"], "flat")
     golden = "b9de47788e56ed217cbba401c2d793b8988d463b98286892d3cd9b736a3abac1"
     assert one.head()["aggregate_hash"] == golden
     rows_ = sorted(hashlib.sha256(t.encode()).hexdigest() for t in ("1|a", "2|<<NaN>>", "3|c|d"))
     assert hashlib.sha256("".join(rows_).encode()).hexdigest() == golden
 
 
+def tree(counts, levels):
+    nodes = [(d, f"{d}:{c}") for d, c in counts.items()]
+    for digits in levels:
+        groups = {}
+        for p, e in nodes:
+            groups.setdefault(p[:digits], []).append(e)
+        nodes = [(p, p + "=" + hashlib.sha256("".join(sorted(e)).encode()).hexdigest()) for p, e in groups.items()]
+    return nodes[0][1][1:]
+
+
 @pytest.mark.parametrize("parts", [1, 7, 50])
 def test_tree_hash_is_free_of_order_and_placement(spark, parts):
     """A third of the rows are equal; they form one counted leaf."""
     base = spark.range(20000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     h = I.row_hashes(base.repartition(parts).orderBy(F.rand(parts)), ["k"])
-    got = I.tree_hash(h, 20000).head()[0]
     counts = {}
     for i in range(20000):
         d = hashlib.sha256(str(-1 if i % 3 == 0 else i).encode()).hexdigest()
         counts[d] = counts.get(d, 0) + 1
-    depth = I.tree_depth(20000)
-    groups = {}
-    for d, c in counts.items():
-        groups.setdefault(d[:depth], []).append(f"{d}:{c}")
-    level = [p + "=" + hashlib.sha256("".join(sorted(e)).encode()).hexdigest() for p, e in groups.items()]
-    assert got == hashlib.sha256("".join(sorted(level)).encode()).hexdigest()
-    other = I.tree_hash(I.row_hashes(base.filter("k <> 1"), ["k"]), 19999).head()[0]
-    assert other != got
+    assert I.tree_hash(h).head()[0] == tree(counts, (6, 3, 0))
+    if parts == 1:
+        for levels in ((2, 1, 0), (0,), (4, 0)):
+            assert I.tree_hash(h, levels).head()[0] == tree(counts, levels)
+        other = I.tree_hash(I.row_hashes(base.filter("k <> 1"), ["k"])).head()[0]
+        assert other != tree(counts, (6, 3, 0))
 
 
-def test_flat_hash_refuses_large_tables(table):
+def test_digest_modes(table):
+    with pytest.raises(ValueError):
+        I.aggregate_hash(table, ["id"], "auto")
+    assert I.aggregate_hash(table, ["id"]).head() != I.aggregate_hash(table, ["id"], "flat").head()
+
+
+def jobs(spark, work):
+    """Spark jobs that ``work`` starts."""
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    group = f"jobs-{id(work)}"
+    sc.setJobGroup(group, group)
+    try:
+        work()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sections_are_computed_on_demand(spark, table):
+    assert jobs(spark, lambda: I.validation_report(table, sections=["column", "dtype"])) == 0
+    assert jobs(spark, lambda: I.validation_report(table, sections=["shape"])) <= 2
+    whole = {tuple(r) for r in I.validation_report(table, ["id"]).collect()}
+    for s in I.SECTIONS:
+        part = {tuple(r) for r in I.validation_report(table, ["id"], sections=[s]).collect()}
+        assert part == {r for r in whole if r[0] == s}
     with pytest.raises(ValueError):
-        I.aggregate_hash(table, ["id"], I.FLAT_ROWS + 1, "flat")
+        I.validation_report(table, sections=["other"])
 
 
 def status(checks):
