@@ -270,7 +270,7 @@ def _search(items: Items, latent: np.ndarray, how: Retrieval):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float]] = {}
-            for c in chunks(batch.column(1), 1 << 20):
+            for c in chunks(batch.column(1), 1 << 19):
                 h, first = _hashed(c)
                 if not len(h):
                     continue
@@ -351,7 +351,7 @@ def contaminated(
         rows = wanted.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b).collect()
         part = base.mapInArrow(_search(Items([tuple(r) for r in rows], latent, idf, how), latent, how), schema)
         out = part if out is None else out.union(part)
-    return out
+    return stored(out, "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Retrieval | None = None, key: str = "doc_id") -> DataFrame:

@@ -10,22 +10,29 @@ from ..session import scratch_path
 
 #: Java regular expression for the separators of words: blank, \t, \n, \v, \f, \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-#: Spark's setting by which a finished query gives its shuffle files back.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: a finished query gives its shuffle files back,
+#: and texts reach Python in small batches, whose memory two tasks at once can spare.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: the
-    lineage ends there, and a lost executor costs only the stage that ran. The shuffle
-    files behind it are dropped once it is written."""
+    lineage ends there, and a lost executor costs only the stage that ran. The
+    session's settings are put back afterwards."""
     path = scratch_path(df.sparkSession, name)
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, "false")
-    conf.set(CLEAN_UP, "true")
+    before = {k: conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
