@@ -21,15 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgauge.llm import classifier, decontaminate, line_dedup, mixture, near_dedup
-from corpusgauge.llm.store import stored, table
+from corpusgauge.llm.store import settled, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    scored = classifier.score_documents(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
+
+    def build() -> DataFrame:
+        scored = classifier.score_documents(docs, table(spark, sf_dir, "labels"))
+        return scored.filter("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
+
+    rejected = settled(spark, build, "rejected")
     return docs.join(rejected, F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
@@ -65,7 +69,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    def upto(k: int) -> DataFrame:
+        if k == 0:
+            return table(spark, sf_dir, "documents")
+        name, stage = STAGES[k - 1]
+        # the input of a stage goes once its result is written
+        return settled(spark, lambda: stage(spark, upto(k - 1), sf_dir), f"pipeline-{name}")
+
+    return upto(len(STAGES))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import settled, stored
 from .textbytes import PUNCTUATION, Chunk, chunks
 
 
@@ -356,5 +356,9 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Retrieval | None = None, key: str = "doc_id") -> DataFrame:
     """``docs`` without those that repeat a benchmark item."""
-    gone = contaminated(docs, benchmark, how, key).select(F.col(key).alias("__gone")).distinct()
+    gone = settled(
+        docs.sparkSession,
+        lambda: contaminated(docs, benchmark, how, key).select(F.col(key).alias("__gone")).distinct(),
+        "leaks-gone",
+    )
     return docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored, string_or_empty
+from .store import settled, stored, string_or_empty
 from .textbytes import SPACE, Chunk, chunks, mix64
 
 
@@ -303,8 +303,12 @@ def _signed(hexadecimal):
 def drop_lines(docs: DataFrame, how: LineJoin | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the later lines of each class, and without documents that have
     no word left; ``n_chars`` follows the text."""
-    gone = line_classes(docs, how, key, text).filter("not kept").groupBy(key).agg(F.collect_set("line").alias("__gone"))
-    gone = gone.withColumnRenamed(key, "__key")
+
+    def build() -> DataFrame:
+        later = line_classes(docs, how, key, text).filter("not kept").withColumnRenamed(key, "__key")
+        return later.groupBy("__key").agg(F.collect_set("line").alias("__gone"))
+
+    gone = settled(docs.sparkSession, build, "lines-gone")
     both = docs.join(gone, docs[f"`{key}`"].eqNullSafe(F.col("__key")), "left").drop("__key")
     # numbers of the lines that stay, then their texts
     kept = F.expr(

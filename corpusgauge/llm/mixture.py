@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import stored, word_array
+from .store import settled, stored, word_array
 
 BUCKET_ROWS = 8192
 ROUNDS = 8
@@ -212,10 +212,16 @@ def mix_documents(docs: DataFrame, how: Mixture | None = None, key: str = "doc_i
     """The documents with ``taken``, the words that the mix takes from each (repeats
     counted), and their source's target."""
     new = ("size", "source_size", "target", "taken")
-    taken = mix(docs, how, key).documents.groupBy(key).agg(
-        F.sum("size").alias("size"), F.max("source_size").alias("source_size"),
-        F.max("target").alias("target"), F.sum("taken").alias("taken"),
-    ).withColumnRenamed(key, "__key")
+
+    def build() -> DataFrame:
+        # rows of one key are one document here
+        per_key = mix(docs, how, key).documents.groupBy(F.col(key).alias("__key"))
+        return per_key.agg(
+            F.sum("size").alias("size"), F.max("source_size").alias("source_size"),
+            F.max("target").alias("target"), F.sum("taken").alias("taken"),
+        )
+
+    taken = settled(docs.sparkSession, build, "mix-taken")
     kept = docs.drop(*new)
     return kept.join(taken, kept[f"`{key}`"].eqNullSafe(F.col("__key"))).drop("__key")
 

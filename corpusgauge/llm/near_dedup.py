@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored
+from .store import settled, stored
 from .textbytes import Chunk, chunks, mix64
 
 
@@ -299,5 +299,9 @@ def near_duplicates(
 
 def keep_first(docs: DataFrame, how: Forest | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, the one of least id."""
-    gone = near_duplicates(docs, how, key, text).filter("not kept").select(F.col(key).alias("__gone"))
+    gone = settled(
+        docs.sparkSession,
+        lambda: near_duplicates(docs, how, key, text).filter("not kept").select(F.col(key).alias("__gone")),
+        "near-gone",
+    )
     return docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")

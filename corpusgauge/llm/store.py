@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +22,13 @@ WRITING = {
 }
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read again: the
-    lineage ends there, and a lost executor costs only the stage that ran. The
-    session's settings are put back afterwards."""
+#: Paths written since the innermost :func:`settled` began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _write(df: DataFrame, name: str) -> str:
+    """``df`` as Parquet below ``spark.checkpoint.dir``, the session's settings being
+    put back afterwards."""
     path = scratch_path(df.sparkSession, name)
     conf = df.sparkSession.conf
     before = {k: conf.get(k, None) for k in WRITING}
@@ -33,7 +39,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: the lineage ends there, and
+    a lost executor costs only the stage that ran."""
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` makes, written to the shared folder; whatever was
+    stored on the way to it is removed."""
+    token = _written.set([])
+    try:
+        df = build()
+        path = _write(df, name)
+        rest = [p for p in _written.get() if p != path]
+    finally:
+        _written.reset(token)
+    discard(spark, rest)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of :func:`stored` that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -129,6 +129,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         j = min(max(j, i + 1), n)
         yield Chunk(i, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         i = j
+    # a worker serves many tasks: what batches before this one took goes back
+    pa.default_memory_pool().release_unused()
 
 
 def per_text(values: np.ndarray, first: np.ndarray, at: np.ufunc = np.add) -> np.ndarray:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from corpusgauge.llm import components, decontaminate, line_dedup, near_dedup, suffix_dedup, textbytes
+from corpusgauge.llm.store import stored
 
 WORDS = [a + b for a in ("ba", "ké", "lo", "mi", "nu", "ra", "si", "to") for b in ("n", "rt", "sh", "l", "", "nd")]
 
@@ -326,7 +327,7 @@ def test_pipeline_stages(spark, sf_dir):
     at = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r.doc_id: r.text for r in at.collect()}
-        out = corpus_pipeline.stored(stage(spark, at, sf_dir), name)
+        out = stored(stage(spark, at, sf_dir), name)
         after = {r.doc_id: r.text for r in out.collect()}
         assert set(after) <= set(before) and len(after) == out.count()
         if k < 4:
