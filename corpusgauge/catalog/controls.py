@@ -170,6 +170,33 @@ def k8_distance(spark, sf):
     return K.distance_gate(table(spark, sf, "embeddings"), "embedding", _centroids(spark, sf), 8.0, ["vec_id"])
 
 
+def _near_sql(bands: int = 10, rows: int = 2) -> str:
+    terms = K.minhash_terms(bands * rows)
+    mins = ", ".join(f"min((x * {a} + {b}) % {K.MINHASH_PRIME}) as m{i}" for i, (a, b) in enumerate(terms))
+    keyed = " union all ".join(
+        f"select id, {b} as band, " + " || '-' || ".join(f"m{b * rows + r}" for r in range(rows)) + " as v from reps" for b in range(bands)
+    )
+    return f"""
+    with w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select id, md5(g) as g from (select id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from w where len(w) >= 5)),
+    sums as (select id, count(*) as n, sum(('0x' || substr(g, 9, 12))::bigint) as s1, sum(('0x' || substr(g, 21, 12))::bigint) as s2, {mins}
+             from (select *, ('0x' || substr(g, 1, 8))::bigint as x from sets) group by id),
+    alike as (select *, min(id) over (partition by n, s1, s2, m0, m1) as rep from sums),
+    reps as (select * from alike where id = rep), keyed as ({keyed}),
+    least_id as (select band, v, min(id) as kept from keyed group by all having count(*) > 1),
+    pairs as (select distinct id, kept from keyed join least_id using (band, v) where id <> kept),
+    common as (select p.id, p.kept, count(*) as c from pairs p join sets a on a.id = p.id join sets b on b.id = p.kept and b.g = a.g group by all),
+    found as (select common.id, common.kept, c / (a.n + b.n - c) as jaccard from common join reps a on a.id = common.id join reps b on b.id = common.kept)
+    select id as doc_id, kept, round(jaccard, 6) as jaccard from found where jaccard >= 0.8
+    union all select id, rep, 1.0 from alike where id <> rep"""
+
+
+@query("k9_near_copies", _near_sql())
+def k9(spark, sf):
+    """Near copies among all documents, by the same hashes in SQL."""
+    return K.near_copies(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
 _STATUS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..datasets import DATASET, DatasetSet
 from ..operators import distributions
 from ..operators import evaluation as E
+from ..plans.evaluate import evaluate_predictions
 from .registry import DATASETS, LANGS, PRED, predictions, query, table
 
 
@@ -260,15 +261,16 @@ def h12(spark, sf):
     "h13_compare_datasets",
     f"""with {PRED}, {_OVERALL}, v as (unpivot (select dataset, accuracy, macro_precision, macro_recall, macro_f1 from o)
           on accuracy, macro_precision, macro_recall, macro_f1 into name metric value value),
-        p(first, second) as (values ('train', 'test'), ('test', 'oot'), ('oot', 'prod')),
-        d as (select first, second, a.metric, a.value as value_first, b.value as value_second, b.value - a.value as change
-              from p join v a on a.dataset = first join v b on b.dataset = second and a.metric = b.metric),
+        p(first, second) as (values ('train', 'test'), ('test', 'oot'), ('oot', 'prod'), ('prod', 'next')),
+        q as (select *, unnest(['accuracy', 'macro_precision', 'macro_recall', 'macro_f1']) as metric from p),
+        d as (select first, second, q.metric, a.value as value_first, b.value as value_second, b.value - a.value as change
+              from q left join v a on a.dataset = first and a.metric = q.metric left join v b on b.dataset = second and b.metric = q.metric),
         k as (select first, second, change as kpi from d where metric = 'macro_precision')
         select first, second, metric, round(value_first, 6) as value_first, round(value_second, 6) as value_second, round(change, 6) as change,
-          case when kpi < -0.03 then 'degraded' when kpi > 0.03 then 'higher' else 'similar' end as verdict from d join k using (first, second)""",
+          case when second = 'next' then 'absent' when kpi < -0.03 then 'degraded' when kpi > 0.03 then 'higher' else 'similar' end as verdict from d join k using (first, second)""",
 )
 def h13(spark, sf):
-    pairs = [("train", "test"), ("test", "oot"), ("oot", "prod"), ("test", "train")]
+    pairs = [("train", "test"), ("test", "oot"), ("oot", "prod"), ("test", "train"), ("prod", "next")]
     return E.compare_datasets(E.overall_metrics(_cf(spark, sf)), pairs)
 
 
@@ -320,7 +322,7 @@ def h16(spark, sf):
 
 _WEIGHTS = f"""{_SHARES}, s as (select dataset, y_true as label, count(*) as support, count(*) filter (where y_true = y_pred) as correct from pred group by 1, 2),
 t as (select dataset, count(*) as total from pred group by 1),
-ww as (select s.dataset, label, support, correct, total, share, share * total / support as weight from s join t using (dataset) join w using (label))"""
+ww as (select s.dataset, label, support, correct, total, share, share * total / support as weight from s join t using (dataset) left join w using (label))"""
 
 
 @query(
@@ -333,12 +335,67 @@ def h17(spark, sf):
 
 @query(
     "h17_reweighted_accuracy",
-    f"with {PRED}, {_WEIGHTS} select dataset, round(sum(weight * correct) / sum(weight * support), 6) as weighted_accuracy from ww group by 1",
+    f"with {PRED}, {_WEIGHTS} select dataset, round(sum(weight * correct) / sum(weight * support), 6) as weighted_accuracy, count(*) - count(weight) as missing_classes from ww group by 1",
 )
 def h17_accuracy(spark, sf):
     return E.reweighted_accuracy(E.class_sample_weights(_cf(spark, sf), _shares(spark, sf)))
 
 
+@query(
+    "h17_class_without_share",
+    f"""with {PRED}, {_WEIGHTS.replace('where doc_id % 10 < 6 group by 1)', "where doc_id % 10 < 6 and lang <> 'es' group by 1)")}
+        select dataset, round(sum(weight * correct) / sum(weight * support), 6) as weighted_accuracy, count(*) - count(weight) as missing_classes from ww group by 1""",
+)
+def h17_without_share(spark, sf):
+    """A class that the population's shares leave out is counted, not lost."""
+    shares = _shares(spark, sf).filter("label <> 'es'")
+    return E.reweighted_accuracy(E.class_sample_weights(_cf(spark, sf), shares))
+
+
+def _half(p):
+    """Twelve own categories per dataset, numbers kept as text, and a time."""
+    k = F.col("doc_id") % 12
+    return p.select(
+        "*", F.concat(F.col(DATASET), k.cast("string")).alias("own"), (F.col("n_chars") / 2).cast("string").alias("half")
+    )
+
+
+@query(
+    "h5_categories_per_dataset",
+    f"""with {PRED}, o as (select * exclude (grp), dataset || (doc_id % 12) as "group" from pred), {_group_sql('o', '"group"')}
+        select dataset, "group", n, {_round(*_METRICS)} from gm""",
+)
+def h5_own(spark, sf):
+    """Every dataset has twelve categories of its own, 48 together."""
+    p = DatasetSet.of_long(_half(predictions(spark, sf)), DATASETS)
+    return evaluate_predictions(p, "y_true", "y_pred", "confidence", ["own"])["by:own"]
+
+
+@query(
+    "h7_numbers_kept_as_text",
+    f"""with {PRED}, u as (select * replace (n_chars / 2 as n_chars) from pred),
+        q as (select dataset, quantile_cont(n_chars, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) as e from u group by 1),
+        g as (select dataset, unnest(range(5))::int as bin, e from q),
+        t as (select p.*, (case when n_chars <= e[2] then 0 when n_chars <= e[3] then 1 when n_chars <= e[4] then 2 when n_chars <= e[5] then 3 else 4 end) as bin
+              from u p join q using (dataset)), {_group_sql('t', 'bin')}
+        select dataset, bin, round(e[bin + 1], 6) as lo, round(e[bin + 2], 6) as hi, coalesce(n, 0) as n, {_round(*_METRICS)} from g left join gm using (dataset, bin)""",
+)
+def h7_text(spark, sf):
+    p = DatasetSet.of_long(_half(predictions(spark, sf)), DATASETS)
+    return evaluate_predictions(p, "y_true", "y_pred", "confidence", ["half"])["by:half"]
+
+
+@query(
+    "h7_columns_that_cannot_be_grouped",
+    f"""with {PRED} select distinct dataset, c as "column", case c when 'seen' then 'timestamp_ntz cannot be grouped' else 'text with too many values to group, not all of them numbers' end as reason
+        from pred, (values ('seen'), ('key')) t(c)""",
+)
+def h7_skipped(spark, sf):
+    """A time, and text of many words, become rows of ``skipped``."""
+    p = predictions(spark, sf).withColumn("key", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    return evaluate_predictions(DatasetSet.of_long(p, DATASETS), "y_true", "y_pred", "confidence", ["seen", "key"])["skipped"]
+
+
 @query(
     "h18_lift_over_chance",
     f"""with {PRED}, {_OVERALL} select dataset, n_classes, round(1 / n_classes, 6) as chance, round(macro_precision, 6) as macro_precision,

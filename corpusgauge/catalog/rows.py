@@ -52,6 +52,15 @@ def a1(spark, sf):
     )
 
 
+@query("a1_shuffled_header", "select c_custkey, c_name, c_acctbal from customer")
+def a1_shuffled(spark, sf):
+    """A file with more columns, in another order, read in parallel splits."""
+    path = scratch_path(spark, "csv")
+    df = table(spark, sf, "customer").select("c_name", "c_mktsegment", "c_acctbal", "c_custkey")
+    df.write.option("header", True).csv(path)
+    return S.read_csv(spark, [path], "c_custkey long, c_name string, c_acctbal double")
+
+
 @query("a2_read_parquet", "select page_id, url, length(html)::bigint as n_chars from pages")
 def a2(spark, sf):
     df = S.read_parquet(spark, f"{sf}/pages.parquet")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..session import cut_lineage
 
 # Numbers a centroid table may hold before it is too large for every executor.
 CENTROID_NUMBERS = 20_000_000
@@ -122,3 +123,66 @@ def definition_text(classes: DataFrame, name: str, definition: str) -> DataFrame
     return one.select(
         F.concat(F.lit("Here are the definitions for each class:\n"), F.array_join(lines, "")).alias("definitions")
     )
+
+
+# A prime below 2^32, and multipliers and offsets of the minimum hashes.
+MINHASH_PRIME = 4294967291
+
+
+def minhash_terms(n: int) -> list[tuple[int, int]]:
+    """(a, b) of ``n`` hash functions (a x + b) mod p, by a rule SQL can repeat."""
+    return [((i * 40503 + 12345) * 2654435 % 2147483647 or 1, i * 7919 * 104729 % 2147483647) for i in range(1, n + 1)]
+
+
+def near_copies(
+    df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, bands: int = 10, rows: int = 2
+) -> DataFrame:
+    """Near copies to remove: ``(key, kept, jaccard)`` for every text whose word
+    shingles overlap those of a smaller key by ``least`` or more.
+
+    Equal shingle sets are one text, the one of smallest key, before the bands, so
+    that no group of copies makes a hot band. A text is a candidate only with the
+    smallest key of each of its bands, never with all of them, and is confirmed on
+    the full sets. Texts of fewer words than a shingle have none and no copies.
+    """
+    words = F.filter(F.split(F.lower(F.col(f"`{text}`")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    grams = F.expr(
+        f"if(size(w) >= {shingle}, transform(sequence(1, size(w) - {shingle - 1}), i -> array_join(slice(w, i, {shingle}), ' ')), array())"
+    )
+    sets = df.select(F.col(f"`{key}`").alias("id"), words.alias("w")).select("id", F.array_distinct(grams).alias("g"))
+    # the outer form: from an inner one a filter on the array would be inferred, and with
+    # it the words would be split anew for every shingle
+    sets = sets.select("id", F.explode_outer("g").alias("g")).select("id", F.md5("g").alias("g"))
+    sets = cut_lineage(sets.filter("g is not null"))
+    x = F.conv(F.substring("g", 1, 8), 16, 10).cast("long")
+    terms = minhash_terms(bands * rows)
+    sums = sets.groupBy("id").agg(
+        F.count("*").alias("n"),
+        F.sum(F.conv(F.substring("g", 9, 12), 16, 10).cast("long")).alias("s1"),
+        F.sum(F.conv(F.substring("g", 21, 12), 16, 10).cast("long")).alias("s2"),
+        *[F.min((x * a + b) % MINHASH_PRIME).alias(f"m{i}") for i, (a, b) in enumerate(terms)],
+    )
+    sums = cut_lineage(sums)
+    # order-free sums of 48-bit pieces stand for the set in the exact step
+    same = sums.groupBy("n", "s1", "s2", "m0", "m1").agg(F.min("id").alias("rep"))
+    at = sums.join(same, ["n", "s1", "s2", "m0", "m1"])
+    reps = at.filter(F.col("id") == F.col("rep"))
+    band = F.array(
+        *[
+            F.struct(F.lit(b).alias("band"), F.concat_ws("-", *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias("v"))
+            for b in range(bands)
+        ]
+    )
+    keyed = reps.select("id", F.explode(band).alias("x")).select("id", "x.*")
+    least_id = keyed.groupBy("band", "v").agg(F.min("id").alias("kept"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    pairs = keyed.join(least_id, ["band", "v"]).filter("id <> kept").select("id", "kept").distinct()
+    left = pairs.join(sets, "id")
+    common = left.join(sets.withColumnRenamed("id", "kept"), ["kept", "g"]).groupBy("id", "kept").agg(F.count("*").alias("common"))
+    size = reps.select("id", "n")
+    found = (
+        common.join(size, "id").join(size.select(F.col("id").alias("kept"), F.col("n").alias("n_kept")), "kept")
+        .withColumn("jaccard", ratio(F.col("common"), F.col("n") + F.col("n_kept") - F.col("common")))
+        .filter(F.col("jaccard") >= least)
+    )
+    copies = at.filter(F.col("id") != F.col("rep")).select("id", F.col("rep").alias("kept"), F.lit(1.0).alias("jaccard"))
+    return found.select("id", "kept", "jaccard").unionByName(copies).withColumnRenamed("id", key)

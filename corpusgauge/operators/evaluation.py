@@ -493,22 +493,26 @@ def reliability_curve(df: DataFrame, y_true: str, y_pred: str, confidence: str,
 
 def compare_datasets(overall: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Metric by metric difference (second - first) of dataset pairs, with a
-    verdict on macro precision; a repeated pair, also reversed, is taken once."""
+    verdict on macro precision; a repeated pair, also reversed, is taken once. A pair
+    that names an absent dataset keeps its rows, with the verdict ``absent``."""
     seen: dict[frozenset, tuple[str, str]] = {}
     for a, b in pairs:
         seen.setdefault(frozenset((a, b)), (a, b))
     spark = overall.sparkSession
-    wanted = spark.createDataFrame(list(seen.values()), "first string, second string")
     metrics = ["accuracy", "macro_precision", "macro_recall", "macro_f1"]
+    wanted = spark.createDataFrame(
+        [(x, y, m) for x, y in seen.values() for m in metrics], "first string, second string, metric string"
+    )
     cells = overall.select(
         DATASET,
         F.explode(
             F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
         ).alias("x"),
     ).select(DATASET, "x.*")
-    a = cells.select(F.col(DATASET).alias("first"), "metric", F.col("value").alias("value_first"))
-    b = cells.select(F.col(DATASET).alias("second"), "metric", F.col("value").alias("value_second"))
-    out = wanted.join(a, "first").join(b, ["second", "metric"]).withColumn(
+    here = F.lit(True)
+    a = cells.select(F.col(DATASET).alias("first"), "metric", F.col("value").alias("value_first"), here.alias("__a"))
+    b = cells.select(F.col(DATASET).alias("second"), "metric", F.col("value").alias("value_second"), here.alias("__b"))
+    out = wanted.join(a, ["first", "metric"], "left").join(b, ["second", "metric"], "left").withColumn(
         "change", F.col("value_second") - F.col("value_first")
     )
     kpi = F.coalesce(
@@ -518,7 +522,8 @@ def compare_datasets(overall: DataFrame, pairs: Sequence[tuple[str, str]]) -> Da
         F.lit(0.0),
     )
     verdict = (
-        F.when(kpi < -VERDICT_BAND, "degraded").when(kpi > VERDICT_BAND, "higher").otherwise("similar")
+        F.when(F.col("__a").isNull() | F.col("__b").isNull(), "absent")
+        .when(kpi < -VERDICT_BAND, "degraded").when(kpi > VERDICT_BAND, "higher").otherwise("similar")
     )
     return out.select("first", "second", "metric", "value_first", "value_second", "change", verdict.alias("verdict"))
 
@@ -621,23 +626,27 @@ def population_weighted(
 def class_sample_weights(
     cf: DataFrame, shares: DataFrame, by: Sequence[str] = (DATASET,), label: str = "label", share: str = "share"
 ) -> DataFrame:
-    """Weight of a row of each class: population share over observed share."""
+    """Weight of a row of each class: population share over observed share. A class
+    without a share stays, without a weight."""
     support = cf.groupBy(*by, F.col("y_true").alias("label")).agg(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("correct"),
     )
     support = support.withColumn("total", F.sum("support").over(W.partitionBy(*by)))
     w = shares.select(F.col(label).cast("string").alias("label"), F.col(share).cast("double").alias("share"))
-    return support.join(w, "label").withColumn(
+    return support.join(w, "label", "left").withColumn(
         "weight", ratio(F.col("share") * F.col("total"), F.col("support"))
     )
 
 
 def reweighted_accuracy(weights: DataFrame, by: Sequence[str] = (DATASET,)) -> DataFrame:
+    """Accuracy of the weighted rows; ``missing_classes`` counts the classes that
+    have rows but no weight, which it does not speak for."""
     return weights.groupBy(*by).agg(
         F.sum(F.col("weight") * F.col("correct")).alias("a"),
         F.sum(F.col("weight") * F.col("support")).alias("b"),
-    ).select(*by, ratio(F.col("a"), F.col("b")).alias("weighted_accuracy"))
+        count_if(F.col("weight").isNull()).alias("missing_classes"),
+    ).select(*by, ratio(F.col("a"), F.col("b")).alias("weighted_accuracy"), "missing_classes")
 
 
 def lift_over_chance(overall: DataFrame) -> DataFrame:

@@ -11,11 +11,41 @@ from pyspark.sql import types as T
 from ..datasets import DATASET, DatasetSet
 from ..operators import evaluation as E
 from ..operators.distributions import quantile_edges, to_datetime
-from ..session import bounded_rows
 
 CATEGORY_LIMIT = 20
 
 
+def _grouping(rows: DataFrame, column: str, names: Sequence[str]) -> dict[str, tuple[str | None, str]]:
+    """How each dataset's metadata column is grouped: ``category`` for text of fewer
+    than ``CATEGORY_LIMIT`` different values, ``number`` for numbers and text that
+    reads as such, or nothing and the reason. Every dataset is judged by its own
+    values, missing ones aside."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return {n: ("number", "") for n in names}
+    if not isinstance(kind, T.StringType):
+        return {n: (None, f"{kind.simpleString()} cannot be grouped") for n in names}
+    c = F.col(f"`{column}`")
+    facts = {
+        r[DATASET]: r
+        for r in rows.groupBy(DATASET)
+        .agg(
+            F.count_distinct(c).alias("values"),
+            F.count_if(c.isNotNull() & c.try_cast("double").isNull()).alias("words"),
+        )
+        .collect()
+    }
+    out: dict[str, tuple[str | None, str]] = {}
+    for n in names:
+        if n not in facts or facts[n]["values"] < CATEGORY_LIMIT:
+            out[n] = ("category", "")
+        elif facts[n]["words"] == 0:
+            out[n] = ("number", "")
+        else:
+            out[n] = (None, "text with too many values to group, not all of them numbers")
+    return out
+
+
 def evaluate_predictions(
     datasets: Mapping[str, DataFrame] | DatasetSet,
     y_true: str,
@@ -74,16 +104,19 @@ def evaluate_predictions(
                 continue
             part = ds.only(having)
             rows = part.long([*required, c])
-            text = isinstance(rows.schema[c].dataType, T.StringType)
-            if text and bounded_rows(rows.select(c).distinct(), CATEGORY_LIMIT - 1) is None:
-                skipped += [(n, c, "text with too many values to bin") for n in having]
-            elif text:
-                cfg = E.confusion(rows.withColumnRenamed(c, "group"), y_true, y_pred, [DATASET, "group"])
+            how = _grouping(rows, c, having)
+            skipped += [(n, c, reason) for n, (kind, reason) in how.items() if kind is None]
+            grouped = [n for n in having if how[n][0] == "category"]
+            binned = [n for n in having if how[n][0] == "number"]
+            if grouped:
+                at = rows.filter(F.col(DATASET).isin(*grouped)).withColumnRenamed(c, "group")
+                cfg = E.confusion(at, y_true, y_pred, [DATASET, "group"])
                 out[f"by:{c}"] = E.group_metrics(cfg, "group")
-            else:
-                numeric = rows.withColumn(c, F.col(f"`{c}`").cast("double"))
-                edges = quantile_edges(part, c)
-                out[f"by:{c}"] = E.metrics_by_bins(numeric, y_true, y_pred, c, edges)
+            if binned:
+                number = F.col(f"`{c}`").try_cast("double")
+                at = rows.filter(F.col(DATASET).isin(*binned)).withColumn(c, number)
+                edges = quantile_edges(DatasetSet.of_long(at, binned), c)
+                out[f"by:{c}:bins" if grouped else f"by:{c}"] = E.metrics_by_bins(at, y_true, y_pred, c, edges)
         if comparisons:
             out["comparisons"] = E.compare_datasets(out["overall"], comparisons)
     out["skipped"] = spark.createDataFrame(skipped, f"{DATASET} string, column string, reason string")

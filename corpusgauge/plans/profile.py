@@ -21,6 +21,7 @@ from ..functions.text import (
 )
 from ..operators import distributions as D
 from ..operators import drift, features, lexical, quality
+from ..operators.evaluation import class_names
 from ..operators.language import detect_language, language_profile
 
 Tables = dict[str, DataFrame]
@@ -189,9 +190,7 @@ def profile_table(
         out["classes"] = D.value_counts(ds, label)
         out["length_by_class"] = D.box_stats(ds, "text_length", [label])
     if languages is not None and key is not None:
-        names = sorted(
-            r[0] for r in languages.select(language_label).distinct().limit(1000).collect() if r[0] is not None
-        )
+        names = class_names(languages.select(F.col(language_label).alias("y_true")))
         profile = language_profile(languages, language_text, language_label, names)
         found = detect_language(df, key, text, profile, names)
         out["language"] = found

@@ -22,18 +22,29 @@ def read_csv(
     **options: object,
 ) -> DataFrame:
     """First readable of several CSV locations, with a header and a declared
-    schema (no inference pass over the data). ``multi_line`` allows line breaks
-    inside quoted fields; a file is then read by one task, so leave it off
-    where the data does not need it."""
+    schema (no inference pass over the data). Columns are taken by the name in the
+    header, in any order; a declared column that the header lacks, a file of the
+    folder with another header, or a value that does not fit its type is an error.
+    ``multi_line`` allows line breaks inside quoted fields; a file is then read by
+    one task, so leave it off where the data does not need it."""
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     last: Exception | None = None
     for path in paths:
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+        reader = reader.option("mode", "FAILFAST").option("enforceSchema", False)
+        for k, v in options.items():
+            reader = reader.option(k, v)
         try:
-            reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-            for k, v in options.items():
-                reader = reader.option(k, v)
-            return reader.schema(schema).csv(path)
+            header = reader.csv(path).columns
         except PySparkException as e:
             last = e
+            continue
+        absent = [f.name for f in declared if f.name not in header]
+        if absent:
+            raise ValueError(f"columns {absent} are not in the header of {path}")
+        known = {f.name: f for f in declared}
+        ordered = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+        return reader.schema(ordered).csv(path).select(*[F.col(f"`{f.name}`") for f in declared])
     raise FileNotFoundError(f"no readable CSV among {list(paths)}") from last
 
 
@@ -87,11 +98,12 @@ def export_report(report: DataFrame, path: str, digits: int = 2) -> None:
 
 
 def write_by_class(df: DataFrame, path: str, dataset: str, label: str) -> None:
-    """One folder per dataset and class, class names made path-safe. Rows are
-    written where they are: no shuffle, so a dominant class is spread over many
-    files instead of one task."""
+    """One folder per dataset and class, class names made path-safe. The rebalance
+    hint brings a class's rows together, so that it has few files, and splits a
+    dominant class over tasks."""
+    named = df.withColumn("class_safe", path_safe(F.col(label).cast("string")))
     (
-        df.withColumn("class_safe", path_safe(F.col(label).cast("string")))
+        named.hint("rebalance", F.col(f"`{dataset}`"), F.col("class_safe"))
         .write.mode("overwrite")
         .partitionBy(dataset, "class_safe")
         .parquet(path)

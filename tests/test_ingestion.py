@@ -166,3 +166,13 @@ def test_csv_fallback(spark, tmp_path):
     assert rows(got) == [(1, 'a "quoted", one')]
     with pytest.raises(FileNotFoundError):
         S.read_csv(spark, [str(tmp_path / "absent")], "i int")
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    p = str(tmp_path / "d")
+    spark.createDataFrame([("en", "x", 1), ("de", "y", 2)], "lang string, more string, doc_id int").write.option("header", True).csv(p)
+    assert rows(S.read_csv(spark, [p], "doc_id int, lang string")) == [(1, "en"), (2, "de")]
+    with pytest.raises(ValueError):
+        S.read_csv(spark, [p], "doc_id int, absent string")
+    with pytest.raises(Exception):  # noqa: B017
+        S.read_csv(spark, [p], "lang int").collect()
