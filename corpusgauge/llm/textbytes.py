@@ -35,7 +35,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+class _Tables(dict):
+    """A cache that travels empty: functions are sent to the workers by value."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_powers: dict[int, np.ndarray] = _Tables()
 
 
 def powers(base: int, n: int) -> np.ndarray:
