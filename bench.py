@@ -28,6 +28,7 @@ HEADLINE = {
     "f9_class_unigrams": "documents",
     "f12_language": "documents",
     "b3_word_tokens": "documents",
+    "b6_drop_dictionary": "documents",
     "b7_collapse_repeats": "documents",
     "d0_null_profile": "documents",
     "d1_row_duplicates": "documents",
@@ -46,9 +47,11 @@ HEADLINE = {
     "h15_small_classes_merged": "documents",
     "i3_hash_tree": "lineitem",
     "i6_compare_stats": "orders",
+    "i8_overall_status": "orders",
     "j1_tfidf_terms": "documents",
     "k1_normalise_label": "documents",
     "k8_similarity_gate": "embeddings",
+    "k9_near_copies": "documents",
 }
 
 

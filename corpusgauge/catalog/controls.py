@@ -8,13 +8,13 @@ from ..datasets import DATASET
 from ..functions import labels as Lb
 from ..operators import controls as K
 from ..operators import evaluation as E
-from .registry import LANGS, PRED, SPACE_SQL, predictions, query, table
+from .registry import LANGS_SQL, PRED, SPACE_SQL, langs, predictions, query, table
 
 _KINDS = """case doc_id % 8 when 0 then lang when 1 then 'Label: ' || upper(lang) || '.' when 2 then '  the category is "' || lang || '"'
   when 3 then lang || ' - surely' when 4 then 'unknown' when 5 then 'Category: ' || lang || ' ' || source when 6 then source || lang || ' and a rather long explanation'
   else 'predicted label: ' || lang || ';' end"""
 RAW = f"raw as (select doc_id, lang, {_KINDS} as answer from documents)"
-_CLASSES = "['de', 'en', 'es', 'fr']"
+_CLASSES = LANGS_SQL
 
 
 def raw_labels(spark, sf):
@@ -47,7 +47,8 @@ k3 as (select doc_id, lang, answer, case when list_contains({_CLASSES}, a) then
 
 @query("k1_normalise_label", f"with {K1_SQL} select doc_id, answer, label from k3")
 def k1(spark, sf):
-    return raw_labels(spark, sf).select("doc_id", "answer", Lb.normalise_label("answer", LANGS).alias("label"))
+    df = raw_labels(spark, sf)
+    return df.select("doc_id", "answer", Lb.normalise_label("answer", langs(df)).alias("label"))
 
 
 K2_SQL = f"""{RAW}, g as (select doc_id, lang, case when doc_id % 31 = 0 then null when doc_id % 37 = 0 then '  ' else answer end as answer from raw),
@@ -66,7 +67,8 @@ def _gaps(spark, sf):
 
 @query("k2_match_label", f"with {K2_SQL} select doc_id, label from k2")
 def k2(spark, sf):
-    return _gaps(spark, sf).select("doc_id", Lb.match_label("answer", LANGS).alias("label"))
+    df = _gaps(spark, sf)
+    return df.select("doc_id", Lb.match_label("answer", langs(df)).alias("label"))
 
 
 @query(
@@ -75,38 +77,44 @@ def k2(spark, sf):
 )
 def k3(spark, sf):
     """NULL labels stand for failed calls."""
-    found = F.when(F.col("doc_id") % 41 > 0, Lb.normalise_label("answer", LANGS))
-    return raw_labels(spark, sf).select("doc_id", Lb.mark_invalid(found, LANGS).alias("label"))
+    df = raw_labels(spark, sf)
+    classes = langs(df)
+    found = F.when(F.col("doc_id") % 41 > 0, Lb.normalise_label("answer", classes))
+    return df.select("doc_id", Lb.mark_invalid(found, classes).alias("label"))
 
 
 @query(
     "k3_report_with_invalid",
     f"""with {K1_SQL}, x as (select lang as y_true, case when list_contains({_CLASSES}, label) then label else 'INVALID_PREDICTION' end as y_pred from k3)
-        select label, (select count(*) from x where y_true = label)::double as support, (select count(*) from x where y_pred = label) as predicted
-        from (values ('INVALID_PREDICTION'), ('de'), ('en'), ('es'), ('fr')) l(label)""",
+        , l as (select unnest(list_append({_CLASSES}, 'INVALID_PREDICTION')) as label),
+        c as (select label, (select count(*) from x where y_true = label) as support, (select count(*) from x where y_pred = label) as predicted,
+                     (select count(*) from x where y_true = label and y_pred = label) as tp from l)
+        select label, support::double as support, predicted, round(coalesce(tp / nullif(predicted, 0), 0), 6) as precision,
+          round(coalesce(tp / nullif(support, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(predicted + support, 0), 0), 6) as f1 from c""",
 )
 def k3_report(spark, sf):
-    found = Lb.mark_invalid(Lb.normalise_label("answer", LANGS), LANGS)
-    df = raw_labels(spark, sf).select(F.lit("all").alias(DATASET), F.col("lang").alias("y_true"), found.alias("y_pred"))
-    cf = E.confusion(df, "y_true", "y_pred")
-    report = E.classification_report(cf, labels=Lb.report_labels(LANGS)).filter("section = 0")
+    df = raw_labels(spark, sf)
+    classes = langs(df)
+    found = Lb.mark_invalid(Lb.normalise_label("answer", classes), classes)
+    cf = E.confusion(df.select(F.lit("all").alias(DATASET), F.col("lang").alias("y_true"), found.alias("y_pred")), "y_true", "y_pred")
+    report = E.classification_report(cf, labels=Lb.report_labels(classes)).filter("section = 0")
     predicted = E.class_counts(cf).select("label", "predicted")
     return report.join(predicted, "label", "left").select(
-        "label", "support", F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted")
+        "label", "support", F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"), "precision", "recall", "f1"
     )
 
 
 @query(
     "k4_macro_precision",
-    f"""with {K2_SQL}, l(c) as (values ('de'), ('en'), ('es'), ('fr'), ('it')), p as (select c, coalesce((select count(*) filter (where lang = label) / nullif(count(*), 0) from k2 where label = c), 0) as p from l)
+    f"""with {K2_SQL}, l as (select unnest(list_append({_CLASSES}, 'it')) as c), p as (select c, coalesce((select count(*) filter (where lang = label) / nullif(count(*), 0) from k2 where label = c), 0) as p from l)
         select 'all' as dataset, (select count(*) from k2) as n, round(avg(p), 6) as score from p""",
 )
 def k4(spark, sf):
     """Over a fixed class list, one class of which never occurs."""
-    df = _gaps(spark, sf).select(
-        F.lit("all").alias(DATASET), F.col("lang").alias("t"), Lb.match_label("answer", LANGS).alias("p")
-    )
-    return E.macro_precision_score(E.confusion(df, "t", "p"), [*LANGS, "it"])
+    df = _gaps(spark, sf)
+    classes = langs(df)
+    df = df.select(F.lit("all").alias(DATASET), F.col("lang").alias("t"), Lb.match_label("answer", classes).alias("p"))
+    return E.macro_precision_score(E.confusion(df, "t", "p"), [*classes, "it"])
 
 
 @query(
@@ -114,10 +122,10 @@ def k4(spark, sf):
     f"with {K1_SQL} select 'all' as dataset, count(*) as n, round(avg((list_contains({_CLASSES}, label) and label = lang)::int), 6) as score from k3",
 )
 def k5(spark, sf):
-    df = raw_labels(spark, sf).select(
-        F.lit("all").alias(DATASET), "lang", Lb.normalise_label("answer", LANGS).alias("label")
-    )
-    return E.exact_match_score(df, "lang", "label", LANGS)
+    df = raw_labels(spark, sf)
+    classes = langs(df)
+    df = df.select(F.lit("all").alias(DATASET), "lang", Lb.normalise_label("answer", classes).alias("label"))
+    return E.exact_match_score(df, "lang", "label", classes)
 
 
 @query(

@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .registry import (
     DS,
     GAPPY,
-    LANGS,
+    langs,
     STOP_LIST,
     basic_sql,
     bigrams_sql,
@@ -186,8 +186,10 @@ found as (select doc_id, coalesce(language, 'error') as language from documents
 
 def _detected(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    profile = cut_lineage(language.language_profile(df.filter("doc_id % 10 < 6"), "text", "lang", LANGS))
-    return language.detect_language(df, "doc_id", "text", profile, LANGS)
+    known = df.filter("doc_id % 10 < 6")
+    names = langs(known)
+    profile = cut_lineage(language.language_profile(known, "text", "lang", names))
+    return language.detect_language(df, "doc_id", "text", profile, names)
 
 
 @query("f12_language", f"with {_LANG_SQL} select * from found")

@@ -10,11 +10,13 @@ from pyspark.sql import types as T
 
 from ..datasets import DATASET, DatasetSet
 from ..functions.stopwords import ENGLISH
+from ..operators.evaluation import class_names
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 DATASETS = ("train", "test", "oot", "prod")
+# display columns of one confusion matrix; class lists are taken from the data
 LANGS = ("de", "en", "es", "fr")
 DIGITS = 6
 
@@ -51,6 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def langs(df: DataFrame, column: str = "lang") -> list[str]:
+    """The class list of the data at hand."""
+    return class_names(df.select(F.col(column).alias("y_true")))
+
+
+LANGS_SQL = "(select list(distinct lang order by lang) from documents where lang is not null)"
+
+
 # -- views, in Spark and in SQL -----------------------------------------------
 
 

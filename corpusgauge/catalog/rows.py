@@ -373,10 +373,14 @@ def b18_positional(spark, sf):
     return R.positional_split(df, "o_orderkey", [("train", 0.6), ("val", 0.2), ("holdout", 0.2)])
 
 
-@query("b18_hash_split")
+@query(
+    "b18_hash_split",
+    """select doc_id, lang, case when ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 1000000 < 750000 then 'train' else 'test' end as part from documents""",
+)
 def b18_hash(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "lang")
-    return R.hash_split(df, "doc_id", [("train", 0.75), ("test", 0.25)])
+    digest = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return R.hash_split(df, "doc_id", [("train", 0.75), ("test", 0.25)], order=digest)
 
 
 @query(

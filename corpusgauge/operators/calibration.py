@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import count_if, ratio
+from ..session import cut_lineage
 from .common import attach_groups
+from .rows import stratified_split
 
 KEY = ["fold", "class"]
 
@@ -21,14 +23,20 @@ KEY = ["fold", "class"]
 # -- margins ------------------------------------------------------------------
 
 
-def fold_of(key: str, folds: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
+    """``df`` with ``fold``: every class is dealt evenly to the folds, so that no fold
+    lacks one. A class with fewer rows than folds is an error."""
+    rare = df.groupBy(label).count().filter(F.col("count") < folds).limit(20).collect()
+    if rare:
+        raise ValueError(f"classes with fewer than {folds} rows: {sorted(r[label] for r in rare)}")
+    split = stratified_split(df, key, label, [(str(f), 1.0) for f in range(folds)])
+    return split.withColumn("fold", F.col("part").cast("int")).drop("part")
 
 
 def fit_margins(train: DataFrame, max_iter: int = 2000, reg: float = 1e-3):
     """One-vs-rest linear classifier on ``features`` and ``code``."""
     base = LinearSVC(regParam=reg, maxIter=max_iter)
-    return OneVsRest(classifier=base, featuresCol="features", labelCol="code", parallelism=4).fit(train)
+    return OneVsRest(classifier=base, featuresCol="features", labelCol="code", parallelism=8).fit(train)
 
 
 def margins_of(model, df: DataFrame, key: str, classes: Sequence[str], *keep: str) -> DataFrame:
@@ -44,11 +52,12 @@ def margins_of(model, df: DataFrame, key: str, classes: Sequence[str], *keep: st
 def fold_margins(
     train: DataFrame, test: DataFrame, key: str, classes: Sequence[str], folds: int = 3, **fit
 ) -> tuple[DataFrame, DataFrame]:
-    """Fit one classifier per fold on the other folds' rows. Returns the
+    """Fit one classifier per fold on the other folds' rows, the folds being
+    stratified by class. Returns the
     margins of each fold's own rows, with ``positive``, to calibrate on, and
     the margins of ``test`` under every fold's classifier. Both are
     ``(key, fold, class, margin)``; store them before calibrating."""
-    tagged = train.withColumn("fold", fold_of(key, folds))
+    tagged = cut_lineage(stratified_folds(train, key, "code", folds))
     names = F.array(*[F.lit(c) for c in classes])
     held, scored = None, None
     for f in range(folds):

@@ -14,8 +14,9 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from ..functions.columns import ratio
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN, word_tokens
+from ..session import cut_lineage
 from .common import spread
 
 VOCABULARY = 5000
@@ -103,23 +105,16 @@ def tfidf_terms(
 def svd_points(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[DataFrame, list[float]]:
     """Rows projected on the ``k`` largest singular directions, ``(key, x1..xk)``,
     and the singular values. The sign of a direction is free."""
-    rows = df.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
+    # stored once: every step of the decomposition reads the vectors again
+    stored = cut_lineage(df.select(key, features))
+    rows = MLUtils.convertVectorColumnsFromML(stored.select(features), features)
     svd = RowMatrix(rows).computeSVD(k, computeU=False)
     basis = svd.V.toArray()
-    # one row of the basis per feature: as large as the vocabulary
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(int(i), [float(v) for v in row]) for i, row in enumerate(basis)], "i long, b array<double>"
-    )
-    from pyspark.ml.functions import vector_to_array
-
-    cells = df.select(key, F.posexplode(vector_to_array(features)).alias("i", "w")).filter("w <> 0")
-    points = (
-        cells.join(F.broadcast(table), "i")
-        .groupBy(key)
-        .agg(*[F.sum(F.col("w") * F.col("b")[j]).alias(f"x{j + 1}") for j in range(k)])
-    )
-    out = df.select(key).join(points, key, "left").select(
-        key, *[F.coalesce(f"x{j + 1}", F.lit(0.0)).alias(f"x{j + 1}") for j in range(k)]
-    )
-    return out, [float(s) for s in svd.s]
+    # a row meets the basis, as long as the vocabulary, where it lies
+    x = vector_to_array(features)
+    points = []
+    for j in range(k):
+        direction = F.lit([float(v) for v in basis[:, j]])
+        dot = F.aggregate(F.zip_with(x, direction, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        points.append(F.coalesce(dot, F.lit(0.0)).alias(f"x{j + 1}"))
+    return stored.select(key, *points), [float(s) for s in svd.s]

@@ -103,10 +103,13 @@ def sample_rows(
     return df.orderBy(order, F.col(key)).limit(n)
 
 
-def hash_split(df: DataFrame, key: str, shares: Sequence[tuple[str, float]], seed: int = 42) -> DataFrame:
+def hash_split(
+    df: DataFrame, key: str, shares: Sequence[tuple[str, float]], seed: int = 42, order: Column | None = None
+) -> DataFrame:
     """Random split by key without a shuffle: a row's part depends on its own
-    key only. Shares hold in expectation."""
-    u = F.pmod(order_hash(key, seed), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    key only, or on another whole number ``order``. Shares hold in expectation."""
+    order = order_hash(key, seed) if order is None else order
+    u = F.pmod(order, F.lit(1_000_000)) / F.lit(1_000_000.0)
     return df.withColumn("part", _part_of(u, shares))
 
 
@@ -120,13 +123,17 @@ def _part_of(u: Column, shares: Sequence[tuple[str, float]]) -> Column:
     return F.lit(shares[-1][0]) if out is None else out.otherwise(shares[-1][0])
 
 
+#: Rows that one task ranks in a stratified split.
+SLICE_ROWS = 250_000
+
+
 def stratified_split(
     df: DataFrame,
     key: str,
     label: str,
     shares: Sequence[tuple[str, float]],
     order: Column | None = None,
-    buckets: int = 1024,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Split every class in the given shares, exactly to a row.
 
@@ -134,8 +141,10 @@ def stratified_split(
     by default; any integer column otherwise). Ranks are taken inside slices of
     the order and shifted by the sizes of the slices before, so that no task
     ranks a whole class. Slices follow approximate quantiles of the order, so
-    unevenly spaced keys still give even slices.
+    unevenly spaced keys still give even slices; there are as many of them as make
+    ``SLICE_ROWS`` rows each.
     """
+    buckets = buckets or max(2, df.count() // SLICE_ROWS + 1)
     if order is None:
         order = order_hash(key, 42)
         inner_edges = [-(2.0**63) + 2.0**64 * i / buckets for i in range(1, buckets)]
@@ -163,7 +172,7 @@ def stratified_split(
 
 
 def positional_split(
-    df: DataFrame, key: str, shares: Sequence[tuple[str, float]], buckets: int = 1024
+    df: DataFrame, key: str, shares: Sequence[tuple[str, float]], buckets: int | None = None
 ) -> DataFrame:
     """Split a table in key order (60/20/20 and the like): the first share of
     the rows, then the next. The key is an integer."""

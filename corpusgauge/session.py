@@ -26,18 +26,22 @@ def local_session(cores: str | int = "*", app: str = "corpusgauge") -> SparkSess
     return spark
 
 
+_local_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``. A local session
     without the setting (tests) gets a folder of its own; a cluster session
     without it is an error, because a machine-local folder is lost with its
     executor."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="corpusgauge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named is not None:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="corpusgauge-"))
+    return _local_folder[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -19,8 +19,8 @@ SAMPLE = [
     "a7_class_folders", "b1_basic_tokens", "b6_drop_dictionary", "b18_stratified_split", "c1_reports_side_by_side",
     "c3_drop_conflicting_texts", "d1_row_duplicates", "d3_conflict_examples", "d9_describe_text", "e3_compare_discrete",
     "e8_box_by_class", "e11_year_buckets", "f2_oov_rates", "f9_class_bigrams", "g4_pair_datetime", "h2_overall",
-    "h7_metrics_by_quantile_bin", "h8_threshold_curve", "h15_small_classes_merged", "i3_hash_tree", "j1_tfidf_terms",
-    "j7_top_classes", "k1_normalise_label", "k8_similarity_gate",
+    "h7_metrics_by_quantile_bin", "h8_threshold_curve", "h15_small_classes_merged", "h17_class_without_share", "h5_categories_per_dataset", "i3_hash_tree", "j1_tfidf_terms",
+    "j7_top_classes", "k1_normalise_label", "k8_similarity_gate", "k9_near_copies",
 ]
 NAMES = list(QUERIES) if FULL else SAMPLE
 # the hook for user functions, and Spark ML's own vector helpers
