@@ -5,7 +5,8 @@ Spark's ``percentile`` keeps all distinct values of a group in one buffer, so
 larger than ``SMALL_GROUP``. Beyond that it works in two passes: a mergeable
 sketch brackets every wanted rank from both sides, then only the values inside
 the brackets are counted exactly. A bracket holds about 4 values in 10,000 of
-its group, equal values being one row; everything under it is a plain count.
+its group, equal values being one row, and is ranked in a thousand parts;
+everything under it is a plain count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 ACCURACY = 10_000
 # Rows a group may have for the one-buffer aggregate.
 SMALL_GROUP = 1_000_000
+# Even parts of a bracket whose values are ranked apart.
+SUB_RANGES = 1024
 # Largest number of bracket rows sent to every executor.
 BROADCAST_GROUPS = 20_000
 
@@ -118,6 +121,7 @@ def exact_quantiles(
                     F.lit(i).alias("prob"),
                     bracket(j, i)["n"].alias("n"),
                     F.col(tags[j]).alias("value"),
+                    _sub_range(F.col(tags[j]), bracket(j, i)["lo"], bracket(j, i)["hi"]).alias("sub"),
                 ),
             )
             for j, i in pairs
@@ -126,11 +130,19 @@ def exact_quantiles(
     inside = (
         joined.select(*ks, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("t"))
         .select(*ks, "t.*")
-        .groupBy(*ks, "col", "prob", "n", "value")
+        .groupBy(*ks, "col", "prob", "n", "sub", "value")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    upto = F.sum("c").over(W.partitionBy(*ks, "col", "prob").orderBy("value"))
-    ranked = inside.withColumn("upto", upto)
+    # running counts inside a sub-range, shifted by the sub-ranges before it: no task
+    # ranks the values of a whole bracket
+    place = [*ks, "col", "prob", "sub"]
+    before = W.partitionBy(*ks, "col", "prob").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
+    ranges = inside.groupBy(*place).agg(F.sum("c").alias("s"))
+    ranges = ranges.select(
+        *[F.col(c).alias(f"r_{c}") for c in place], F.coalesce(F.sum("s").over(before), F.lit(0)).alias("shift")
+    )
+    upto = F.sum("c").over(W.partitionBy(*place).orderBy("value")) + F.col("shift")
+    ranked = inside.join(ranges, all_of([F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in place])).withColumn("upto", upto)
 
     probe = F.array(*[F.lit(float(p)) for p in probs])
     l, r = ranked.alias("l"), below.alias("r")
@@ -161,6 +173,12 @@ def exact_quantiles(
     )
 
 
+def _sub_range(value: Column, lo: Column, hi: Column) -> Column:
+    """Which of ``SUB_RANGES`` even parts of a bracket a value lies in."""
+    part = F.floor((value - lo) / F.nullif(hi - lo, F.lit(0.0)) * SUB_RANGES)
+    return F.coalesce(F.least(part, F.lit(SUB_RANGES - 1)), F.lit(0)).cast("int")
+
+
 def _one_buffer(src, keys, ks, values, tags, probs) -> DataFrame:
     grid = F.array(*[F.lit(float(p)) for p in probs])
     rows = src.groupBy(*ks).agg(
