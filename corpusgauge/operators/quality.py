@@ -205,33 +205,28 @@ def drop_conflicting_texts(df: DataFrame, text: str, label: str) -> DataFrame:
 
 
 def zero_variance_columns(ds: DatasetSet) -> DataFrame:
-    """Numeric and text columns with exactly one distinct non-null value."""
+    """Numeric and text columns with exactly one distinct non-null value. Texts are
+    told apart by a hash, so that no row is sorted with them; the few values found
+    are looked up afterwards."""
     df = ds.long()
-    cols = [
-        f.name
-        for f in df.schema.fields
-        if f.name != DATASET and isinstance(f.dataType, (T.NumericType, T.StringType))
-    ]
-    agg = df.groupBy(DATASET).agg(
-        *[(F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)],
-        *[F.min(f"`{c}`").cast("string").alias(f"v{i}") for i, c in enumerate(cols)],
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"c{i}").alias("constant"),
-                F.when(F.col(f"c{i}"), F.col(f"v{i}")).alias("value"),
-            )
-            for i, c in enumerate(cols)
-        ]
-    )
-    return (
-        agg.select(DATASET, F.explode(cells).alias("x"))
-        .select(DATASET, "x.*")
-        .filter("constant")
-        .select(DATASET, "column", "value")
+    fields = [f for f in df.schema.fields if f.name != DATASET]
+    texts = {f.name for f in fields if isinstance(f.dataType, T.StringType)}
+    cols = [f.name for f in fields if f.name in texts or isinstance(f.dataType, T.NumericType)]
+    code = {c: F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")) if c in texts else F.col(f"`{c}`") for c in cols}
+    facts = df.groupBy(DATASET).agg(
+        *[(F.min(code[c]) == F.max(code[c])).alias(f"c{i}") for i, c in enumerate(cols)],
+        *[F.min(code[c]).cast("string").alias(f"v{i}") for i, c in enumerate(cols)],
     )
+    rows = []
+    for r in facts.collect():  # a row per dataset
+        for i, c in enumerate(cols):
+            if r[f"c{i}"]:
+                value = r[f"v{i}"]
+                if c in texts:
+                    here = (F.col(DATASET) == F.lit(r[DATASET])) & F.col(f"`{c}`").isNotNull()
+                    value = df.filter(here).select(f"`{c}`").first()[0]
+                rows.append((r[DATASET], c, value))
+    return df.sparkSession.createDataFrame(rows, f"{DATASET} string, column string, value string")
 
 
 def _text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
