@@ -51,7 +51,7 @@ class Forest:
     region: int = 8
     # regions in which a document has met this many others get more trees
     dense: int = 8
-    more_trees: int = 96
+    more_trees: int = 64
     # share of equal signature values from which a pair of a dense region is confirmed
     likely: float = 0.68
     seed: int = 11
