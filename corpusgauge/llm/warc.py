@@ -7,8 +7,8 @@ match. Records of equal payloads of at least ``least`` bytes: the one with the
 largest id is the response and the others are revisits that refer to it.
 
 A payload that a third of all pages share is grouped by digest with partial sums,
-so its rows never meet; only chosen payloads are shuffled with their bytes, by
-page id.
+so its rows never meet; payload bytes are shuffled once, by page id, and only the
+chosen ones are written.
 
 Defined results: a NULL page has an empty payload; a NULL URL leaves out the
 target header; control characters in a URL are percent-encoded in the header. Of
