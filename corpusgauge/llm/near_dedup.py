@@ -8,7 +8,7 @@ is ever gathered or paired. The orders are range-partitioned sorts, so a region
 any size spreads over tasks. Candidates are confirmed on the full shingle sets, and
 confirmed links form components. Documents of dense regions are sorted again by
 further trees, in which they meet only documents of other components, until a round
-of trees joins no components any more.
+of trees links fewer than one in ``worth`` of them.
 
 Documents of equal shingle sets are one class before any of this (grouped by digest
 with partial minima); a group of copies that holds a third of all rows enters the
@@ -52,6 +52,8 @@ class Forest:
     # regions in which a document has met this many others get more trees
     dense: int = 8
     more_trees: int = 64
+    # a round that links fewer than one in so many documents of dense regions is the last
+    worth: int = 500
     # share of equal signature values from which a pair of a dense region is confirmed
     likely: float = 0.68
     seed: int = 11
@@ -274,17 +276,19 @@ def near_duplicates(
     crowded = crowded.filter(F.col("n") >= how.dense).select("id")
     dense = stored(classes.join(crowded, "id"), "forest-dense")
     tested = pairs
-    round_no = 0 if dense.isEmpty() else 1
+    n_dense = dense.count()
+    round_no = 1 if n_dense else 0
     while round_no:
         at = dense.join(found, "id", "left")
         at = stored(at.select("id", "signature", F.coalesce("component", "id").alias("component")), "forest-round")
         new = stored(candidates(at, how, round_no).join(tested, ["a", "b"], "left_anti"), "forest-pairs")
         tested = tested.union(new)
         more = stored(confirm(new, docs, how, key, text), "forest-links")
-        if more.isEmpty():
-            break
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-        round_no += 1
+        joined = more.count()
+        if joined:
+            found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+        # the last links of a dense region are not worth a round of trees over all of it
+        round_no = round_no + 1 if joined * how.worth >= n_dense else 0
     found = found.withColumnRenamed("id", "rep")
     named = groups.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", "n_shingles", "digest").join(named, "digest", "left")
