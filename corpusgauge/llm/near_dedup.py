@@ -8,7 +8,9 @@ is ever gathered or paired. The orders are range-partitioned sorts, so a region
 any size spreads over tasks. Candidates are confirmed on the full shingle sets, and
 confirmed links form components. Documents of dense regions are sorted again by
 further trees, in which they meet only documents of other components, until a round
-of trees links fewer than one in ``worth`` of them.
+of trees links fewer than one in ``worth`` of them. What these rounds leave is found
+exactly: documents of dense regions that are still in different components meet by a
+prefix filter on their rarest shingles, so the rounds only save pairs.
 
 Documents of equal shingle sets are one class before any of this (grouped by digest
 with partial minima); a group of copies that holds a third of all rows enters the
@@ -53,6 +55,7 @@ class Forest:
     dense: int = 8
     more_trees: int = 64
     # a round that links fewer than one in so many documents of dense regions is the last
+    # before the exact join
     worth: int = 500
     # share of equal signature values from which a pair of a dense region is confirmed
     likely: float = 0.68
@@ -258,6 +261,90 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: Forest, key: str, text: str)
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Shingles are counted in so many buckets, sent in pieces of 1,024.
+BUCKET_BITS, PIECE_BITS = 18, 10
+
+
+def shingle_counts(texts: DataFrame, how: Forest) -> np.ndarray:
+    """How many texts hold a shingle of each bucket. Any order of the shingles gives the
+    same links; this one puts the rare ones first."""
+    size, piece = 1 << BUCKET_BITS, 1 << PIECE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for c in chunks(batch.column(0)):
+                g, _ = shingle_sets(c, how.shingle)
+                total += np.bincount((g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+        parts = total.reshape(-1, piece)
+        some = np.flatnonzero(parts.any(axis=1))
+        rows = [parts[i].tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(rows, pa.binary())], ["piece", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(v, dtype=np.int64)
+                total[i] = total[i] + x if i in total else x
+        rows = [x.tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rows, pa.binary())], ["piece", "v"])
+
+    parts = texts.select("text").mapInArrow(run, "piece int, v binary")
+    sums = parts.repartition("piece").mapInArrow(add, "piece int, v binary")
+    out = np.zeros((size // piece, piece), dtype=np.int64)
+    for i, v in stored(sums, "forest-counts").toPandas().itertuples(index=False):  # a row per piece
+        out[i] = np.frombuffer(v, dtype=np.int64)
+    return out.ravel()
+
+
+def open_pairs(at: DataFrame, docs: DataFrame, how: Forest, key: str, text: str) -> DataFrame:
+    """All pairs (a < b) of the documents of ``at`` that lie in different components and
+    can overlap enough.
+
+    Two sets that do share one of the rarest shingles of both, and the first that they
+    share leaves enough behind it on either side. A shingle meets across components
+    only: the rows of its commonest component are never paired with each other.
+    """
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).dropDuplicates(["id"])
+    texts = stored(at.select("id", "component").join(texts, "id"), "forest-open")
+    counts = shingle_counts(texts, how)
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(2)):
+                g, first = shingle_sets(c, how.shingle)
+                owner = np.repeat(np.arange(len(c)), np.diff(first))
+                order = np.lexsort((g, counts[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], owner))
+                n = np.diff(first)[owner]
+                place = np.arange(len(g)) - first[:-1][owner]
+                lead = np.flatnonzero(place <= n + (-how.percent * n) // 100)
+                row = pa.array(c.row + owner[lead])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(g[order][lead].view(np.int64)),
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        pa.array(n[lead].astype(np.int32)),
+                        pa.array((n - place)[lead].astype(np.int32)),
+                    ],
+                    ["g", "id", "component", "n", "rest"],
+                )
+
+    rows = texts.mapInArrow(rarest, f"g long, id {kind}, component {kind}, n int, rest int")
+    rows = stored(rows, "forest-rarest")
+    held = rows.groupBy("g", "component").agg(F.count("*").alias("n"))
+    held = held.groupBy("g").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("k"))
+    held = held.filter("k > 1").select("g", "main")
+    across = stored(rows.join(held, "g"), "forest-across")
+    x = across.filter("component <> main").select("g", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "rest")])
+    y = across.alias("y")
+    enough = f"{100 + how.percent} * least(x_rest, y.rest) >= {how.percent} * (x_n + y.n)"
+    pairs = x.join(y, "g").filter(f"x_component <> y.component and (y.component = y.main or x_id < y.id) and {enough}")
+    return pairs.select(F.least("x_id", "y.id").alias("a"), F.greatest("x_id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, how: Forest | None = None, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -277,18 +364,20 @@ def near_duplicates(
     dense = stored(classes.join(crowded, "id"), "forest-dense")
     tested = pairs
     n_dense = dense.count()
-    round_no = 1 if n_dense else 0
-    while round_no:
+    round_no, more_rounds = 1, bool(n_dense)
+    while more_rounds is not None and n_dense:
         at = dense.join(found, "id", "left")
         at = stored(at.select("id", "signature", F.coalesce("component", "id").alias("component")), "forest-round")
-        new = stored(candidates(at, how, round_no).join(tested, ["a", "b"], "left_anti"), "forest-pairs")
+        near = candidates(at, how, round_no) if more_rounds else open_pairs(at, docs, how, key, text)
+        new = stored(near.join(tested, ["a", "b"], "left_anti"), "forest-pairs")
         tested = tested.union(new)
         more = stored(confirm(new, docs, how, key, text), "forest-links")
         joined = more.count()
         if joined:
             found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-        # the last links of a dense region are not worth a round of trees over all of it
-        round_no = round_no + 1 if joined * how.worth >= n_dense else 0
+        # the last links of a dense region are not worth a round of trees over all of it:
+        # the exact join finds them, and after it none are left
+        more_rounds, round_no = (joined * how.worth >= n_dense if more_rounds else None), round_no + 1
     found = found.withColumnRenamed("id", "rep")
     named = groups.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("id", "n_shingles", "digest").join(named, "digest", "left")

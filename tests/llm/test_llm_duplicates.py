@@ -174,6 +174,26 @@ def test_crowded_near_duplicates(spark):
     assert missed <= 3, missed
 
 
+def template_family(n_pairs):
+    """Pairs of similarity 0.82 in a family whose other pairs have 0.74."""
+    rows = []
+    core = [f"core{i}" for i in range(88)]
+    for k in range(n_pairs):
+        own = [f"c{k}x{i}" for i in range(5)]
+        rows += [(2 * k + i, " ".join([*core, *own, *(f"d{k}y{i}z{j}" for j in range(10))])) for i in range(2)]
+    return rows
+
+
+def test_dense_links_do_not_depend_on_the_rounds_of_trees(spark):
+    rows = template_family(250)
+    want, _ = near_classes(rows, 5)
+    assert len(set(want.values())) == 250
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # one round of one tree, then the exact join
+    how = near_dedup.Forest(trees=8, dense=0, more_trees=1, worth=0)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, how).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(5, 5), (None, 3)]
