@@ -257,11 +257,13 @@ class Items:
         return (share, answer) if share >= how.sure or answer >= how.answer_share else None
 
 
-def _peaks(cosine: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of places (x, y) those no lower than the rows before and after them."""
+def _peaks(cosine: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (x, y) those no lower than the rows of the same document before and
+    after them."""
     value = cosine[x, y]
-    before = np.where(x > 0, cosine[np.maximum(x - 1, 0), y], -1.0)
-    after = np.where(x + 1 < len(cosine), cosine[np.minimum(x + 1, len(cosine) - 1), y], -1.0)
+    w, z = np.maximum(x - 1, 0), np.minimum(x + 1, len(cosine) - 1)
+    before = np.where((x > w) & (doc[w] == doc[x]), cosine[w, y], -1.0)
+    after = np.where((x < z) & (doc[z] == doc[x]), cosine[z, y], -1.0)
     top = (value >= before) & (value >= after)
     return x[top], y[top]
 
@@ -292,8 +294,8 @@ def _search(items: Items, latent: np.ndarray, how: Retrieval):
                     for i in range(0, len(at), 4096):
                         cosine = _unit(window[at[i : i + 4096]]) @ wanted.T
                         x, y = np.nonzero(cosine >= how.cosine)
-                        # of neighbouring windows that are near one item, the nearest
-                        x, y = _peaks(cosine, x, y)
+                        # of a text's neighbouring windows that are near one item, the nearest
+                        x, y = _peaks(cosine, owner[at[i : i + 4096]], x, y)
                         near = np.concatenate([near, np.column_stack([at[i + x], numbers[y], offsets[y]])])
                     a, number, offset = near.T
                     n = items.sizes[number]

@@ -325,6 +325,20 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_neighbouring_documents_do_not_hide_each_others_leaks(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item = text(38)
+    # one window each, and all of them after one another in one batch
+    rows = [(i, text(rng.randint(5, 400))) for i in range(200)]
+    rows += [(1000 + k, f"{text(k % 3 * 3)} {item} {text(6 - k % 3 * 2)}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1000 + k, 7) for k in range(12)}
+
+
 @given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=14))
 @settings(max_examples=300, deadline=None)
 def test_common_subsequence(a, b):
