@@ -141,7 +141,8 @@ def tree_orders(how: Forest, round_no: int) -> np.ndarray:
 
 def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
     """Distinct pairs (a < b) of neighbours in the sorted orders of all trees, without
-    pairs whose ``component`` is the same already.
+    pairs whose ``component`` is the same already. In round 0 also a pair (a, a) for every
+    document that did not meet all documents of equal leading values in some tree.
 
     The two leading values are kept whole, since pairs must share them; of the
     following ones eight bits each, which only order the rows.
@@ -181,22 +182,31 @@ def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
     )
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    def among(prefix: list[np.ndarray], n: int, off: int) -> np.ndarray:
+        """Rows in a run of equal prefixes that is longer than ``off``."""
+        far = np.ones(max(n - off, 0), dtype=bool)
+        for p in prefix:
+            far &= p[off:] == p[: len(far)]
+        out = np.zeros(n, dtype=bool)
+        for i in range(off + 1):
+            out[i : i + len(far)] |= far
+        return out
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, keep = None, max(how.reach, how.region)
+        tail, near = None, min(how.reach + 1, how.region)
+        keep = max(how.reach + 1, how.region)
         for batch in batches:
             table = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks()
             old = 0 if tail is None else tail.num_rows
             n = table.num_rows
             prefix = [table.column(i).to_numpy() for i in range(3)]
             home = table.column(6).to_numpy()
-            # rows that share their leading values with one as far off as the region limit
-            far = np.ones(max(n - how.region, 0), dtype=bool)
-            for p in prefix:
-                far &= p[how.region :] == p[: len(far)]
-            crowded = np.zeros(n, dtype=bool)
-            for i in range(how.region + 1):
-                crowded[i : i + len(far)] |= far
+            # rows of more equal leading values than the region limit, than a row meets
+            crowded = among(prefix, n, how.region)
             left, right = [], []
+            if not round_no:
+                left.append(np.flatnonzero(among(prefix, n, near)))
+                right.append(left[0])
             for step in range(1, how.reach + 1):
                 if n <= step:
                     break
@@ -220,7 +230,7 @@ def candidates(classes: DataFrame, how: Forest, round_no: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.combine_chunks(), y.combine_chunks()], ["a", "b"])
 
     pairs = rows.mapInArrow(meet, f"a {kind}, b {kind}")
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, how: Forest, key: str, text: str) -> DataFrame:
@@ -356,17 +366,20 @@ def near_duplicates(
     classes = base.join(groups.select(F.col("rep").alias("id")).filter("id is not null").distinct(), "id")
     classes = stored(classes.select("id", "signature").dropDuplicates(["id"]), "forest-rows")
     apart = classes.withColumn("component", F.col("id"))
-    pairs = stored(candidates(apart, how), "forest-pairs")
+    met = stored(candidates(apart, how), "forest-pairs")
+    pairs = met.filter("a <> b")
     links = stored(confirm(pairs, docs, how, key, text), "forest-links")
     found = components(links)
     crowded = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     crowded = crowded.filter(F.col("n") >= how.dense).select("id")
     dense = stored(classes.join(crowded, "id"), "forest-dense")
+    # whatever a region kept apart meets in the exact join, however many it has met
+    cut_off = stored(classes.join(met.filter("a = b").select(F.col("a").alias("id")), "id"), "forest-cut-off")
     tested = pairs
     n_dense = dense.count()
     round_no, more_rounds = 1, bool(n_dense)
-    while more_rounds is not None and n_dense:
-        at = dense.join(found, "id", "left")
+    while more_rounds is not None:
+        at = (dense if more_rounds else cut_off).join(found, "id", "left")
         at = stored(at.select("id", "signature", F.coalesce("component", "id").alias("component")), "forest-round")
         near = candidates(at, how, round_no) if more_rounds else open_pairs(at, docs, how, key, text)
         new = stored(near.join(tested, ["a", "b"], "left_anti"), "forest-pairs")

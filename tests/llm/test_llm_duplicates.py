@@ -194,6 +194,15 @@ def test_dense_links_do_not_depend_on_the_rounds_of_trees(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, how).collect()} == want
 
 
+def test_rows_cut_off_in_a_region_are_searched_however_few_they_met(spark):
+    rows = template_family(250)
+    want, _ = near_classes(rows, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # no document counts as dense by the number of its pairs
+    how = near_dedup.Forest(trees=8, dense=10**6)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, how).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 60)] + [(5, 5), (None, 3)]
