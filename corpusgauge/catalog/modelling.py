@@ -152,19 +152,14 @@ def j6(spark, sf):
 
 @query("j6_isotonic_calibration")
 def j6_isotonic(spark, sf):
-    """Isotonic variant on centroid-like margins: the coordinates themselves."""
-    e = table(spark, sf, "embeddings").select(
-        "vec_id", "label", F.posexplode(F.slice("embedding", 1, 3)).alias("i", "margin")
-    )
-    m = e.select(
-        "vec_id",
-        F.pmod(F.xxhash64("vec_id"), F.lit(2)).cast("int").alias("fold"),
-        F.concat(F.lit("c"), F.col("i").cast("string")).alias("class"),
-        F.col("margin").cast("double").alias("margin"),
-        (F.col("label") == F.col("i")).alias("positive"),
-    )
-    pairs = [(f, f"c{i}") for f in range(2) for i in range(3)]
-    return C.fit_apply_isotonic(m, m, pairs).select("vec_id", "fold", "class", "p")
+    """Isotonic variant: monotone steps of every stratified fold and class, fitted on
+    the fold's own margins and applied to the held-out quarter of the vectors."""
+    df = cut_lineage(_vectors(spark, sf))
+    train, test = df.filter("vec_id % 4 <> 0"), df.filter("vec_id % 4 = 0").select("vec_id", "features")
+    held, scored = C.fold_margins(train, test, "vec_id", CLASSES, 3)
+    held, scored = cut_lineage(held), cut_lineage(scored)
+    pairs = [(f, c) for f in range(3) for c in CLASSES]
+    return C.fit_apply_isotonic(held, scored, pairs).select("vec_id", "fold", "class", "p")
 
 
 # scores of the ten classes: cosine to the class centroids, moved to 0..1

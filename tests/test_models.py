@@ -5,6 +5,7 @@ from conftest import by, rows
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from corpusgauge.catalog import QUERIES
 from corpusgauge.operators import calibration as C
 from corpusgauge.operators import controls as K
 from corpusgauge.operators import features, tuning
@@ -122,3 +123,23 @@ def test_model_files(spark, tmp_path):
     m = features.fit_tfidf(df, "text", 10, min_df=1, stop_words=["zz"])
     save_model(m, str(tmp_path / "m"))
     assert rows(m.transform(df), "features") == rows(load_model(str(tmp_path / "m")).transform(df), "features")
+
+
+def test_isotonic_query_scores_held_out_vectors_for_all_classes(spark, sf_dir, monkeypatch):
+    def margins(train, test, key, classes, folds):
+        """Margins from all coordinates, without the fits of the classifiers."""
+        assert train.join(test, key).count() == 0 and len(train.first()["features"]) == 64
+        names = F.array(*[F.lit(c) for c in classes])
+        long = lambda df: df.select("*", F.posexplode(vector_to_array("features")).alias("i", "margin"))
+        tagged = train.withColumn("fold", (F.col(key) % folds).cast("int"))
+        held = long(tagged).filter(F.col("i") < len(classes)).withColumn("class", names[F.col("i")])
+        held = held.select(key, "fold", "class", "margin", (F.col("code") == F.col("i")).alias("positive"))
+        scored = long(test).filter(F.col("i") < len(classes)).withColumn("class", names[F.col("i")])
+        scored = scored.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(folds)])))
+        return held, scored.select(key, "fold", "class", "margin")
+
+    monkeypatch.setattr(C, "fold_margins", margins)
+    got = QUERIES["j6_isotonic_calibration"](spark, sf_dir).select("vec_id", "fold", "class").collect()
+    held_out = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 4 = 0").count()
+    assert {r["class"] for r in got} == {f"c{i}" for i in range(10)} and {r["fold"] for r in got} == {0, 1, 2}
+    assert len(got) == 30 * held_out and all(r["vec_id"] % 4 == 0 for r in got)
