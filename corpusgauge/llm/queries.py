@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontaminate, line_dedup, mixture, near_dedup, pii, quality_rules, suffix_dedup, url_filter, warc
+from . import (
+    classifier, decontaminate, line_dedup, mixture, near_dedup, periodic, pii, quality_rules, suffix_dedup, url_filter, warc,
+    whitening,
+)
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +101,31 @@ def op2_decontamination(spark, sf_dir):
 @query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
     return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.looped_text("doc_id", "text").alias("text"))
+    found = periodic.periodic_runs(docs)
+    # runs come by start, then period: a later one must be greater to be taken
+    best = F.expr(
+        """aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+                     (b, x) -> if(b is null or x.length * b.period > b.length * x.period, x, b))"""
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.expr("sha2(array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), ''), 256)").alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # beyond the range of a long the exact deviation has none
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
