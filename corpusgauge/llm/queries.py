@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    classifier, decontaminate, line_dedup, mixture, near_dedup, periodic, pii, quality_rules, suffix_dedup, url_filter, warc,
-    whitening,
+    classifier, decontaminate, html_extract, line_dedup, mixture, near_dedup, periodic, pii, quality_rules, suffix_dedup, url_filter,
+    warc, whitening,
 )
 from .store import table
 
@@ -129,3 +129,29 @@ def op12_embedding_whitening(spark, sf_dir):
     out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     # beyond the range of a long the exact deviation has none
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def _main_text_sql() -> str:
+    """The given pages keep their whole main text, and nothing else, in one article
+    element of headings and paragraphs; SQL can cut that out and decode it."""
+    steps = [
+        ("'<!--.*?-->|<br>'", "' '"),
+        ("'</?(p|h1)>'", "chr(10)"),
+        ("'<[^>]*>'", "''"),
+        (r"'[\x20\t\x0B\x0C\r]+'", "' '"),
+        (r"' *\n[ \n]*'", "chr(10)"),
+        (r"'^[ \n]+|[ \n]+$'", "''"),
+        ("'&quot;?'", "'\"'"),
+        ("'&amp;?'", "'&'"),
+    ]
+    text = "regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's')"
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, {pattern}, {to}, 'gs')"
+    return f"select page_id, url, text, length(text) as n_chars from (select page_id, url, {text} as text from pages)"
+
+
+@query("op13_html_extraction", _main_text_sql())
+def op13_html_extraction(spark, sf_dir):
+    field = html_extract.fit(html_extract.labelled_pages(spark))
+    out = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), field)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
