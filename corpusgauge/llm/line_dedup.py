@@ -6,17 +6,25 @@ longer or equal lines probe the segment index with the few substrings whose plac
 the length difference allows. Candidates are verified by edit distance, bit-parallel
 in the band that the threshold leaves.
 
-The join runs in two steps, so that texts move once. First, segments and probes of all
-lines travel as hashes, and two semi-joins find the lines that have a partner at all.
-Then only those lines are fetched, joined again with a letter sketch that drops pairs
-too far apart, and verified. Equal lines are one line throughout: copies by the
-million are counted with partial sums. Both joins are ordinary ones that adaptive
-execution splits where a segment is frequent.
-
-Lines shorter than ``least`` bytes are prose's short ends; they are never linked nor
-removed. Defined results: a NULL text has no lines; repeated rows are copies whose
-later lines go; of a class the first line by id and number stays; a document left
-without words goes. Further columns of the input are kept by :func:`drop_lines`.
+The join runs in steps, so that texts move once and no family of near copies meets all
+against all. First, segments and probes of all lines travel as hashes, and two semi-joins
+find the lines that have a partner at all. Only those lines are fetched. Of the lines
+filed under one segment, the one of least digest then stands for the segment: every line
+that probes it meets that one only. The links found so join lines to components. What is
+left are segments that lines of several components share: there, and only there, lines
+outside the segment's largest component meet the lines of other components, so no link
+that could still join two components is missed, and pairs inside one, whose links could
+change nothing, are never formed. A letter sketch drops pairs too far apart before they
+are verified. Equal lines are one line throughout: copies by the million are counted with
+partial sums. The joins are ordinary ones that adaptive execution splits where a segment
+is frequent.
+
+Lines shorter than ``least`` bytes are too short for edits: they form a class with their
+exact copies, by digest. Defined results: a NULL text has no lines; lines without a word
+belong to no class and stay; repeated rows are copies whose later lines go; of a class
+the first line by id and number stays; a document left without words goes, but one of
+short lines only is left as it is. Further columns of the input are kept by
+:func:`drop_lines`.
 """
 
 from __future__ import annotations
@@ -78,13 +86,13 @@ def probe_keys(c: Chunk, prefix: np.ndarray, begin: np.ndarray, n: np.ndarray, h
     return out
 
 
-def long_lines(c: Chunk, how: LineJoin) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, number, begin and size of the lines that count."""
+def lines_of(c: Chunk, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, begin and size of the lines that have a word and ``least`` bytes."""
     begin, end, first = c.lines()
     owner = np.repeat(np.arange(len(c)), np.diff(first))
     number = np.arange(len(begin)) - first[owner]
     solid = np.concatenate([[0], np.cumsum(~SPACE[c.buf])])
-    keep = (end - begin >= how.least) & (solid[end] > solid[begin])
+    keep = (end - begin >= least) & (solid[end] > solid[begin])
     return owner[keep], number[keep], begin[keep], (end - begin)[keep]
 
 
@@ -98,13 +106,13 @@ def _head(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
 
 
-def line_places(docs: DataFrame, how: LineJoin) -> DataFrame:
-    """id, line number and digest of every line that counts."""
+def line_places(docs: DataFrame) -> DataFrame:
+    """id, line number and digest of every line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                owner, number, begin, n = long_lines(c, how)
+                owner, number, begin, n = lines_of(c, 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(owner + c.row)), pa.array(number.astype(np.int32)), pa.array(_digests(c, begin, n), pa.binary())],
                     ["id", "line", "d"],
@@ -119,7 +127,7 @@ def line_keys(docs: DataFrame, how: LineJoin, keys, names: tuple[str, str]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(0)):
-                _, _, begin, n = long_lines(c, how)
+                _, _, begin, n = lines_of(c, how.least)
                 if not len(begin):
                     continue
                 prefix = c.prefix()
@@ -239,9 +247,13 @@ def _keys_of_lines(how: LineJoin, keys):
     return run
 
 
+KEYED = "key long, d binary, sketch long"
+
+
 def line_links(base: DataFrame, lines: DataFrame, how: LineJoin) -> DataFrame:
-    """Links (a, b) between digests of different lines. ``lines`` has one row per
-    distinct line: d and its first place."""
+    """Links (a, b) between digests of different lines, enough of them to join all lines
+    that a chain of links joins. ``lines`` has one row per distinct line: d and its first
+    place."""
     index = line_keys(base, how, index_keys, ("key", "head"))
     probe = line_keys(base, how, probe_keys, ("probe_key", "probe_head"))
     # no column is renamed between map and join: both joins then read one exchange per side
@@ -253,42 +265,77 @@ def line_links(base: DataFrame, lines: DataFrame, how: LineJoin) -> DataFrame:
     texts = base.join(wanted.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
     found = texts.select("text", "wanted").mapInArrow(_fetch(how), "d binary, bytes binary")
     found = stored(found.dropDuplicates(["d"]), "line-bytes")
-    index = found.mapInArrow(_keys_of_lines(how, index_keys), "key long, d binary, sketch long").toDF("key", "a", "sa")
-    probe = found.mapInArrow(_keys_of_lines(how, probe_keys), "key long, d binary, sketch long").toDF("key", "b", "sb")
+    filed = found.mapInArrow(_keys_of_lines(how, index_keys), KEYED).withColumn("probe", F.lit(False))
+    asked = found.mapInArrow(_keys_of_lines(how, probe_keys), KEYED).withColumn("probe", F.lit(True))
+    keyed = stored(filed.unionAll(asked), "line-segments")
+    first = verified(represented_pairs(keyed, how), found, how)
+    second = verified(crossing_pairs(keyed, components(first), how), found, how)
+    return first.unionAll(second)
+
+
+def represented_pairs(keyed: DataFrame, how: LineJoin) -> DataFrame:
+    """Every probing line with the line of least digest filed under the segment."""
+    least = keyed.filter("not probe").groupBy("key").agg(F.min(F.struct("d", "sketch")).alias("r"))
+    least = least.select("key", F.col("r.d").alias("a"), F.col("r.sketch").alias("sa"))
+    asked = keyed.filter("probe").toDF("key", "b", "sb", "probe").drop("probe")
     near = F.expr(f"a <> b and {_distance_sql('sa', 'sb')} <= {2 * how.edits}")
-    pairs = index.join(probe, "key").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(asked.join(least, "key").filter(near))
+
+
+def crossing_pairs(keyed: DataFrame, found: DataFrame, how: LineJoin) -> DataFrame:
+    """Pairs of lines that share a segment and lie in different components."""
+    of = found.select(F.col("id").alias("__d"), "component")
+    placed = keyed.join(of, F.col("d") == F.col("__d"), "left").withColumn("c", F.coalesce("component", "d"))
+    placed = stored(placed.select("key", "d", "sketch", "probe", "c"), "line-placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    several = placed.join(main, "key").select("key", "d", "sketch", "probe", "c", (F.col("c") != F.col("main")).alias("other"))
+    several = stored(several, "line-crossing")
+    filed = several.filter("not probe").select("key", F.col("d").alias("a"), F.col("sketch").alias("sa"), F.col("c").alias("ca"), F.col("other").alias("oa"))
+    asked = several.filter("probe").select("key", F.col("d").alias("b"), F.col("sketch").alias("sb"), F.col("c").alias("cb"), F.col("other").alias("ob"))
+    near = F.expr(f"ca <> cb and {_distance_sql('sa', 'sb')} <= {2 * how.edits}")
+    pairs = [
+        filed.filter("oa").join(asked, "key").filter(near),
+        filed.filter("not oa").join(asked.filter("ob"), "key").filter(near),
+    ]
+    return _ordered(pairs[0].select("a", "b").unionAll(pairs[1].select("a", "b")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, found: DataFrame, how: LineJoin) -> DataFrame:
+    """The pairs that are within the edits."""
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return stored(both.mapInArrow(_verify(how), "a binary, b binary"), "line-links")
 
 
 def line_classes(docs: DataFrame, how: LineJoin | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line that counts: key, ``line`` (from 0), ``class_id`` and
-    ``class_line`` (place of the first line of its class), ``n_links`` (links of its
-    text to different texts) and ``kept``."""
+    """One row per line with a word: key, ``line`` (from 0), ``class_id`` and
+    ``class_line`` (place of the first line of its class), and ``kept``."""
     how = how or LineJoin()
     base = docs.select(F.col(f"`{key}`").alias("id"), string_or_empty(docs, text).alias("text"))
-    places = stored(line_places(base, how), "line-places")
+    places = stored(line_places(base), "line-places")
     lines = places.groupBy("d").agg(F.min(F.struct("id", "line")).alias("first"))
     # the first eight bytes of the digest, as the number that the keys carry
     swapped = F.expr("concat_ws('', transform(sequence(8, 1, -1), i -> hex(substring(d, i, 1))))")
     lines = stored(lines.withColumn("head", _signed(swapped)), "lines")
     links = line_links(base, lines, how)
     found = components(links).select(F.col("id").alias("d"), "component")
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
-    linked = lines.join(degree, "d").join(found, "d", "left")
-    linked = stored(linked.select("d", "first", "n_links", F.coalesce("component", "d").alias("component")), "lines-linked")
+    linked = lines.join(found, "d").select("d", "component", "first")
+    # the root of a component is linked to no lesser line
+    roots = found.select(F.col("component").alias("d")).distinct().join(lines, "d").select("d", F.col("d").alias("component"), "first")
+    linked = stored(linked.unionAll(roots), "lines-linked")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
-    moved = linked.join(heads, "component").select("d", "n_links", "head")
-    named = lines.drop("head").join(moved, "d", "left").select(
-        "d", F.coalesce("head", "first").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    moved = linked.join(heads, "component").select("d", "head")
+    named = lines.drop("head").join(moved, "d", "left").select("d", F.coalesce("head", "first").alias("first"))
     out = places.join(named, "d")
     return out.select(
         F.col("id").alias(key),
         "line",
         F.col("first.id").alias("class_id"),
         F.col("first.line").alias("class_line"),
-        "n_links",
         F.struct("id", "line").eqNullSafe(F.struct(F.col("first.id"), F.col("first.line"))).alias("kept"),
     )
 
@@ -302,7 +349,8 @@ def _signed(hexadecimal):
 
 def drop_lines(docs: DataFrame, how: LineJoin | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the later lines of each class, and without documents that have
-    no word left; ``n_chars`` follows the text."""
+    no word left; ``n_chars`` follows the text. Documents of short lines only stay."""
+    least = (how or LineJoin()).least
 
     def build() -> DataFrame:
         later = line_classes(docs, how, key, text).filter("not kept").withColumnRenamed(key, "__key")
@@ -310,6 +358,8 @@ def drop_lines(docs: DataFrame, how: LineJoin | None = None, key: str = "doc_id"
 
     gone = settled(docs.sparkSession, build, "lines-gone")
     both = docs.join(gone, docs[f"`{key}`"].eqNullSafe(F.col("__key")), "left").drop("__key")
+    has_long = F.expr(f"exists(split(`{text}`, '\\n', -1), l -> octet_length(l) >= {least})")
+    both = both.withColumn("__gone", F.when(F.col("__gone").isNotNull() & has_long, F.col("__gone")))
     # numbers of the lines that stay, then their texts
     kept = F.expr(
         f"""array_join(transform(array_except(sequence(0, size(split(`{text}`, '\\n', -1)) - 1), __gone),

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from corpusgauge.llm import components, decontaminate, line_dedup, near_dedup, suffix_dedup, textbytes
+from corpusgauge.llm.queries import QUERIES
 from corpusgauge.llm.store import stored
 
 WORDS = [a + b for a in ("ba", "ké", "lo", "mi", "nu", "ra", "si", "to") for b in ("n", "rt", "sh", "l", "", "nd")]
@@ -251,7 +252,7 @@ def test_banded_distance(a, edits):
         assert line_dedup.within(a, bytes(b), k) == (distance(a, bytes(b)) <= k)
 
 
-def test_lines_equal_brute_force(spark):
+def test_lines_equal_brute_force(spark, tmp_path):
     rng = random.Random(6)
     base = [prose(rng, rng.randint(6, 14), 0) for _ in range(12)]
 
@@ -264,8 +265,9 @@ def test_lines_equal_brute_force(spark):
 
     rows = [(i, "\n".join(typo(rng.choice(base)) for _ in range(rng.randint(0, 8)))) for i in range(40)]
     rows += [(90, None), (91, ""), (92, "short\nshort\n\n"), (93, " " * 50), (94, rows[0][1]), (94, rows[0][1])]
+    rows += [(95, f"short\n{'a long line ' * 5}\n\n \n\nshort\nshory"), (96, "short"), (97, "shory\nlines of a kind that are long enough")]
     docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, line string, n_chars long")
-    places = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").encode().split(b"\n")) if len(x) >= 30 and x.split()]
+    places = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").encode().split(b"\n")) if x.split()]
     distinct = {}
     for i, k, x in sorted(places):
         distinct.setdefault(x, (i, k))
@@ -280,19 +282,25 @@ def test_lines_equal_brute_force(spark):
     keys = list(distinct)
     for k, x in enumerate(keys):
         for y in keys[:k]:
-            if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+            if min(len(x), len(y)) >= 30 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
                 links[x] += 1
                 links[y] += 1
                 parent[find(x)] = find(y)
     first = {}
     for x in keys:
         first[find(x)] = min(first.get(find(x), distinct[x]), distinct[x])
-    got = Counter((r.doc_id, r.line, r.class_id, r.class_line, r.n_links) for r in line_dedup.line_classes(docs).collect())
-    assert got == Counter((i, k, *first[find(x)], links[x]) for i, k, x in places)
+    got = Counter((r.doc_id, r.line, r.class_id, r.class_line, r.kept) for r in line_dedup.line_classes(docs).collect())
+    assert got == Counter((i, k, *first[find(x)], first[find(x)] == (i, k)) for i, k, x in places)
+    # the registered query is the same operator
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked = QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.line, r.class_id, r.class_line, r.kept) for r in asked) == got
     assert sum(links.values()) > 20
     out = {r.doc_id: r for r in line_dedup.drop_lines(docs).collect()}
     for i, t in rows[:40]:
-        want = [x for k, x in enumerate(t.encode().split(b"\n")) if len(x) < 30 or first[find(x)] == (i, k)]
+        cut = t.encode().split(b"\n")
+        only_short = all(len(x) < 30 for x in cut)
+        want = [x for k, x in enumerate(cut) if only_short or not x.split() or first[find(x)] == (i, k)]
         if len(want) == len(t.split("\n")):
             assert out[i].text == t
         elif any(x.split() for x in want):
@@ -300,9 +308,35 @@ def test_lines_equal_brute_force(spark):
         else:
             assert i not in out
     assert out[90].text is None and out[91].text == "" and out[92].text == "short\nshort\n\n"
+    # short copies go from documents that have a long line
+    assert out[95].text == f"{'a long line ' * 5}\n\n \n\nshory" and out[96].text == "short"
+    assert out[97].text == "lines of a kind that are long enough"
     assert line_dedup.drop_lines(docs.limit(0)).count() == 0
 
 
+def test_a_family_of_near_copied_lines_is_not_paired_out(spark, monkeypatch):
+    rng = random.Random(16)
+    base = prose(rng, 30, 0)
+    # one edit from the base each, two from one another
+    family = sorted({base[:i] + c + base[i + 1 :] for i in range(len(base)) for c in "abcdefghijklmnopqrstuvwxyz"})[:2_000]
+    n = len(family)
+    assert n == 2_000
+    # a second family that shares the first third of the bytes, and lines on their own
+    rest = "".join(rng.choice("xyzq ") for _ in range(len(base)))
+    other = [base[: len(base) // 3] + f"{k:03}" + rest[len(base) // 3 + 3 :] for k in range(60)]
+    rows = [(k, x) for k, x in enumerate(family + other + [prose(rng, 30, 0) for _ in range(200)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = []
+    real = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, found, how: made.append(pairs.count()) or real(pairs, found, how))
+    got = {r.doc_id: r.class_id for r in line_dedup.line_classes(docs).collect()}
+    assert {got[k] for k in range(n)} == {0}
+    assert {got[k] for k in range(n, n + 60)} < set(range(n, n + 60))
+    assert all(got[k] == k for k in range(n + 60, n + 260))
+    # all pairs of the family would be two million
+    assert made[0] <= 12 * len(rows) and made[1] <= len(rows)
+
+
 # -- decontamination -----------------------------------------------------------
 
 
@@ -379,6 +413,8 @@ def test_pipeline_stages(spark, sf_dir):
             gone = [ln for i in before for ln in (before[i] or "").split("\n") if len(ln.encode()) >= 30]
             left = [ln for i in after for ln in (after[i] or "").split("\n") if len(ln.encode()) >= 30]
             assert len(left) == len(set(left)) and set(left) <= set(gone)
+            short = [ln for t in after.values() for ln in (t or "").split("\n") if len(ln.encode()) < 30 and ln.encode().split() and any(len(x.encode()) >= 30 for x in t.split("\n"))]
+            assert len(short) == len(set(short))
         elif name == "minhash_near_dedup":
             want, _ = near_classes(sorted(before.items()), 5)
             assert set(after) == {i for i, c in want.items() if c == i}
