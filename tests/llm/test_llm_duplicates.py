@@ -316,7 +316,7 @@ def test_lines_equal_brute_force(spark, tmp_path):
 
 def test_a_family_of_near_copied_lines_is_not_paired_out(spark, monkeypatch):
     rng = random.Random(16)
-    base = prose(rng, 30, 0)
+    base = prose(rng, 30, 0).replace("é", "e")
     # one edit from the base each, two from one another
     family = sorted({base[:i] + c + base[i + 1 :] for i in range(len(base)) for c in "abcdefghijklmnopqrstuvwxyz"})[:2_000]
     n = len(family)
