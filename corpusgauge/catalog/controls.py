@@ -8,6 +8,7 @@ from ..datasets import DATASET
 from ..functions import labels as Lb
 from ..operators import controls as K
 from ..operators import evaluation as E
+from ..operators import vectors as V
 from .registry import LANGS_SQL, PRED, SPACE_SQL, langs, predictions, query, table
 
 _KINDS = """case doc_id % 8 when 0 then lang when 1 then 'Label: ' || upper(lang) || '.' when 2 then '  the category is "' || lang || '"'
@@ -178,6 +179,38 @@ def k8_distance(spark, sf):
     return K.distance_gate(table(spark, sf, "embeddings"), "embedding", _centroids(spark, sf), 8.0, ["vec_id"])
 
 
+@query(
+    "k8_nearest_vector",
+    """with s as (select q.vec_id, t.vec_id as nearest, list_cosine_similarity(q.embedding::double[], t.embedding::double[]) as similarity
+                  from embeddings q join embeddings t on q.vec_id % 2 = 1 and t.vec_id % 2 = 0),
+            b as (select * from s qualify row_number() over (partition by vec_id order by round(similarity, 12) desc, nearest) = 1)
+       select b.vec_id, nearest, round(similarity, 6) as similarity, label::varchar as label, case when similarity >= 0.3 then 'accept' else 'review' end as route
+       from b join embeddings e on e.vec_id = nearest""",
+)
+def k8_nearest(spark, sf):
+    """Vectors of odd number against those of even number."""
+    v = table(spark, sf, "embeddings")
+    found = V.nearest_vectors(v.filter("vec_id % 2 = 1"), v.filter("vec_id % 2 = 0"), "vec_id", "embedding")
+    labels = v.select(F.col("vec_id").alias("nearest"), F.col("label").cast("string").alias("label"))
+    route = F.when(F.col("similarity") >= 0.3, "accept").otherwise("review")
+    return found.join(labels, "nearest", "left").select("vec_id", "nearest", "similarity", "label", route.alias("route"))
+
+
+@query(
+    "k8_covariance_gate",
+    """with t as (select vec_id, label::varchar as label, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+       c as (select label, avg(x) as mx, avg(y) as my, var_pop(x) + 1e-9 as a, covar_pop(x, y) as b, var_pop(y) + 1e-9 as d from t where vec_id % 2 = 0 group by 1),
+       s as (select vec_id, c.label as nearest, sqrt((d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b)) as distance from t, c)
+       select vec_id, nearest, round(distance, 6) as distance, case when distance <= 1.5 then 'accept' else 'review' end as route from s
+       qualify row_number() over (partition by vec_id order by distance, nearest) = 1""",
+)
+def k8_covariance(spark, sf):
+    """Two coordinates, whose covariance SQL can invert; all of them in the tests."""
+    v = table(spark, sf, "embeddings").withColumn("pair", F.slice("embedding", 1, 2))
+    classes = V.class_covariances(v.filter("vec_id % 2 = 0"), "pair", "label")
+    return V.class_distances(v, "vec_id", "pair", classes, 1.5)
+
+
 def _near_sql(bands: int = 10, rows: int = 2) -> str:
     terms = K.minhash_terms(bands * rows)
     mins = ", ".join(f"min((x * {a} + {b}) % {K.MINHASH_PRIME}) as m{i}" for i, (a, b) in enumerate(terms))
