@@ -9,7 +9,7 @@ from ..datasets import DATASET
 from ..operators import calibration as C
 from ..operators import controls as K
 from ..operators import evaluation as E
-from ..operators import features, tuning
+from ..operators import features, linear_search, tuning
 from ..operators import rows as R
 from ..session import cut_lineage
 from .registry import doc_rows, query, table, words_sql
@@ -58,24 +58,17 @@ def j2(spark, sf):
 
 @query("j3_grid_search")
 def j3(spark, sf):
-    """A few settings of each axis on the documents' language."""
+    """The whole grid on the documents' language, every setting with its iterations."""
     df = doc_rows(spark, sf).select("doc_id", "text", "lang")
     codes = R.label_codes(df, "lang")
     split = R.stratified_split(df, "doc_id", "lang", [("train", 0.6), ("val", 0.2), ("holdout", 0.2)])
     split = R.encode_labels(split, "lang", codes).withColumnRenamed("part", DATASET)
-    split = split.withColumn("code", F.col("code").cast("double"))
     model = features.fit_tfidf(split.filter("dataset = 'train'"), "text", 2000)
-    feats = cut_lineage(features.tfidf(model, split, "text").select("doc_id", DATASET, "code", "features"))
-    settings = [
-        tuning.Setting(1.0, 20, False),
-        tuning.Setting(1.0, 20, True),
-        tuning.Setting(10.0, 5, False, "l1"),
-        tuning.Setting(1.0, 5, False, "none"),
-    ]
-    preds, status = tuning.grid_predictions(
-        feats.filter("dataset = 'train'"), feats.filter("dataset <> 'train'"), settings, "doc_id"
+    _, entries = features.stored_entries(features.tfidf(model, split, "text"), "features", [DATASET, "code"])
+    cf, status = linear_search.search(
+        entries.filter("dataset = 'train'"), entries.filter("dataset <> 'train'"), linear_search.whole_grid(), 2000
     )
-    return tuning.score_runs(preds, status)
+    return tuning.score_counts(cf, status)
 
 
 @query(

@@ -14,17 +14,17 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.columns import ratio
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN, word_tokens
-from ..session import cut_lineage
+from ..session import scratch_path
 from .common import spread
 
 VOCABULARY = 5000
@@ -102,19 +102,35 @@ def tfidf_terms(
     return weighted.select(key, "term", "tf", "df", ratio(F.col("raw"), norm).alias("weight"))
 
 
+def stored_entries(df: DataFrame, features: str, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` stored once and seen twice: with its vectors, and with the non-zero entries
+    of each as plain arrays ``idx`` and ``val``, as the file holds them. A vector stored
+    as dense has all its places in ``idx``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "entries")
+    df.select(*keep, features).write.parquet(path)
+    vectors = spark.read.parquet(path)
+    plain = T.StructType([vectors.schema[c] for c in keep])
+    parts = T.StructType.fromDDL("type tinyint, size int, indices array<int>, values array<double>")
+    entries = spark.read.schema(plain.add(features, parts)).parquet(path)
+    v = F.col(features)
+    every = F.transform(v["values"], lambda _, i: i)
+    return vectors, entries.select(*keep, F.coalesce(v["indices"], every).alias("idx"), v["values"].alias("val"))
+
+
 def svd_points(df: DataFrame, key: str, features: str, k: int = 2) -> tuple[DataFrame, list[float]]:
     """Rows projected on the ``k`` largest singular directions, ``(key, x1..xk)``,
     and the singular values. The sign of a direction is free."""
     # stored once: every step of the decomposition reads the vectors again
-    stored = cut_lineage(df.select(key, features))
+    stored, entries = stored_entries(df, features, [key])
     rows = MLUtils.convertVectorColumnsFromML(stored.select(features), features)
     svd = RowMatrix(rows).computeSVD(k, computeU=False)
     basis = svd.V.toArray()
-    # a row meets the basis, as long as the vocabulary, where it lies
-    x = vector_to_array(features)
+    # a row meets the basis, as long as the vocabulary, where it lies: entry by entry
     points = []
     for j in range(k):
         direction = F.lit([float(v) for v in basis[:, j]])
-        dot = F.aggregate(F.zip_with(x, direction, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        parts = F.zip_with("idx", "val", lambda i, v: F.get(direction, i) * v)
+        dot = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v)
         points.append(F.coalesce(dot, F.lit(0.0)).alias(f"x{j + 1}"))
-    return stored.select(key, *points), [float(s) for s in svd.s]
+    return entries.select(key, *points), [float(s) for s in svd.s]

@@ -35,9 +35,9 @@ class Setting:
 
 
 def full_grid() -> list[Setting]:
-    """All settings Spark ML can express: hinge loss with an L2 penalty, and
-    logistic loss where an L1 penalty is wanted. The squared-hinge and
-    dual / primal variants have no distributed counterpart."""
+    """The settings Spark ML itself can express: hinge loss with an L2 penalty, and
+    logistic loss where an L1 penalty is wanted. For the squared-hinge, dual and
+    primal variants see :mod:`~corpusgauge.operators.linear_search`."""
     return [
         Setting(c, mi, b, p) for p in PENALTIES for c in C_VALUES for mi in MAX_ITERS for b in BALANCED
     ]
@@ -121,7 +121,16 @@ def score_runs(
 ) -> DataFrame:
     """One row per run: accuracy and macro precision (over true and predicted
     labels) on each dataset, ranked best first with failed runs last."""
-    cf = confusion(predictions, "y_true", "y_pred", ["run", DATASET])
+    return score_counts(confusion(predictions, "y_true", "y_pred", ["run", DATASET]), status, datasets, rank_by)
+
+
+def score_counts(
+    cf: DataFrame,
+    status: DataFrame | None = None,
+    datasets: Sequence[str] = ("val", "holdout"),
+    rank_by: str = "val_accuracy",
+) -> DataFrame:
+    """The same from confusion counts (run, dataset, y_true, y_pred, n)."""
     m = overall_metrics(cf, ["run", DATASET], labels="union")
     wide = m.groupBy("run").agg(
         *[
