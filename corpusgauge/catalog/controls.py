@@ -132,7 +132,7 @@ def k5(spark, sf):
 @query(
     "k6_definition_text",
     """with c as (select lang, count(*) || ' documents' as d from documents group by 1)
-       select 'Here are the definitions for each class:' || chr(10) || string_agg('- **' || lang || '**: ' || d || chr(10), '' order by lang) as definitions from c""",
+       select 'Classes and what they mean:' || chr(10) || string_agg('- **' || lang || '**: ' || d || chr(10), '' order by lang) as definitions from c""",
 )
 def k6(spark, sf):
     c = table(spark, sf, "documents").groupBy("lang").agg(
@@ -211,50 +211,65 @@ def k8_covariance(spark, sf):
     return V.class_distances(v, "vec_id", "pair", classes, 1.5)
 
 
-def _near_sql(bands: int = 10, rows: int = 2) -> str:
-    terms = K.minhash_terms(bands * rows)
-    mins = ", ".join(f"min((x * {a} + {b}) % {K.MINHASH_PRIME}) as m{i}" for i, (a, b) in enumerate(terms))
-    keyed = " union all ".join(
-        f"select id, {b} as band, " + " || '-' || ".join(f"m{b * rows + r}" for r in range(rows)) + " as v from reps" for b in range(bands)
-    )
-    return f"""
-    with w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
-    sets as (select id, md5(g) as g from (select id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from w where len(w) >= 5)),
-    sums as (select id, count(*) as n, sum(('0x' || substr(g, 9, 12))::bigint) as s1, sum(('0x' || substr(g, 21, 12))::bigint) as s2, {mins}
-             from (select *, ('0x' || substr(g, 1, 8))::bigint as x from sets) group by id),
-    alike as (select *, min(id) over (partition by n, s1, s2, m0, m1) as rep from sums),
-    reps as (select * from alike where id = rep), keyed as ({keyed}),
-    least_id as (select band, v, min(id) as kept from keyed group by all having count(*) > 1),
-    pairs as (select distinct id, kept from keyed join least_id using (band, v) where id <> kept),
-    common as (select p.id, p.kept, count(*) as c from pairs p join sets a on a.id = p.id join sets b on b.id = p.kept and b.g = a.g group by all),
-    found as (select common.id, common.kept, c / (a.n + b.n - c) as jaccard from common join reps a on a.id = common.id join reps b on b.id = common.kept)
-    select id as doc_id, kept, round(jaccard, 6) as jaccard from found where jaccard >= 0.8
-    union all select id, rep, 1.0 from alike where id <> rep"""
-
-
-@query("k9_near_copies", _near_sql())
+@query(
+    "k9_near_copies",
+    """with w as (select doc_id as id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from w where len(w) >= 5),
+    n as (select id, count(*) as n from sets group by 1),
+    pairs as (select a.id, b.id as kept, count(*) as c from sets a join sets b on a.g = b.g and b.id < a.id group by all),
+    found as (select pairs.id, kept, c / (x.n + y.n - c) as jaccard from pairs join n x on x.id = pairs.id join n y on y.id = kept)
+    select id as doc_id, min(kept) as kept, round(arg_min(jaccard, kept), 6) as jaccard from found where jaccard >= 0.8 group by id""",
+)
 def k9(spark, sf):
-    """Near copies among all documents, by the same hashes in SQL."""
+    """Near copies among all documents; SQL compares all pairs that share a shingle."""
     return K.near_copies(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+_TYPO = """case when c_custkey % 3 = 0 then left(c_mktsegment, length(c_mktsegment) - 2) when c_custkey % 3 = 1 then c_mktsegment || 's'
+  else replace(c_mktsegment, 'I', 'y') end"""
+
+
+def _misspelt(spark, sf):
+    k, seg = F.col("c_custkey") % 3, F.col("c_mktsegment")
+    typo = (
+        F.when(k == 0, F.substring(seg, F.lit(1), F.char_length(seg) - 2))
+        .when(k == 1, F.concat(seg, F.lit("s")))
+        .otherwise(F.replace(seg, F.lit("I"), F.lit("y")))
+    )
+    return table(spark, sf, "customer").select("c_custkey", typo.alias("typo"))
+
+
 _STATUS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
 
 
 @query(
     "k10_closest_label",
-    """with q as (select c_custkey, lower(case when c_custkey % 3 = 0 then left(c_mktsegment, length(c_mktsegment) - 2) when c_custkey % 3 = 1 then c_mktsegment || 's' else replace(c_mktsegment, 'I', 'y') end) as a from customer),
+    f"""with q as (select c_custkey, lower({_TYPO}) as a from customer),
        l(label, pos) as (values ('BUILDING', 0), ('AUTOMOBILE', 1), ('MACHINERY', 2), ('HOUSEHOLD', 3), ('FURNITURE', 4)),
        s as (select c_custkey, label, pos, levenshtein(a, lower(label))::int as distance from q, l)
        select c_custkey, distance, label from s qualify row_number() over (partition by c_custkey order by distance, pos) = 1""",
 )
 def k10(spark, sf):
     """Misspelt segments against the list of segments."""
-    k, seg = F.col("c_custkey") % 3, F.col("c_mktsegment")
-    typo = (
-        F.when(k == 0, F.substring(seg, F.lit(1), F.char_length(seg) - 2))
-        .when(k == 1, F.concat(seg, F.lit("s")))
-        .otherwise(F.replace(seg, F.lit("I"), F.lit("y")))
-    )
-    df = table(spark, sf, "customer").select("c_custkey", Lb.closest_label(typo, _STATUS).alias("x"))
+    df = _misspelt(spark, sf).select("c_custkey", Lb.closest_label("typo", _STATUS).alias("x"))
     return df.select("c_custkey", "x.distance", "x.label")
+
+
+@query(
+    "k10_closest_word",
+    """with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as w from documents),
+       words as (select distinct unnest(w) as label from w),
+       q as (select doc_id, case doc_id % 3 when 0 then w[-1][2:] when 1 then w[-1] || 'x' else w[-1] end as typo from w where len(w) > 0),
+       d as (select distinct typo from q),
+       s as (select typo, label, levenshtein(typo, label)::int as distance from d join words on abs(length(typo) - length(label)) <= 1),
+       b as (select * from s where distance <= 1 qualify row_number() over (partition by typo order by distance, label) = 1)
+       select doc_id, q.typo, b.label, b.distance from q left join b using (typo)""",
+)
+def k10_words(spark, sf):
+    """The last word of every document, misspelt, against all words of the documents."""
+    w = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    last, k = F.get("w", F.size("w") - 1), F.col("doc_id") % 3
+    typo = F.when(k == 0, F.substring(last, F.lit(2), F.char_length(last))).when(k == 1, F.concat(last, F.lit("x"))).otherwise(last)
+    asked = w.filter(F.size("w") > 0).select("doc_id", typo.alias("typo"))
+    words = w.select(F.explode("w").alias("word")).distinct()
+    return K.closest_labels(asked, "typo", words, "word", 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..session import cut_lineage
+from .common import broadcast_if_small, spread
 
 # Numbers a centroid table may hold before it is too large for every executor.
 CENTROID_NUMBERS = 20_000_000
@@ -112,7 +113,7 @@ def distance_gate(
     )
 
 
-def definition_text(classes: DataFrame, name: str, definition: str) -> DataFrame:
+def definition_text(classes: DataFrame, name: str, definition: str, heading: str = "Classes and what they mean:") -> DataFrame:
     """Class definitions as one text block, in class order. The class list is
     the bound on what is collected."""
     rows = classes.select(F.struct(F.col(name).alias("name"), F.col(definition).alias("definition")).alias("x"))
@@ -121,68 +122,81 @@ def definition_text(classes: DataFrame, name: str, definition: str) -> DataFrame
         "xs", lambda x: F.concat(F.lit("- **"), x["name"], F.lit("**: "), x["definition"], F.lit("\n"))
     )
     return one.select(
-        F.concat(F.lit("Here are the definitions for each class:\n"), F.array_join(lines, "")).alias("definitions")
+        F.concat(F.lit(heading + "\n"), F.array_join(lines, "")).alias("definitions")
     )
 
 
-# A prime below 2^32, and multipliers and offsets of the minimum hashes.
-MINHASH_PRIME = 4294967291
+def near_copies(df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Near copies to remove: ``(key, kept, jaccard)`` for every text whose word shingles
+    overlap those of a text of smaller key by ``least`` or more; ``kept`` is the smallest
+    such key.
 
-
-def minhash_terms(n: int) -> list[tuple[int, int]]:
-    """(a, b) of ``n`` hash functions (a x + b) mod p, by a rule SQL can repeat."""
-    return [((i * 40503 + 12345) * 2654435 % 2147483647 or 1, i * 7919 * 104729 % 2147483647) for i in range(1, n + 1)]
-
-
-def near_copies(
-    df: DataFrame, key: str, text: str, shingle: int = 5, least: float = 0.8, bands: int = 10, rows: int = 2
-) -> DataFrame:
-    """Near copies to remove: ``(key, kept, jaccard)`` for every text whose word
-    shingles overlap those of a smaller key by ``least`` or more.
-
-    Equal shingle sets are one text, the one of smallest key, before the bands, so
-    that no group of copies makes a hot band. A text is a candidate only with the
-    smallest key of each of its bands, never with all of them, and is confirmed on
-    the full sets. Texts of fewer words than a shingle have none and no copies.
+    An exact set-similarity join. A text's shingles are numbers, hashed and sorted in its
+    row, and only the first ``n - ceil(least * n) + 1`` of them travel: two sets that
+    overlap enough have one in common there. A common number admits a pair only if the
+    sizes allow the overlap and if what follows it on both sides still can reach it; the
+    full sets of the pairs left are then intersected. Equal sets are one text, the one of
+    smallest key, before the join. Texts of fewer words than a shingle have none and no
+    copies; NULL texts likewise.
     """
     words = F.filter(F.split(F.lower(F.col(f"`{text}`")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     grams = F.expr(
-        f"if(size(w) >= {shingle}, transform(sequence(1, size(w) - {shingle - 1}), i -> array_join(slice(w, i, {shingle}), ' ')), array())"
-    )
-    sets = df.select(F.col(f"`{key}`").alias("id"), words.alias("w")).select("id", F.array_distinct(grams).alias("g"))
-    # the outer form: from an inner one a filter on the array would be inferred, and with
-    # it the words would be split anew for every shingle
-    sets = sets.select("id", F.explode_outer("g").alias("g")).select("id", F.md5("g").alias("g"))
-    sets = cut_lineage(sets.filter("g is not null"))
-    x = F.conv(F.substring("g", 1, 8), 16, 10).cast("long")
-    terms = minhash_terms(bands * rows)
-    sums = sets.groupBy("id").agg(
-        F.count("*").alias("n"),
-        F.sum(F.conv(F.substring("g", 9, 12), 16, 10).cast("long")).alias("s1"),
-        F.sum(F.conv(F.substring("g", 21, 12), 16, 10).cast("long")).alias("s2"),
-        *[F.min((x * a + b) % MINHASH_PRIME).alias(f"m{i}") for i, (a, b) in enumerate(terms)],
+        f"if(size(w) >= {shingle}, transform(sequence(1, size(w) - {shingle - 1}), i -> xxhash64(slice(w, i, {shingle}))), array())"
     )
-    sums = cut_lineage(sums)
-    # order-free sums of 48-bit pieces stand for the set in the exact step
-    same = sums.groupBy("n", "s1", "s2", "m0", "m1").agg(F.min("id").alias("rep"))
-    at = sums.join(same, ["n", "s1", "s2", "m0", "m1"])
-    reps = at.filter(F.col("id") == F.col("rep"))
-    band = F.array(
-        *[
-            F.struct(F.lit(b).alias("band"), F.concat_ws("-", *[F.col(f"m{b * rows + r}") for r in range(rows)]).alias("v"))
-            for b in range(bands)
-        ]
+    sets = spread(df.select(F.col(f"`{key}`").alias("id"), words.alias("w"))).select("id", F.array_sort(F.array_distinct(grams)).alias("h"))
+    sets = cut_lineage(sets.filter("size(h) > 0").select("id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y")))
+    same = sets.groupBy("n", "x", "y").agg(F.min("id").alias("rep"))
+    at = cut_lineage(sets.join(same, ["n", "x", "y"]).select("id", "rep", "n", "h"))
+    reps = at.filter("id = rep").select("id", "n", "h")
+    need = f"cast(ceil({least}d * n - 1e-9) as int)"
+    first = reps.select("id", "n", F.posexplode(F.expr(f"slice(h, 1, n - {need} + 1)")).alias("p", "g"))
+    a, b = first.toDF("id", "n", "p", "g"), first.toDF("kept", "m", "q", "g")
+    overlap = f"cast(ceil({least}d / (1 + {least}d) * (n + m) - 1e-9) as int)"
+    fits = f"kept < id and n >= {least}d * m - 1e-9 and m >= {least}d * n - 1e-9 and 1 + least(n - p - 1, m - q - 1) >= {overlap}"
+    pairs = a.join(b, "g").filter(fits).select("id", "kept").distinct()
+    both = pairs.join(reps, "id").join(reps.toDF("kept", "m", "k"), "kept")
+    common = both.withColumn("c", F.size(F.array_intersect("h", "k"))).select(
+        "id", "kept", ratio(F.col("c"), F.col("n") + F.col("m") - F.col("c")).alias("jaccard")
     )
-    keyed = reps.select("id", F.explode(band).alias("x")).select("id", "x.*")
-    least_id = keyed.groupBy("band", "v").agg(F.min("id").alias("kept"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    pairs = keyed.join(least_id, ["band", "v"]).filter("id <> kept").select("id", "kept").distinct()
-    left = pairs.join(sets, "id")
-    common = left.join(sets.withColumnRenamed("id", "kept"), ["kept", "g"]).groupBy("id", "kept").agg(F.count("*").alias("common"))
-    size = reps.select("id", "n")
-    found = (
-        common.join(size, "id").join(size.select(F.col("id").alias("kept"), F.col("n").alias("n_kept")), "kept")
-        .withColumn("jaccard", ratio(F.col("common"), F.col("n") + F.col("n_kept") - F.col("common")))
-        .filter(F.col("jaccard") >= least)
-    )
-    copies = at.filter(F.col("id") != F.col("rep")).select("id", F.col("rep").alias("kept"), F.lit(1.0).alias("jaccard"))
-    return found.select("id", "kept", "jaccard").unionByName(copies).withColumnRenamed("id", key)
+    best = common.filter(F.col("jaccard") >= least).groupBy("id").agg(F.min(F.struct("kept", "jaccard")).alias("b"))
+    best = best.select(F.col("id").alias("rep"), "b.kept", "b.jaccard")
+    # a copy has the partners of the text it copies, and that text
+    out = at.select("id", "rep").join(best, "rep", "left").filter("kept is not null or id <> rep")
+    return out.select(F.col("id").alias(key), F.coalesce("kept", "rep").alias("kept"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+
+
+def deletions(c: Column, edits: int) -> Column:
+    """Hashes of a string and of all strings that up to ``edits`` deletions make of it."""
+    every = last = F.array(c)
+    for _ in range(edits):
+        cut = F.flatten(
+            F.transform(
+                last,
+                lambda s: F.when(
+                    F.char_length(s) > 0,
+                    F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s), F.lit(1))), lambda i: F.overlay(s, F.lit(""), i, F.lit(1))),
+                ).otherwise(F.array().cast("array<string>")),
+            )
+        )
+        last = F.array_distinct(cut)
+        every = F.concat(every, last)
+    return F.transform(F.array_distinct(every), lambda s: F.xxhash64(s))
+
+
+def closest_labels(df: DataFrame, text: str, labels: DataFrame, label: str, edits: int = 2) -> DataFrame:
+    """``df`` with ``label`` and ``distance``: the label of least edit distance, whatever
+    the case, among those at most ``edits`` away (the first by name on a tie), else NULL.
+
+    Strings so near share one of the strings that deletions make of both, so distinct
+    texts and labels are filed under the hashes of those, and only what meets there is
+    measured: the work grows with the near pairs, not with rows times labels. Every
+    distinct text is looked up once and its rows get the answer.
+    """
+    side = lambda d, c, to: d.select(F.col(c).alias(to)).filter(F.col(to).isNotNull()).distinct()
+    asked = side(df, text, "a").select("a", F.explode(deletions(F.lower("a"), edits)).alias("h"))
+    filed = side(labels, label, "l").select("l", F.explode(deletions(F.lower("l"), edits)).alias("h"))
+    pairs = asked.join(filed, "h").select("a", "l").distinct()
+    near = pairs.withColumn("distance", F.levenshtein(F.lower("a"), F.lower("l"), edits)).filter("distance >= 0")
+    best = near.groupBy("a").agg(F.min(F.struct("distance", "l")).alias("x")).select("a", F.col("x.l").alias("label"), "x.distance")
+    found = broadcast_if_small(best)
+    return df.join(found, F.col(f"`{text}`") == F.col("a"), "left").drop("a")

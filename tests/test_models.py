@@ -113,7 +113,7 @@ def test_gates(spark):
     far = by(K.distance_gate(new, "v", c, 3.0, ["id"], epsilon=0.01), "id")
     assert far[2]["route"] == "review"
     text = K.definition_text(spark.createDataFrame([("B", "two"), ("A", "one")], "n string, d string"), "n", "d").head()[0]
-    assert text == "Here are the definitions for each class:\n- **A**: one\n- **B**: two\n"
+    assert text == "Classes and what they mean:\n- **A**: one\n- **B**: two\n"
 
 
 def test_model_files(spark, tmp_path):
