@@ -10,11 +10,11 @@ The join runs in steps, so that texts move once and no family of near copies mee
 against all. First, segments and probes of all lines travel as hashes, and two semi-joins
 find the lines that have a partner at all. Only those lines are fetched. Of the lines
 filed under one segment, the one of least digest then stands for the segment: every line
-that probes it meets that one only. The links found so join lines to components. What is
-left are segments that lines of several components share: there, and only there, lines
-outside the segment's largest component meet the lines of other components, so no link
-that could still join two components is missed, and pairs inside one, whose links could
-change nothing, are never formed. A letter sketch drops pairs too far apart before they
+that probes it meets that one only. Lines with links get the label of the least line they
+lead to. What is left are segments that lines of several labels share: there, and only
+there, lines outside the segment's most frequent label meet the lines of other labels, so
+no link that could still join two components is missed, and pairs of one label, whose
+links could change nothing, are never formed. A letter sketch drops pairs too far apart before they
 are verified. Equal lines are one line throughout: copies by the million are counted with
 partial sums. The joins are ordinary ones that adaptive execution splits where a segment
 is frequent.
@@ -269,10 +269,21 @@ def line_links(base: DataFrame, lines: DataFrame, how: LineJoin) -> DataFrame:
     asked = found.mapInArrow(_keys_of_lines(how, probe_keys), KEYED).withColumn("probe", F.lit(True))
     keyed = stored(filed.unionAll(asked), "line-segments")
     first = verified(represented_pairs(keyed, how), found, how)
-    second = verified(crossing_pairs(keyed, components(first), how), found, how)
+    second = verified(crossing_pairs(keyed, near_labels(first), how), found, how)
     return first.unionAll(second)
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(d, label) of linked lines: the least line a link away, or two. Lines of one label
+    are joined by links, which is all that the next step relies on; that lines of one
+    component may keep several labels costs pairs, not results."""
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("d"), F.least("a", "m").alias("label"))
+    one = stored(one, "line-labels")
+    two = one.select(F.col("d").alias("__d"), F.col("label").alias("further"))
+    return one.join(two, F.col("label") == F.col("__d"), "left").select("d", F.coalesce("further", "label").alias("label"))
+
+
 def represented_pairs(keyed: DataFrame, how: LineJoin) -> DataFrame:
     """Every probing line with the line of least digest filed under the segment."""
     least = keyed.filter("not probe").groupBy("key").agg(F.min(F.struct("d", "sketch")).alias("r"))
@@ -282,11 +293,11 @@ def represented_pairs(keyed: DataFrame, how: LineJoin) -> DataFrame:
     return _ordered(asked.join(least, "key").filter(near))
 
 
-def crossing_pairs(keyed: DataFrame, found: DataFrame, how: LineJoin) -> DataFrame:
-    """Pairs of lines that share a segment and lie in different components."""
-    of = found.select(F.col("id").alias("__d"), "component")
-    placed = keyed.join(of, F.col("d") == F.col("__d"), "left").withColumn("c", F.coalesce("component", "d"))
-    placed = stored(placed.select("key", "d", "sketch", "probe", "c"), "line-placed")
+def crossing_pairs(keyed: DataFrame, labels: DataFrame, how: LineJoin) -> DataFrame:
+    """Pairs of lines that share a segment and have different labels."""
+    of = labels.withColumnRenamed("d", "__d")
+    placed = keyed.join(of, F.col("d") == F.col("__d"), "left")
+    placed = placed.select("key", "d", "sketch", "probe", F.coalesce("label", "d").alias("c"))
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     several = placed.join(main, "key").select("key", "d", "sketch", "probe", "c", (F.col("c") != F.col("main")).alias("other"))
