@@ -32,9 +32,6 @@ from pyspark.sql import Window as W
 from .store import settled, stored, word_array
 
 BUCKET_ROWS = 8192
-ROUNDS = 8
-# A prime modulus and two multipliers of the pseudorandom bits.
-PRIME, MULTIPLIER, SECOND = 2147483647, 48271, 69621
 
 
 @dataclass(frozen=True)
@@ -49,21 +46,28 @@ class Mixture:
     seed: int = 17
 
 
-def _bit_sql(value: str, r: int, seed: int, source: str = "source_no") -> str:
-    inner = f"({value} * {MULTIPLIER} + {source} * 7919 + {seed * 1000 + r * 131}) % {PRIME}"
-    return f"(((({inner}) * {SECOND} + {r + 1}) % {PRIME}) div 1024) % 2"
+def _digest_sql(*parts: str) -> str:
+    """Eight hexadecimal digits of mixed bits, as a number, in Spark and DuckDB alike."""
+    return "md5(concat_ws(':', " + ", ".join(f"cast({p} as string)" for p in parts) + "))"
 
 
-def permute(df: DataFrame, column: str, size: str, salt: str, seed: int) -> DataFrame:
-    """Replace ``column`` (0 <= x < ``size``) by its image under a permutation made
-    of swap-or-not rounds: x pairs with k - x, and a random bit of the pair decides
-    whether they change places."""
-    for r in range(ROUNDS):
-        k = f"(({seed * 37 + 11} * ({r} + 1) * 104729 + source_no * 611953 + {salt} * 15485863) % {size})"
-        df = df.withColumn("__other", F.expr(f"({k} + {size} - {column}) % {size}"))
-        df = df.withColumn("__top", F.greatest(column, "__other"))
-        df = df.withColumn(column, F.expr(f"if({_bit_sql('__top', r, seed)} = 1, __other, {column})"))
-    return df.drop("__other", "__top")
+def permute(df: DataFrame, column: str, size: str, salt: str, seed: int, to: str) -> DataFrame:
+    """``to``: the image of ``column`` (0 <= x < ``size``, every x once per source and
+    ``salt``) under a pseudorandom permutation, its rank by digest. All orders are as
+    likely as digests are random. Digests are cut into ranges of about ``BUCKET_ROWS``,
+    ranked apart and shifted by the ranges before them, so no window holds a source."""
+    digest = F.expr(_digest_sql(str(seed), "source_no", salt, column))
+    ranges = F.expr(f"bigint({size}) div {BUCKET_ROWS} + 1")
+    # the digits of a digest, as a share of all digests, give its range
+    at = df.withColumn("__h", digest).withColumn(
+        "__range", F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * ranges, 32)
+    )
+    counts = at.groupBy("source_no", salt, "__range").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("source_no", salt).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("source_no", salt, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("source_no", salt, "__range").orderBy("__h", column)
+    ranked = at.withColumn("__row", F.row_number().over(inside) - 1).join(counts, ["source_no", salt, "__range"])
+    return ranked.withColumn(to, F.col("__before") + F.col("__row")).drop("__h", "__range", "__row", "__before")
 
 
 def document_sizes(docs: DataFrame, text: str, source: str) -> DataFrame:
@@ -178,17 +182,19 @@ def mix(
     last = F.expr("(start + size - 1) div block_len")
     begun = at.filter("size > 0").select(
         "source_no", "n_blocks", "epochs", "extra",
-        F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("slot"),
+        F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))).alias("block"),
     )
     begun = begun.select("*", F.explode(F.sequence(F.lit(0), F.lit(how.cap - 1))).alias("epoch"))
-    used = begun.filter("epoch < epochs or (epoch = epochs and slot < extra)").withColumn("block", F.col("slot"))
-    slots = permute(used, "block", "n_blocks", "epoch", how.seed)
+    begun = begun.filter("epoch < epochs or (epoch = epochs and extra > 0)")
+    slots = permute(begun, "block", "n_blocks", "epoch", how.seed, "slot").filter("epoch < epochs or slot < extra")
     n_shards = plan.agg(F.sum(F.expr("epochs * n_blocks + extra"))).first()[0] or 0
     n_shards = n_shards // how.shard_slots + 1
-    draw = f"((slot * {MULTIPLIER} + source_no * 104729 + epoch * 611953 + {how.seed}) % {PRIME}) * {SECOND} % {PRIME} % {n_shards}"
-    # stored: the plan of the mix is a result, and an inferred filter on the block
-    # would otherwise be pushed through every round of the permutation
-    slots = stored(slots.select(F.expr(draw).alias("shard"), "source_no", "epoch", "slot", "block"), "mix-slots")
+    # every slot falls on a shard by its own mixed bits: a shard's source counts are
+    # multinomial, given the totals
+    bits = F.expr(_digest_sql(str(how.seed + 1), "source_no", "epoch", "slot"))
+    draw = F.shiftright(F.conv(F.substring(bits, 1, 8), 16, 10).cast("long") * n_shards, 32)
+    # stored: the plan of the mix is a result
+    slots = stored(slots.select(draw.alias("shard"), "source_no", "epoch", "slot", "block"), "mix-slots")
 
     uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
     begin, end = F.expr("start div block_len"), F.expr("(start + greatest(size, 1L) - 1) div block_len")
@@ -230,15 +236,7 @@ def mix_sql(how: Mixture | None = None) -> str:
     """The same mix in SQL."""
     how = how or Mixture()
     weights = ", ".join(str(int(w)) for w in how.weights)
-    steps, prev = [], "r0"
-    for r in range(ROUNDS):
-        k = f"(({how.seed * 37 + 11} * ({r} + 1) * 104729 + source_no * 611953 + epoch * 15485863) % n_blocks)"
-        bit = _bit_sql("greatest(block, other)", r, how.seed).replace(" div ", " // ")
-        steps.append(
-            f"r{r + 1} as (select source_no, n_blocks, epoch, case when {bit} = 1 then other else block end as block "
-            f"from (select *, ({k} + n_blocks - block) % n_blocks as other from {prev}))"
-        )
-        prev = f"r{r + 1}"
+    digest = _digest_sql(str(how.seed), "source_no", "epoch", "block").replace("as string", "as varchar")
     return f"""
     with sz as (
       select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::bigint as size
@@ -267,12 +265,10 @@ def mix_sql(how: Mixture | None = None) -> str:
     st as (
       select *, coalesce(sum(size) over (partition by source order by b, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
       from bk),
-    r0 as (
-      select source_no, n_blocks, epoch, slot as block
-      from (select *, unnest(range(n_blocks)) as slot from pln), (select unnest(range({how.cap})) as epoch)
-      where epoch < epochs or (epoch = epochs and slot < extra)),
-    {", ".join(steps)},
-    us as (select source_no, block, count(*) as uses from {prev} group by all),
+    sl as (
+      select source_no, epochs, extra, epoch, block, row_number() over (partition by source_no, epoch order by {digest}, block) - 1 as slot
+      from (select *, unnest(range(n_blocks)) as block from pln), (select unnest(range({how.cap})) as epoch)),
+    us as (select source_no, block, count(*) as uses from sl where epoch < epochs or (epoch = epochs and slot < extra) group by all),
     pt as (
       select st.*, source_no, source_size, target, block_len,
              unnest(range(start // block_len, (start + greatest(size, 1) - 1) // block_len + 1)) as block

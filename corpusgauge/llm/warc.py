@@ -75,19 +75,6 @@ class Archive:
     headers: str
     payloads: str
 
-    def payload_facts(self, spark: SparkSession) -> DataFrame:
-        """Address, length and digest of the stored bytes, computed from the bytes;
-        a payload that does not hash to its address ends the read."""
-        at = spark.read.schema(PAYLOAD).parquet(self.payloads)
-        same = F.sha2("payload", 256) == F.col("address")
-        return at.select(
-            F.when(same, F.col("address"))
-            .otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-            .alias("address"),
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
-            base32_of_hex(F.sha1("payload")).alias("payload_digest"),
-        )
-
     def records(self, spark: SparkSession) -> DataFrame:
         """Fields of every record, read from its header bytes."""
         head = F.col("header").cast("string")
@@ -99,19 +86,48 @@ class Archive:
             number("WARC-Refers-To").alias("refers_to"),
             take("X-Content-Address", "sha256:([0-9a-f]+)").alias("address"),
             take("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("header_digest"),
+            take("Content-Length", "([0-9]+)").cast("long").alias("block_bytes"),
             "header",
         )
 
-    def reconstruct(self, spark: SparkSession) -> DataFrame:
-        """Every record with its payload and its exact bytes: header, content block
-        (empty for a revisit) and the two line ends that close a record. One payload
-        row meets its records; a payload of many records is a skewed join, which
-        adaptive execution splits."""
+    def reconstruct(self, spark: SparkSession, payloads_of: str = "true") -> DataFrame:
+        """Every record with its exact bytes: header, content block (the payload of a
+        response, nothing for a revisit) and the two line ends that close a record. Only
+        records for which ``payloads_of`` holds meet their payload. One payload row meets
+        its records; a payload of many records is a skewed join, which adaptive execution
+        splits."""
         payloads = spark.read.schema(PAYLOAD).parquet(self.payloads)
-        out = self.records(spark).join(payloads, "address", "left")
+        out = self.records(spark).filter(payloads_of).join(payloads, "address", "left")
         block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
         return out.withColumn("record", F.concat("header", block, F.lit(HEADER_END.encode())))
 
+    def checked(self, spark: SparkSession) -> DataFrame:
+        """What the rebuilt records say of each page: ``page_id``, ``payload_bytes``,
+        ``payload_digest``, ``record_type``, ``refers_to``. A response is rebuilt to its
+        last byte, and its block is cut out again by the header's length; a block that is
+        missing, of another length, or that hashes neither to its address nor to the
+        digest of its header ends the read. A revisit is rebuilt without a block and
+        takes length and digest from the response to its payload."""
+        built = self.reconstruct(spark, "record_type = 'response'").select("page_id", "refers_to", "address", "header_digest", "block_bytes", "header", "record")
+        body = F.substring(F.col("record"), F.octet_length("header") + 1, F.col("block_bytes").cast("int"))
+        built = built.withColumn("body", body)
+        whole = (
+            (F.octet_length("record") == F.octet_length("header") + F.col("block_bytes") + len(HEADER_END))
+            & (F.sha2("body", 256) == F.col("address"))
+            & (base32_of_hex(F.sha1("body")) == F.col("header_digest"))
+        )
+        damaged = F.raise_error(F.concat(F.lit("damaged record of payload "), F.col("address")))
+        good = F.when(F.coalesce(whole, F.lit(False)), F.col("header_digest")).otherwise(damaged)
+        responses = built.select("page_id", "address", F.col("block_bytes").alias("payload_bytes"), good.alias("payload_digest"), F.lit("response").alias("record_type"), "refers_to")
+        facts = responses.groupBy("address").agg(F.max("payload_bytes").alias("n"), F.max("payload_digest").alias("known"))
+        again = self.records(spark).filter("record_type = 'revisit'")
+        again = again.withColumn("record", F.concat("header", F.lit(HEADER_END.encode()))).join(facts, "address", "left")
+        same = (F.col("known") == F.col("header_digest")) & (F.col("block_bytes") == 0)
+        same = same & (F.octet_length("record") == F.octet_length("header") + len(HEADER_END))
+        known = F.when(F.coalesce(same, F.lit(False)), F.col("known")).otherwise(damaged)
+        revisits = again.select("page_id", F.col("n").alias("payload_bytes"), known.alias("payload_digest"), "record_type", "refers_to")
+        return responses.drop("address").unionByName(revisits)
+
 
 def write_archive(
     pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0,
@@ -151,19 +167,9 @@ def write_archive(
 
 
 def archived_pages(pages: DataFrame, **options) -> DataFrame:
-    """Write an archive of ``pages``, read it back and return what it says of each
-    page; lengths and digests come from the stored payload bytes."""
-    spark = pages.sparkSession
-    archive = write_archive(pages, **options)
-    out = archive.records(spark).join(archive.payload_facts(spark), "address", "left")
-    agree = F.col("payload_digest") == F.col("header_digest")
-    return out.select(
-        "page_id",
-        "payload_bytes",
-        F.when(agree, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload differ"))).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    """Write an archive of ``pages``, rebuild every record from it and return what they
+    say of each page."""
+    return write_archive(pages, **options).checked(pages.sparkSession)
 
 
 def archive_sql(least: int = 0) -> str:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusgauge.llm import classifier, mixture, pii, quality_rules, url_filter, warc
 from corpusgauge.llm.queries import QUERIES, SQL
@@ -149,6 +150,12 @@ def test_archive_round_trip(spark):
     small = {r.page_id: r.record_type for r in warc.archived_pages(pages.filter("page_id < 7"), least=5).collect()}
     assert set(small.values()) == {"response"}
     assert warc.archived_pages(pages.limit(0)).count() == 0
+    # a payload that was changed, or is gone, ends the read
+    payloads = spark.read.parquet(archive.payloads)
+    for i, bad in enumerate([payloads.withColumn("payload", F.lit(b"other")), payloads.limit(0)]):
+        bad.write.parquet(f"{archive.payloads}-{i}")
+        with pytest.raises(Exception, match="damaged record"):
+            warc.Archive(archive.headers, f"{archive.payloads}-{i}").checked(spark).collect()
 
 
 def pa_lit(x):
@@ -181,20 +188,37 @@ def test_mixture_meets_targets_and_agrees_on_reruns(spark):
         assert abs(taken[s] - target[s]) <= max(2, 0.02 * target[s])
 
 
-def test_permutation_is_one_to_one(spark):
-    for n in (1, 2, 7, 1000):
+def test_permutation_is_one_to_one_and_mixed(spark):
+    for n in (1, 2, 7, 1000, 20_000):
         df = spark.range(n).selectExpr("id as x", f"{n}L as n", "3L as source_no", "1L as epoch")
-        got = [r.x for r in mixture.permute(df, "x", "n", "epoch", 17).collect()]
-        assert sorted(got) == list(range(n))
-    assert got != list(range(1000))
+        got = {r.x: r.y for r in mixture.permute(df, "x", "n", "epoch", 17, "y").collect()}
+        assert sorted(got) == list(range(n)) and sorted(got.values()) == list(range(n))
+    # images of near places are as far apart as any two: mean n / 3, spread n / sqrt(18)
+    step = np.abs(np.diff([got[x] for x in range(n)]))
+    assert abs(step.mean() / n - 1 / 3) < 0.01 and abs(step.std() / n - 18**-0.5) < 0.01
+    # another seed, source or epoch is another permutation
+    other = {r.x: r.y for r in mixture.permute(df, "x", "n", "epoch", 18, "y").collect()}
+    assert sum(other[x] == got[x] for x in got) < 10
 
 
 def test_mixture_slots_are_multinomial_and_native(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = mixture.mix(docs, mixture.Mixture(shard_slots=64))
     counts = out.shard_counts().toPandas()
-    per_shard = counts.groupby("shard")["slots"].sum()
-    assert abs(per_shard.mean() - 64) < 8 and per_shard.std() < 4 * 8
+    shards = counts["shard"].max() + 1
+    assert shards > 20
+    for _, of in counts.groupby("source_no"):
+        seen = of.set_index("shard")["slots"].reindex(range(shards), fill_value=0)
+        if seen.sum() >= 5 * shards:
+            # chi-square over its degrees of freedom is near 1: neither even nor clustered
+            ratio = ((seen - seen.mean()) ** 2 / seen.mean()).sum() / (shards - 1)
+            spread = (2 / (shards - 1)) ** 0.5
+            assert 1 - 4 * spread < ratio < 1 + 4 * spread
+    whole = counts.groupby("shard")["slots"].sum()
+    ratio = ((whole - whole.mean()) ** 2 / whole.mean()).sum() / (shards - 1)
+    assert 1 - 4 * (2 / (shards - 1)) ** 0.5 < ratio < 1 + 4 * (2 / (shards - 1)) ** 0.5
+    slots = out.slots.select("source_no", "epoch", "slot").collect()
+    assert len(slots) == len(set(slots)) == whole.sum()
     assert "Arrow" not in out.documents._jdf.queryExecution().executedPlan().toString()
 
 
