@@ -1,17 +1,20 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. Every other mention of digits or of an address-like
-token is a node whose label the field decides: node potentials come from the
-mention's shape, skip potentials join distant mentions of one document that repeat
-each other (equal key: the digits, or the folded address) or look alike (equal
-shape). Both kinds of edge link consecutive occurrences only, so a document of n
-mentions has fewer than 2n edges however often one token repeats. Loopy message
-passing, over all documents of a batch at once, makes the labels of such mentions
-agree across the whole document.
-
-The potentials are trained here, piecewise, from counts over all mentions of the
-corpus: shapes against base labels, and how often linked mentions agree. The
-counts have a bounded number of cells.
+token is a node whose label the field decides: node potentials come from the mention's
+shape and the word before it, chain potentials join neighbouring mentions, and skip
+potentials join distant mentions of one document that repeat each other (equal key: the
+digits, or the folded address) or look alike (equal shape). All three kinds of edge link
+consecutive nodes only, so a document of n mentions has fewer than 3n edges however often
+one token repeats. Loopy message passing, over all documents of a batch at once, makes
+the labels of such mentions agree across the whole document.
+
+The potentials are trained here, piecewise, by expectation-maximisation over all mentions
+of the corpus. Base spans are labelled. A mention that no pattern matches and that
+repeats none of them is an example of nothing personal. One that repeats a base span in
+another form is what the field is there to find: its label is hidden, is inferred by
+messages under the potentials so far, and enters the counts as the probabilities found.
+Partitions count, Spark adds, and the counts have a bounded number of cells.
 
 Defined results: a NULL or empty text has no spans; repeated rows get equal
 results; offsets are code points, end exclusive. Further columns of the input are
@@ -22,8 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"\(?[0-9](?:[0-9().\x20/-]*[0-9])?")
 ADDRESS = re.compile(r"(?:@|[\x20]?[\[(](?:at|AT)[\])][\x20]?)")
 DIGIT = re.compile(r"[^0-9]+")
+WORD = re.compile(r"[^\W\d_]+")
 #: (name, number of values) of the shape of a mention.
 SHAPE = (("digits", 24), ("dots", 6), ("groups", 8), ("address", 2), ("longest", 24))
+#: what is known of a mention beside its shape: the word before it, hashed
+FEATURES = (*SHAPE, ("before", 256))
 ITERATIONS = 12
+ROUNDS = 6  # of expectation and maximisation
 
 
 def luhn(digits: str) -> bool:
@@ -104,6 +112,12 @@ def _shape(value: str) -> list[int]:
     return [min(v, n - 1) for v, (_, n) in zip(raw, SHAPE)]
 
 
+def _before(text: str, at: int) -> int:
+    """The word before a mention, as a number from 1; 0 if there is none near by."""
+    words = WORD.findall(text[max(0, at - 24) : at])
+    return zlib.crc32(words[-1].lower().encode()) % (FEATURES[-1][1] - 1) + 1 if words else 0
+
+
 def mentions(text: str) -> list[tuple]:
     """(label, start, end, key, shape...) of the base spans and of every other
     candidate, in text order."""
@@ -127,11 +141,11 @@ def mentions(text: str) -> list[tuple]:
             rest.append((0, low, d.end()))
     out = []
     for label, a, b in sorted(base + rest, key=lambda x: (x[1], x[2], x[0])):
-        out.append((label, a, b, _key(text[a:b]), *_shape(text[a:b])))
+        out.append((label, a, b, _key(text[a:b]), *_shape(text[a:b]), _before(text, a)))
     return out
 
 
-FIELDS = ["label", "start", "end", "key", *[n for n, _ in SHAPE]]
+FIELDS = ["label", "start", "end", "key", *[n for n, _ in FEATURES]]
 MENTION = pa.struct([(n, pa.int64()) for n in FIELDS])
 
 
@@ -157,21 +171,35 @@ def find_mentions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def _edges(owner: np.ndarray, key: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges between consecutive nodes of one document with equal key (type 0) or,
-    where keys differ, equal shape (type 1). Nodes are in text order."""
+    """Edges between consecutive nodes of one document with equal key (type 0), where
+    keys differ with equal shape (type 1), or with nothing between them (type 2). Nodes
+    are in text order."""
     left, right, kind = [], [], []
-    for t, value in enumerate((key, shape)):
+    for t, value in enumerate((key, shape, np.zeros(len(owner), dtype=np.int64))):
         order = np.lexsort((np.arange(len(owner)), value, owner))
         a, b = order[:-1], order[1:]
         same = (owner[a] == owner[b]) & (value[a] == value[b])
         if t:
             same &= key[a] != key[b]
+        if t == 2:
+            same &= shape[a] != shape[b]
         left.append(a[same])
         right.append(b[same])
         kind.append(np.full(int(same.sum()), t))
     return np.concatenate(left), np.concatenate(right), np.concatenate(kind)
 
 
+def _hidden(owner: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Unlabelled mentions that repeat a labelled one of their document."""
+    order = np.lexsort((x[:, 3], owner))
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (x[order, 3][1:] != x[order, 3][:-1])
+    group = np.empty(len(x), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    known = np.bincount(group, weights=x[:, 0] > 0) > 0
+    return (x[:, 0] == 0) & known[group]
+
+
 def _nodes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Owner row and fields of all mentions of a batch."""
     flat = column.flatten()
@@ -190,11 +218,13 @@ def _shape_number(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Field:
-    """Log potentials: one table per shape feature, priors, and per edge type."""
+    """Log potentials: one table per feature, priors, one number per type of skip edge
+    and a table of neighbouring labels (left, right)."""
 
     prior: np.ndarray
     shape: list[np.ndarray]
     skip: np.ndarray
+    chain: np.ndarray = field(default_factory=lambda: np.zeros((LABELS, LABELS)))
 
     def decide(self, owner: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Probabilities of the labels, by loopy message passing."""
@@ -209,59 +239,92 @@ class Field:
         if len(a):
             src, dst = np.concatenate([a, b]), np.concatenate([b, a])
             back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
-            gain = np.exp(self.skip[np.concatenate([kind, kind])])[:, None] - 1.0
+            # the same label gains on skip edges; neighbours have a table, seen from either side
+            equal = [np.exp(np.diag(np.full(LABELS, s))) for s in self.skip[:2]]
+            sets = [(np.flatnonzero(np.concatenate([kind, kind]) == t), equal[t]) for t in (0, 1)]
+            near = np.flatnonzero(kind == 2)
+            sets += [(near, np.exp(self.chain)), (near + len(a), np.exp(self.chain.T))]
             m = np.zeros((len(src), LABELS))
             for _ in range(ITERATIONS):
                 belief = unary.copy()
                 np.add.at(belief, dst, m)
                 out = belief[src] - m[back]
                 p = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(p.sum(1, keepdims=True) + gain * p)  # Potts: all labels, and the same one gains
+                new = np.zeros_like(m)
+                for at, table in sets:
+                    new[at] = np.log(p[at] @ table)
                 m = 0.5 * m + 0.5 * (new - new.max(1, keepdims=True))
             np.add.at(unary, dst, m)
         p = np.exp(unary - unary.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
-def train(found: DataFrame) -> Field:
-    """Potentials from counts over all mentions: (feature, value, label), and of
-    linked mentions those that agree. Partitions count, Spark adds."""
+# cells of the counts: features, agreement by edge type, neighbouring labels
+AGREE, CHAIN = len(FEATURES), len(FEATURES) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], int] = {}
 
-        def add(what: int, values: np.ndarray, labels: np.ndarray) -> None:
-            pairs, n = np.unique(values * LABELS + labels, return_counts=True)
-            for p, k in zip(pairs.tolist(), n.tolist()):
-                cell = (what, p // LABELS, p % LABELS)
-                total[cell] = total.get(cell, 0) + k
+def _counted(found: DataFrame, now: Field | None) -> np.ndarray:
+    """Expected counts (cell, value, label, n) over all mentions. Hidden labels have
+    the probabilities of the field ``now``; before the first, they are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros((n, LABELS)) for _, n in FEATURES]
+        agree, chain = np.zeros((3, 2)), np.zeros((LABELS, LABELS))
         for batch in batches:
             owner, x = _nodes(batch.column(0))
-            if len(x):
-                for i in range(len(SHAPE)):
-                    add(i, x[:, 4 + i], x[:, 0])
-                a, b, kind = _edges(owner, x[:, 3], _shape_number(x))
-                named = (x[a, 0] > 0) | (x[b, 0] > 0)
-                add(len(SHAPE), kind[named], (x[a, 0] == x[b, 0])[named].astype(np.int64))
-        cells = np.array([[*c, n] for c, n in total.items()], dtype=np.int64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([pa.array(cells[:, i]) for i in range(4)], ["what", "value", "label", "n"])
-
-    counts = found.select("mentions").mapInArrow(run, "what long, value long, label long, n long")
-    counts = counts.groupBy("what", "value", "label").agg(F.sum("n").alias("n")).toPandas()  # a few hundred cells
-    tables = [np.full((n, LABELS), 0.5) for _, n in SHAPE]
-    agree = np.ones((2, 2))
-    for what, value, label, n in counts.itertuples(index=False):
-        if what < len(SHAPE):
-            tables[what][value, label] += n
-        else:
-            agree[value, label] += n
+            if not len(x):
+                continue
+            hidden = _hidden(owner, x)
+            q = np.zeros((len(x), LABELS))
+            q[np.arange(len(x)), x[:, 0]] = 1.0
+            q[hidden] = now.decide(owner, x)[hidden] if now is not None else 0.0
+            for i, table in enumerate(tables):
+                np.add.at(table, x[:, 4 + i], q)
+            a, b, kind = _edges(owner, x[:, 3], _shape_number(x))
+            named = (x[a, 0] > 0) | (x[b, 0] > 0)
+            same = (q[a] * q[b]).sum(1)
+            both = q[a].sum(1) * q[b].sum(1)
+            for t in (0, 1):
+                at = named & (kind == t)
+                agree[t] += [(both - same)[at].sum(), same[at].sum()]
+            near = kind == 2
+            chain += q[a[near]].T @ q[b[near]]
+        for what, table in [*enumerate(tables), (AGREE, agree), (CHAIN, chain)]:
+            value, label = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(value), what)), pa.array(value), pa.array(label), pa.array(table[value, label])],
+                ["what", "value", "label", "n"],
+            )
+
+    counts = found.select("mentions").mapInArrow(run, "what long, value long, label long, n double")
+    counts = counts.groupBy("what", "value", "label").agg(F.sum("n").alias("n"))
+    return counts.toPandas().to_numpy(dtype=float)  # at most a few thousand cells
+
+
+def _potentials(counts: np.ndarray) -> Field:
+    tables = [np.full((n, LABELS), 0.5) for _, n in FEATURES]
+    # repeats of one key are expected to agree; likeness of shape has to show it
+    agree = np.array([[1.0, 4.0], [1.0, 1.0], [1.0, 1.0]])
+    chain = np.full((LABELS, LABELS), 0.5)
+    cells = [*tables, agree, chain]
+    for what, value, label, n in counts:
+        cells[int(what)][int(value), int(label)] += n
     seen = tables[0].sum(0)
     prior = np.log(seen / seen.sum())
-    # features overlap: each speaks with half its weight
+    # features overlap: each speaks with half its weight, neighbours likewise
     shape = [0.5 * np.log(t / t.sum(0)) for t in tables]
-    skip = np.clip(np.log(agree[:, 1] / agree[:, 0]), 0.0, 5.0)
-    return Field(prior, shape, skip)
+    skip = np.clip(np.log(agree[:2, 1] / agree[:2, 0]), 0.0, 6.0)
+    expected = chain.sum(1, keepdims=True) * chain.sum(0, keepdims=True) / chain.sum()
+    return Field(prior, shape, skip, np.clip(0.5 * np.log(chain / expected), -2.0, 2.0))
+
+
+def train(found: DataFrame, rounds: int = ROUNDS) -> Field:
+    """Potentials from all mentions: counts of what is labelled, then rounds in which
+    hidden labels are inferred and counted as their probabilities."""
+    now = _potentials(_counted(found, None))
+    for _ in range(rounds):
+        now = _potentials(_counted(found, now))
+    return now
 
 
 def label_documents(
@@ -270,7 +333,7 @@ def label_documents(
     """key, ``base`` and ``added``: arrays of (kind, start, end). A span is added when
     the field gives its label at least the probability ``least``."""
     found = stored(find_mentions(docs, key, text), "pii-mentions")
-    field = train(found)
+    trained = train(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -279,7 +342,7 @@ def label_documents(
             base: list[list] = [[] for _ in range(b.num_rows)]
             more: list[list] = [[] for _ in range(b.num_rows)]
             if len(x):
-                p = field.decide(owner, x)
+                p = trained.decide(owner, x)
                 best = p[:, 1:].argmax(1) + 1
                 sure = p[np.arange(len(x)), best] >= least
                 for i in np.flatnonzero((x[:, 0] > 0) | sure).tolist():
