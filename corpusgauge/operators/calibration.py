@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.columns import count_if, ratio
-from ..session import cut_lineage
+from ..session import bounded_rows, cut_lineage
 from .common import attach_groups
 from .rows import stratified_split
 
 KEY = ["fold", "class"]
+# Level blocks that all isotonic fits together may have.
+BLOCKS = 2_000_000
 
 
 # -- margins ------------------------------------------------------------------
@@ -168,19 +172,79 @@ def apply_sigmoid(margins: DataFrame, params: DataFrame) -> DataFrame:
     return attach_groups(margins, params, KEY).withColumn("p", 1 / (1 + F.exp(z))).drop("a", "b")
 
 
+def pool(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Block of each value in the non-decreasing weighted fit (adjacent violators)."""
+    means: list[float] = []
+    weights: list[float] = []
+    sizes: list[int] = []
+    for v, w in zip(value.tolist(), weight.tolist()):
+        means.append(v)
+        weights.append(w)
+        sizes.append(1)
+        while len(means) > 1 and means[-2] >= means[-1]:
+            v2, w2, n2 = means.pop(), weights.pop(), sizes.pop()
+            means[-1] = (means[-1] * weights[-1] + v2 * w2) / (weights[-1] + w2)
+            weights[-1] += w2
+            sizes[-1] += n2
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def isotonic_blocks(margins: DataFrame) -> DataFrame:
+    """``(fold, class, lo, hi, s, w)``: the level blocks of every (fold, class) at once,
+    from margins ``lo`` to ``hi`` at value ``s / w``.
+
+    Equal margins are summed first. Sorted ranges of margins are pooled where they lie,
+    which leaves blocks; blocks of neighbouring ranges are pooled again, which is exact,
+    because pooling a part first never undoes a block of the whole."""
+    ties = margins.groupBy(*KEY, "margin").agg(F.sum(F.col("positive").cast("double")).alias("s"), F.count("*").cast("double").alias("w"))
+    ties = ties.filter("margin is not null").select(*KEY, F.col("margin").cast("double").alias("lo"), F.col("margin").cast("double").alias("hi"), "s", "w")
+    schema = ties.schema
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("lo", ignore_index=True)
+        block = pool((rows["s"] / rows["w"]).to_numpy(), rows["w"].to_numpy())
+        out = rows.groupby(block, sort=True).agg({"fold": "first", "class": "first", "lo": "first", "hi": "last", "s": "sum", "w": "sum"})
+        return out[["fold", "class", "lo", "hi", "s", "w"]]
+
+    def ranges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:  # a batch is a sorted stretch of a range
+            for _, rows in part.groupby(["fold", "class"], sort=False):
+                yield merge(rows)
+
+    ordered = ties.repartitionByRange(*KEY, "lo").sortWithinPartitions(*KEY, "lo")
+    return ordered.mapInPandas(ranges, schema).groupBy(*KEY).applyInPandas(merge, schema)
+
+
 def fit_apply_isotonic(margins: DataFrame, score: DataFrame, pairs: Sequence[tuple[int, str]]) -> DataFrame:
-    """Isotonic counterpart: one monotone fit per (fold, class)."""
-    out = None
-    for fold, name in pairs:
-        here = (F.col("fold") == fold) & (F.col("class") == F.lit(name))
-        train = margins.filter(here).select(
-            F.col("margin").alias("features"), F.col("positive").cast("double").alias("label")
-        )
-        model = IsotonicRegression().fit(train)
-        part = model.transform(score.filter(here).withColumn("features", F.col("margin")))
-        part = part.withColumnRenamed("prediction", "p").drop("features")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Isotonic counterpart: one monotone fit per (fold, class) of ``pairs``, all in one
+    grouped pass. Between blocks the fit is a straight line, outside it is constant;
+    rows of a pair that has no fit, or without a margin, have no ``p``."""
+    wanted = F.create_map(*[F.lit(x) for f, c in pairs for x in (f"{f}|{c}", True)]) if pairs else F.lit(None).cast("map<string,boolean>")
+    listed = F.coalesce(wanted[F.concat_ws("|", "fold", "class")], F.lit(False))
+    rows = bounded_rows(isotonic_blocks(margins.filter(listed)), BLOCKS)
+    if rows is None:
+        raise ValueError(f"more than {BLOCKS} levels in the isotonic fits")
+    fits: dict[tuple, list] = {}
+    for r in rows:
+        fits.setdefault((r["fold"], r["class"]), []).append((r["lo"], r["hi"], r["s"] / r["w"]))
+    lines = {}
+    for k, blocks in fits.items():
+        blocks.sort()
+        x = np.array([[lo, hi] for lo, hi, _ in blocks]).ravel()
+        lines[k] = x, np.repeat([v for _, _, v in blocks], 2)
+    here = score.filter(listed)
+
+    def apply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            p = np.full(len(part), np.nan)
+            for k, at in part.groupby(["fold", "class"]).indices.items():
+                if k in lines:
+                    p[at] = np.interp(part["margin"].to_numpy(dtype=float)[at], *lines[k])
+            yield part.assign(p=p)
+
+    fields = [f for f in here.schema.fields if f.name != "p"]
+    out = here.drop("p").mapInPandas(apply, T.StructType(fields).add("p", "double"))
+    return out.withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
 
 
 # -- combination --------------------------------------------------------------

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +16,12 @@ from pyspark.sql import Window as W
 
 from ..functions.columns import ratio
 from ..functions.text import raw_tokens
-from .common import attach_groups, broadcast_if_small
+from ..session import bounded_rows
+from .common import attach_groups, broadcast_if_small, spread
 
 MAX_CLASSES = 20_000
+# A dictionary of names up to these sizes travels to every executor.
+DICTIONARY_ROWS, DICTIONARY_CHARS = 500_000, 16_000_000
 
 
 def valid_rows(df: DataFrame, text: str, label: str) -> DataFrame:
@@ -47,25 +53,38 @@ def drop_names(df: DataFrame, key: str, text: str, names: DataFrame, name: str)
     """Drop the white-space tokens found in a dictionary too large for a
     literal list, whatever their case.
 
-    Only the tokens that *hit* the dictionary are grouped per row; the text is
-    then filtered by that short list, so rows without a hit, or without any
-    token left, stay. ``key`` identifies a row.
+    A dictionary that proves small enough travels to the rows, whose tokens are looked
+    up where they lie: no text is shuffled. For a larger one only the tokens that *hit*
+    it are grouped per row by ``key``, which identifies a row. The text is then filtered
+    by that short list, so rows without a hit, or without any token left, stay.
     """
-    listed = names.select(F.lower(name).alias("w")).distinct()
-    hits = (
-        df.select(key, F.explode(F.array_distinct(F.transform(raw_tokens(text), F.lower))).alias("w"))
-        .join(broadcast_if_small(listed), "w", "left_semi")
-        .groupBy(key)
-        .agg(F.collect_list("w").alias("__hits"))
-    )
+    listed = names.select(F.lower(name).alias("w")).filter("w is not null").distinct()
+    tokens = F.array_distinct(F.transform(raw_tokens(text), F.lower))
+    rows = bounded_rows(listed, DICTIONARY_ROWS)
+    if rows is not None and sum(len(r["w"]) for r in rows) <= DICTIONARY_CHARS:
+        words = pa.array([r["w"] for r in rows], pa.string())
+
+        @F.arrow_udf("array<string>")
+        def found(lists: pa.Array) -> pa.Array:
+            flat = lists.flatten()
+            hit = pc.is_in(flat, value_set=words)
+            sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(hit.to_numpy(zero_copy_only=False))])[sizes]
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(hit))
+
+        marked = spread(df).withColumn("__hits", found(tokens))
+    else:
+        hits = (
+            df.select(key, F.explode(tokens).alias("w"))
+            .join(listed, "w", "left_semi")
+            .groupBy(key)
+            .agg(F.collect_list("w").alias("__hits"))
+        )
+        marked = df.join(hits, key, "left")
     kept = F.filter(
         raw_tokens(text), lambda x: ~F.array_contains(F.coalesce("__hits", F.array().cast("array<string>")), F.lower(x))
     )
-    return (
-        df.join(hits, key, "left")
-        .withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(kept, " ")))
-        .drop("__hits")
-    )
+    return marked.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(kept, " "))).drop("__hits")
 
 
 def apply_batches(
