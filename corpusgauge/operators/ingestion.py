@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..datasets import DatasetSet, kind_of
-from ..functions.columns import row_text
-from ..session import bounded_rows, cut_lineage
-from .quality import describe_numeric, describe_text, null_profile
+from ..datasets import DATASET, DatasetSet, kind_of
+from ..functions.columns import fold_missing, row_text
+from .quality import digest, value_digest_counts
+from .quantiles import SMALL_GROUP, exact_quantiles, percentile_row
 
 REPORT_SCHEMA = "section string, column string, position int, stat string, value string"
 # Leading hex digits by which row hashes are grouped at each level of the digest
@@ -35,7 +35,6 @@ SECTIONS = ("shape", "column", "dtype", "stat", "null", "hash")
 # Fixed value: what a statistic reads that one side lacks.
 MISSING = "MISSING_OR_NULL"
 ONE = "table"
-REPORT_ROWS = 100_000
 SIDES = ("base", "ingested")
 
 
@@ -114,46 +113,16 @@ def validation_report(
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections {sorted(unknown)}")
-    ds = DatasetSet({ONE: df})
+    fields = df.schema.fields
     fixed = []
-    if "shape" in sections:
-        fixed += [("shape", None, None, "rows", str(df.count())), ("shape", None, None, "columns", str(len(df.columns)))]
     if "column" in sections:
-        fixed += [("column", f.name, i, "name", f.name) for i, f in enumerate(df.schema.fields)]
+        fixed += [("column", f.name, i, "name", f.name) for i, f in enumerate(fields)]
     if "dtype" in sections:
-        fixed += [("dtype", f.name, i, "type", f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-
-    parts = []
-    if "null" in sections:
-        nulls = null_profile(ds)
-        parts.append(_cells(nulls, "null", F.col("column"), [("nulls", F.col("n_null"))]))
-    described = df.schema.fields if "stat" in sections else []
-    kinds = {f.name: kind_of(f.dataType) for f in described}
-    numeric = [c for c, k in kinds.items() if k == "continuous"]
-    if numeric:
-        d = describe_numeric(ds, numeric)
-        names = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "q25"),
-                 ("50%", "q50"), ("75%", "q75"), ("max", "max")]
-        parts.append(_cells(d, "stat", F.col("column"), [(s, F.col(c)) for s, c in names]))
-    text = [f.name for f in described if isinstance(f.dataType, T.StringType)]
-    if text:
-        d = describe_text(ds, text)
-        parts.append(
-            _cells(d, "stat", F.col("column"), [(s, F.col(s)) for s in ("count", "unique", "top", "freq")])
-        )
-    dates = [c for c, k in kinds.items() if k == "datetime"]
-    if dates:
-        agg = ds.long(dates).agg(
-            *[
-                F.struct(F.count(f"`{c}`").alias("count"), F.min(f"`{c}`").alias("min"), F.max(f"`{c}`").alias("max")).alias(f"s{i}")
-                for i, c in enumerate(dates)
-            ]
-        )
-        for i, c in enumerate(dates):
-            parts.append(
-                _cells(agg, "stat", F.lit(c), [(s, F.col(f"s{i}.{s}")) for s in ("count", "min", "max")])
-            )
-
+        fixed += [("dtype", f.name, i, "type", f.dataType.simpleString()) for i, f in enumerate(fields)]
+    parts: list[DataFrame] = []
+    if {"shape", "null", "stat"} & set(sections):
+        rows, parts = _profile(df, sections)
+        fixed += rows
     hash_rows = [("hash", None, None, "hashed", "false")] if "hash" in sections else []
     if hash_columns and "hash" in sections:
         hash_rows = [
@@ -169,16 +138,90 @@ def validation_report(
             parts.append(
                 _cells(one, "hash", F.lit(None).cast("string"), [("aggregate_hash", F.col("aggregate_hash"))])
             )
-    out = spark.createDataFrame(fixed + hash_rows, REPORT_SCHEMA)
-    if not parts:
-        return out
-    for p in parts:
-        out = out.unionByName(p)
-    out = out.filter(F.col("value").isNotNull())
-    # A report is taken once and then read by every check. Its size follows the
-    # number of columns, not of rows; one too large to fetch is stored instead.
-    rows = bounded_rows(out, REPORT_ROWS)
-    return cut_lineage(out) if rows is None else spark.createDataFrame(rows, REPORT_SCHEMA)
+    fixed += hash_rows
+    # what needs a shuffle of its own is one query; its rows follow the columns
+    if parts:
+        stacked = parts[0]
+        for p in parts[1:]:
+            stacked = stacked.unionByName(p)
+        found = [tuple(r) for r in stacked.filter("value is not null").collect()]
+        tops = {r[1]: r[4] for r in found if r[3] == TOP_DIGEST}
+        fixed += [r for r in found if r[3] != TOP_DIGEST] + _top_values(df, tops)
+    # a report is as long as the table is wide: comparing two of them shuffles nothing
+    return spark.createDataFrame(fixed, REPORT_SCHEMA).coalesce(1)
+
+
+#: The statistic that stands for ``top`` until the text of its digest is known.
+TOP_DIGEST = "top_digest"
+
+
+def _profile(df: DataFrame, sections: Sequence[str]) -> tuple[list[tuple], list[DataFrame]]:
+    """The typed profile of all columns: report rows from one aggregate (count of rows,
+    of values, moments, extremes), and frames of report cells for what needs more, the
+    quartiles and the counts of text digests."""
+    base = fold_missing(df)
+    fields = base.schema.fields
+    stat = "stat" in sections
+    kinds = {i: kind_of(f.dataType) for i, f in enumerate(fields)} if stat else {}
+    numeric = [i for i, k in kinds.items() if k == "continuous"]
+    dates = [i for i, k in kinds.items() if k == "datetime"]
+    text = [fields[i].name for i in kinds if isinstance(fields[i].dataType, T.StringType)]
+    col = lambda i: F.col(f"`{fields[i].name}`")
+    wanted = [F.count(F.lit(1)).alias("n")]
+    if stat or "null" in sections:
+        wanted += [F.count(col(i)).alias(f"c{i}") for i in range(len(fields))]
+    forms = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wanted += [f(col(i).cast("double")).cast("string").alias(f"{s}{i}") for i in numeric for s, f in forms.items()]
+    wanted += [forms[s](col(i)).cast("string").alias(f"{s}{i}") for i in dates for s in ("min", "max")]
+    row = base.agg(*wanted).first()
+    rows: list[tuple] = []
+    if "shape" in sections:
+        rows += [("shape", None, None, "rows", str(row["n"])), ("shape", None, None, "columns", str(len(fields)))]
+    if "null" in sections:
+        rows += [("null", f.name, None, "nulls", str(row["n"] - row[f"c{i}"])) for i, f in enumerate(fields)]
+    for i in [*numeric, *dates] if row["n"] else []:
+        stats = [("count", str(row[f"c{i}"])), *[(s, row[f"{s}{i}"]) for s in (forms if i in numeric else ("min", "max"))]]
+        rows += [("stat", fields[i].name, None, s, v) for s, v in stats if v is not None]
+    parts = []
+    if numeric and row["n"]:
+        parts.append(_quartiles(base, [fields[i].name for i in numeric], row["n"]))
+    if text and row["n"]:
+        best = F.min(F.struct((-F.col("n")).alias("neg"), "k"))
+        counts = value_digest_counts(DatasetSet({ONE: df}), text).groupBy("column")
+        counts = counts.agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("best"))
+        cells = [("count", F.col("count")), ("unique", F.col("unique")), ("freq", -F.col("best.neg")), (TOP_DIGEST, F.col("best.k"))]
+        parts.append(_cells(counts, "stat", F.col("column"), cells))
+    return rows, parts
+
+
+def _quartiles(base: DataFrame, names: Sequence[str], n: int) -> DataFrame:
+    """Cells of the exact quartiles: one buffer per column where the rows are few, by
+    brackets beyond."""
+    if n > SMALL_GROUP:
+        found = exact_quantiles(base.withColumn(DATASET, F.lit(ONE)), [DATASET], names)
+        label = F.concat(F.round(F.col("prob") * 100).cast("int").cast("string"), F.lit("%"))
+        return found.select(
+            F.lit("stat").alias("section"), "column", F.lit(None).cast("int").alias("position"), label.alias("stat"), F.col("quantile").cast("string").alias("value")
+        )
+    one = base.agg(*[percentile_row(F.col(f"`{c}`").cast("double")).alias(f"q{i}") for i, c in enumerate(names)])
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"), F.col(f"q{i}")[k].cast("string").alias("value"))
+        for i, c in enumerate(names)
+        for k, s in enumerate(("25%", "50%", "75%"))
+    ]
+    return one.select(F.explode(F.array(*cells)).alias("x")).select(
+        F.lit("stat").alias("section"), "x.column", F.lit(None).cast("int").alias("position"), "x.stat", "x.value"
+    )
+
+
+def _top_values(df: DataFrame, tops: dict[str, str]) -> list[tuple]:
+    """The texts of the most frequent digests, all in one scan."""
+    if not tops:
+        return []
+    names = list(tops)
+    wanted = [F.any_value(F.when(digest(F.col(f"`{c}`")) == F.lit(tops[c]), F.col(f"`{c}`")), F.lit(True)).alias(f"t{i}") for i, c in enumerate(names)]
+    row = df.agg(*wanted).first()
+    return [("stat", c, None, "top", row[f"t{i}"]) for i, c in enumerate(names)]
 
 
 # -- comparison ---------------------------------------------------------------

@@ -83,6 +83,23 @@ def test_sections_are_computed_on_demand(spark, table):
         I.validation_report(table, sections=["other"])
 
 
+def test_a_report_takes_three_looks(spark, table, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    looks = []
+    for name in ("collect", "first", "count", "toPandas"):
+        real = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, _real=real, _n=name, **k: looks.append(_n) or _real(self, *a, **k))
+    I.validation_report(table, ["id"])
+    assert looks.count("collect") == 3 and looks.count("first") == 2
+    monkeypatch.undo()
+    # quartiles by brackets equal those of one buffer
+    whole = {tuple(r) for r in I.validation_report(table, sections=["stat"]).collect()}
+    monkeypatch.setattr(I, "SMALL_GROUP", 1)
+    assert {tuple(r) for r in I.validation_report(table, sections=["stat"]).collect()} == whole
+    assert I.validation_report(table.limit(0)).filter("section = 'stat'").count() == 0
+
+
 def status(checks):
     return {r["check"]: r["status"] for r in checks.collect()}
 
