@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import row_text
 from ..operators import ingestion as I
+from ..session import scratch_path
+from ..sources import tables as S
 from .registry import query, table
 
 KEYS = ["o_orderkey", "o_custkey", "o_orderpriority"]
@@ -42,17 +44,16 @@ def _stats_sql(src: str, numeric: list[str], text: list[str]) -> str:
     return " union all ".join([_num(src, c) for c in numeric] + [_txt(src, c) for c in text])
 
 
-@query(
-    "i1_profile_report",
-    f"""select 'stat' as section, * replace (round(number, 6) as number) from ({_stats_sql('customer', ['c_custkey', 'c_nationkey', 'c_acctbal'], ['c_name', 'c_mktsegment'])})
+REPORT_SQL = f"""select 'stat' as section, * replace (round(number, 6) as number) from ({_stats_sql('customer', ['c_custkey', 'c_nationkey', 'c_acctbal'], ['c_name', 'c_mktsegment'])})
         union all select 'shape', '', 'rows', count(*)::double, null from customer union all select 'shape', '', 'columns', 5, null
         union all select 'null', c, 'nulls', 0, null from (values ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) t(c)
         union all select 'dtype', c, 'type', null, d from (values ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) t(c, d)
         union all select 'column', c, 'name', null, c from (values ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment')) t(c)
-        union all select 'hash', '', 'hashed', null, 'false'""",
-)
-def i1(spark, sf):
-    r = I.validation_report(table(spark, sf, "customer"))
+        union all select 'hash', '', 'hashed', null, 'false'"""
+
+
+def report_rows(r):
+    """A report with its values as numbers where they are some."""
     number = F.col("value").try_cast("double")
     return r.select(
         "section",
@@ -63,6 +64,19 @@ def i1(spark, sf):
     )
 
 
+@query("i1_profile_report", REPORT_SQL)
+def i1(spark, sf):
+    return report_rows(I.validation_report(table(spark, sf, "customer")))
+
+
+@query("a3_a4_report_files", REPORT_SQL)
+def a3_a4(spark, sf):
+    """Store a whole report as JSON and read it back."""
+    path = scratch_path(spark, "report")
+    S.write_report(I.validation_report(table(spark, sf, "customer")), path)
+    return report_rows(S.read_report(spark, path))
+
+
 def _keyed(spark, sf):
     df = table(spark, sf, "orders")
     return df.withColumn("o_custkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_custkey")))
@@ -220,3 +234,20 @@ def i8(spark, sf):
     ).select(F.lit(name).alias("variant"), "overall_status")
     turned = lambda df: df.orderBy(F.desc("o_orderkey")).repartition(7)
     return one("touched", _touched).unionByName(one("reversed", turned))
+
+
+@query(
+    "a4_compare_report_files",
+    f"""with {TOUCHED}, d as (select (select count(o_orderstatus) from orders) = (select count(o_orderstatus) from touched) as same)
+        select "check", case when "check" in ('stats_match', 'null_count_match') and not same then 'FAIL' when "check" = 'hash_match' then 'SKIPPED' else 'PASS' end as status,
+               case when same then 'PASS' else 'FAIL' end as overall_status
+        from d, (values ('shape_match'), ('column_match'), ('dtype_match'), ('stats_match'), ('null_count_match'), ('hash_match')) t("check")""",
+)
+def a4_files(spark, sf):
+    """Two stored reports, read back and compared."""
+    paths = [scratch_path(spark, f"report-{i}") for i in range(2)]
+    for report, path in zip(_reports(spark, sf, _touched), paths):
+        S.write_report(report, path)
+    checks, overall = S.compare_report_files(spark, *paths)
+    status = overall.first()["overall_status"]
+    return checks.select("check", "status", F.lit(status).alias("overall_status"))

@@ -8,7 +8,7 @@ from ..datasets import DATASET, DatasetSet, column_plan
 from ..functions import text as X
 from ..functions.formatting import count_text, metric_text, percent_text
 from ..operators import evaluation as E
-from ..operators import ingestion, lexical, quality
+from ..operators import lexical, quality
 from ..operators import rows as R
 from ..operators.distributions import to_datetime, value_counts
 from ..operators.features import fit_tfidf
@@ -67,24 +67,6 @@ def a2(spark, sf):
     return df.select("page_id", "url", F.char_length("html").cast("long").alias("n_chars"))
 
 
-@query(
-    "a3_a4_report_files",
-    """select 'shape' as section, 'rows' as stat, count(*)::varchar as value from customer
-       union all select 'shape', 'columns', '5'
-       union all select 'null', 'nulls', count(*) filter (where c_acctbal is null)::varchar from customer
-       union all select 'null', 'nulls', count(*) filter (where c_name is null)::varchar from customer
-       union all select 'null', 'nulls', count(*) filter (where c_custkey is null)::varchar from customer
-       union all select 'null', 'nulls', count(*) filter (where c_nationkey is null)::varchar from customer
-       union all select 'null', 'nulls', count(*) filter (where c_mktsegment is null)::varchar from customer""",
-)
-def a3_a4(spark, sf):
-    """Store a report as JSON and read it back."""
-    path = scratch_path(spark, "report")
-    S.write_report(ingestion.validation_report(table(spark, sf, "customer")), path)
-    back = S.read_report(spark, path)
-    return back.filter(F.col("section").isin("shape", "null")).select("section", "stat", "value")
-
-
 REPORT_SQL = f"""
 with {PRED},
 c as (select l as label, count(*) filter (where k = 'tp') as tp, count(*) filter (where k <> 'p') as support,
@@ -122,7 +104,7 @@ def a5(spark, sf):
 def a6(spark, sf):
     """Save and reload the fitted feature stages; features must not change."""
     df = table(spark, sf, "documents").select("doc_id", "text")
-    model = fit_tfidf(df, "text", 500)
+    model = fit_tfidf(df, "text")
     path = scratch_path(spark, "model")
     S.save_model(model, path)
     back = S.load_model(path)

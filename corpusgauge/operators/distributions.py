@@ -240,12 +240,20 @@ def histogram_on_edges(ds: DatasetSet, column: str, edges: Sequence[float]) -> D
     )
 
 
+# Moments a cell of the density curve keeps, and bandwidths beyond which it adds nothing.
+MOMENTS, REACH = 11, 9.0
+
+
 def density_curve(ds: DatasetSet, column: str, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density with the normal-reference bandwidth
     ``std * n^(-1/5)`` on an even grid reaching ``cut`` bandwidths past the data.
 
-    Equal values are merged first; every remaining value then adds to the grid
-    points on its own partition, so only sums are shuffled.
+    The sum of kernels is not formed value by value. Values fall into cells half a
+    bandwidth wide, each of which keeps the first ``MOMENTS`` moments of its values
+    about its middle, one partial aggregate; a cell then adds to a grid point the Taylor
+    series of the kernel there (Hermite polynomials), whose error is below 1e-12 of a
+    value's own kernel. The work per value does not depend on the grid, and cells, not
+    values, meet the points within ``REACH`` bandwidths.
     """
     x = _numbers(ds, column)
     found = per_dataset(x, n=F.count(F.lit(1)), std=F.stddev_samp("x"), lo=F.min("x"), hi=F.max("x"))
@@ -256,16 +264,31 @@ def density_curve(ds: DatasetSet, column: str, points: int = 200, cut: float = 3
             start = m["lo"] - cut * h
             curves[name] = {"n": m["n"], "h": h, "start": start, "step": (m["hi"] - m["lo"] + 2 * cut * h) / (points - 1)}
     n, h, start, step = (_scalar(curves, c) for c in ("n", "h", "start", "step"))
-    values = x.filter(F.col(DATASET).isin(*curves)).groupBy(DATASET, "x").agg(F.count(F.lit(1)).alias("c"))
+    cell = F.floor((F.col("x") - start) / (h / 2))
+    middle = start + (F.col("cell") + 0.5) * (h / 2)
+    placed = x.filter(F.col(DATASET).isin(*curves)).withColumn("cell", cell)
+    off = (F.col("x") - middle) / h
+    power, sums = F.lit(1.0), []
+    for k in range(MOMENTS):
+        # the k-th moment over k!
+        sums.append(F.sum(power).alias(f"m{k}"))
+        power = power * off / (k + 1)
+    cells = placed.groupBy(DATASET, "cell").agg(*sums)
+    low = F.greatest(F.lit(0), F.ceil((middle - REACH * h - start) / step).cast("int"))
+    high = F.least(F.lit(points - 1), F.floor((middle + REACH * h - start) / step).cast("int"))
+    near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     at = start + F.col("point") * step
-    z = (at - F.col("x")) / h
-    return (
-        values.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(DATASET, "point")
-        .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
-        .select(
-            DATASET, "point", at.alias("at"), (F.col("s") / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")
-        )
+    u = (at - middle) / h
+    met = cells.withColumn("point", F.explode(near)).withColumn("u", u).withColumn("h0", F.lit(1.0)).withColumn("h1", F.col("u"))
+    for k in range(2, MOMENTS):
+        # a column per polynomial: each is used by the two that follow
+        met = met.withColumn(f"h{k}", F.col("u") * F.col(f"h{k - 1}") - (k - 1) * F.col(f"h{k - 2}"))
+    series = sum((F.col(f"m{k}") * F.col(f"h{k}") for k in range(1, MOMENTS)), F.col("m0"))
+    kernel = met.groupBy(DATASET, "point").agg(F.sum(F.exp(-0.5 * F.col("u") * F.col("u")) * series).alias("s"))
+    # points that no cell reaches have a density of 0
+    grid = x.sparkSession.createDataFrame([(d, p) for d in curves for p in range(points)], f"{DATASET} string, point int")
+    return grid.join(kernel, [DATASET, "point"], "left").select(
+        DATASET, "point", at.alias("at"), (F.coalesce("s", F.lit(0.0)) / (n * h * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")
     )
 
 
