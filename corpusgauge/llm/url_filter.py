@@ -80,12 +80,13 @@ def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
     )
 
 
-def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
+def rule_index(rules: DataFrame, urls: DataFrame, small: bool) -> DataFrame:
     """Rules with ``token``, the rarest of their literals among the URLs' tokens."""
+    sent = F.broadcast if small else (lambda df: df)
     wanted = rules.select("rule_no", F.explode("literals").alias("token"))
     counts = (
         urls.select(F.explode("tokens").alias("token"))
-        .join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi")
+        .join(sent(wanted.select("token").distinct()), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
@@ -101,19 +102,23 @@ def judge_urls(
     pages: DataFrame, rules: Sequence[UrlRule] = RULES + OWN_RULES, url: str = "url", default: str = "allow"
 ) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
-    if len(rules) > BROADCAST_RULES:
-        raise ValueError(f"at most {BROADCAST_RULES} rules; pass more through judge_with")
-    return judge_with(pages, F.broadcast(rule_table(pages.sparkSession, rules)), url, default)
+    small = len(rules) <= BROADCAST_RULES
+    return judge_with(pages, rule_table(pages.sparkSession, rules), url, default, small)
 
 
-def judge_with(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def judge_with(
+    pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", small: bool = False
+) -> DataFrame:
+    """The same with a table of rules (as :func:`rule_table` makes it) of any size: only
+    ``small`` ones, at most ``BROADCAST_RULES``, are broadcast; others are joined by
+    token, a frequent token being a skewed join that adaptive execution splits."""
     host, path = split_url(F.col("__url"))
     urls = pages.select(F.col(f"`{url}`").alias("__url")).filter("__url is not null").distinct()
     urls = urls.select("__url", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("tokens", F.array_union(tokens(F.col("host"), F.col("path")), F.array(F.lit(""))))
-    index = rule_index(rules, urls)
+    index = rule_index(F.broadcast(rules) if small else rules, urls, small)
     tried = urls.select("__url", F.concat("host", "path").alias("__at"), F.explode("tokens").alias("token")).join(
-        F.broadcast(index), "token"
+        F.broadcast(index) if small else index, "token"
     )
     fits = tried.filter(F.expr("__at rlike pattern and instr(__url, '://') > 0"))
     # longest first, named rules before the method's own

@@ -108,15 +108,24 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
-def test_url_rules_are_filed_under_their_rarest_token(spark):
+def test_url_rules_are_filed_under_their_rarest_token(spark, monkeypatch):
     rules = [url_filter.prefix_rule("block", "common.com", "/rare/"), url_filter.UrlRule("any", "block", "zzz")]
     urls = [f"http://common.com/{'rare/' if i == 0 else i}" for i in range(5)] + ["http://common.com/zzz"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     at = pages.select("url", *[c.alias(n) for c, n in zip(url_filter.split_url(pages.url), ("h", "p"))])
     tokens = at.select(url_filter.tokens(at.h, at.p).alias("tokens"))
-    index = url_filter.rule_index(url_filter.rule_table(spark, rules), tokens)
+    index = url_filter.rule_index(url_filter.rule_table(spark, rules), tokens, True)
     assert {r.rule: r.token for r in index.collect()} == {"common.com/rare/": "rare", "any": ""}
-    assert [r.page_id for r in url_filter.judge_urls(pages, rules).filter("verdict = 'block'").sort("page_id").collect()] == [0, 5]
+    blocked = lambda: [r.page_id for r in url_filter.judge_urls(pages, rules).filter("verdict = 'block'").sort("page_id").collect()]
+    assert blocked() == [0, 5]
+    # more rules than are broadcast are joined, with the same verdicts
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 1)
+    plan = url_filter.judge_urls(pages, rules)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plan.lower() and blocked() == [0, 5]
+    many = [url_filter.prefix_rule("block", f"h{i}.org", "/x/") for i in range(300)]
+    extra = spark.createDataFrame([(i, f"http://a.h{i}.org/x/y") for i in range(0, 600, 7)], "page_id long, url string")
+    got = url_filter.judge_urls(extra, many).filter("verdict = 'block'").count()
+    assert got == len(range(0, 300, 7))
 
 
 # -- archive -------------------------------------------------------------------
