@@ -368,6 +368,36 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_planted_paraphrases_of_the_given_benchmark(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rng = random.Random(21)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    own = " ".join(r.text for r in given.filter("doc_id % 5 = 1 and lang = 'en'" if "lang" in given.columns else "doc_id % 5 = 1").collect())
+    vocabulary = own.split()
+    filler = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def changed(words, how):
+        if how == 0:
+            return words
+        if how < 3:
+            return [rng.choice(vocabulary) if j % (6 if how == 1 else 4) == 2 else w for j, w in enumerate(words)]
+        return [x for j, w in enumerate(words) for x in ([w, "then"] if j % 3 == 2 else [w])]
+
+    rows, want = [], set()
+    for item, text in items:
+        for how in range(4):
+            k = 10_000_000 + len(rows)
+            rows.append((k, f"{filler(rng.randint(20, 90))} {' '.join(changed(text.split(), how))} {filler(rng.randint(20, 90))}"))
+            want.add((k, item))
+    docs = given.unionByName(spark.createDataFrame(rows, given.schema)).repartition(6)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    found = {p for p in got if p[0] >= 10_000_000}
+    assert len(want - found) <= len(want) // 50, len(want - found)
+    assert len({d for d, _ in found}) <= len(rows)
+
+
 def test_neighbouring_documents_do_not_hide_each_others_leaks(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]

@@ -369,6 +369,29 @@ def test_classifier_on_held_out_rows(spark, sf_dir, odd):
     assert ((out["score"] >= 0.3) == (out["predicted"] == 1)).all()
 
 
+def test_classifier_fit_equals_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("y"))
+    rows = classifier.text_statistics(docs).join(labels, "doc_id").filter("y is not null").select("x", "y", (F.col("doc_id") % 4 == 0).alias("held"))
+    model = classifier.fit(rows, F.col("held"))
+    at = rows.toPandas()
+    x, y, held = np.array(at["x"].tolist()), at["y"].to_numpy(), at["held"].to_numpy()
+    assert np.allclose(model.mean, x[~held].mean(axis=0)) and np.allclose(model.scale[x.std(axis=0) > 1e-3], x[~held].std(axis=0)[x.std(axis=0) > 1e-3])
+    z = model.features(x[~held])
+    penalty = 1e-2 * np.eye(z.shape[1])
+    penalty[0, 0] = 0.0
+    beta = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ y[~held])
+    # the system is ill-conditioned, its fit is not: raw scores agree
+    assert np.abs(model.raw(x) - model.features(x) @ beta).max() < 1e-5
+    # isotonic steps rise, and match the shares of the held rows they pool
+    assert (np.diff(model.steps) >= 0).all()
+    bins = np.clip(np.floor((model.raw(x[held]) + 0.5) / 2.0 * classifier.BINS), 0, classifier.BINS - 1)
+    order = np.unique(bins)
+    share = np.array([y[held][bins == b].mean() for b in order])
+    want = np.clip(classifier.pool_adjacent(share, np.array([(bins == b).sum() for b in order], dtype=float)), 0.001, 0.999)
+    assert np.allclose(model.steps, want)
+
+
 def test_classifier_without_labels_or_documents(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in classifier.score_documents(odd, none).collect()} == {0.5}
