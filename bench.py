@@ -51,7 +51,9 @@ HEADLINE = {
     "j1_tfidf_terms": "documents",
     "k1_normalise_label": "documents",
     "k8_similarity_gate": "embeddings",
+    "k8_nearest_vector": "embeddings",
     "k9_near_copies": "documents",
+    "k10_closest_word": "documents",
 }
 
 

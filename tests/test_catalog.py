@@ -20,11 +20,12 @@ SAMPLE = [
     "c3_drop_conflicting_texts", "d1_row_duplicates", "d3_conflict_examples", "d9_describe_text", "e3_compare_discrete",
     "e8_box_by_class", "e11_year_buckets", "f2_oov_rates", "f9_class_bigrams", "g4_pair_datetime", "h2_overall",
     "h7_metrics_by_quantile_bin", "h8_threshold_curve", "h15_small_classes_merged", "h17_class_without_share", "h5_categories_per_dataset", "i3_hash_tree", "j1_tfidf_terms",
-    "j7_top_classes", "k1_normalise_label", "k8_similarity_gate", "k9_near_copies",
+    "j7_top_classes", "k1_normalise_label", "k8_similarity_gate", "k8_nearest_vector", "k8_covariance_gate", "k9_near_copies", "k10_closest_word",
+    "a4_compare_report_files", "e7_density_curve",
 ]
 NAMES = list(QUERIES) if FULL else SAMPLE
-# the hook for user functions, and Spark ML's own vector helpers
-PYTHON_ALLOWED = {"b16_batches"}
+# the hook for user functions, names looked up in the row, pooled blocks
+PYTHON_ALLOWED = {"b16_batches", "b6_drop_dictionary", "j6_isotonic_calibration"}
 
 
 @pytest.fixture(scope="module")
