@@ -13,6 +13,8 @@ from ..functions.columns import all_of
 from ..session import bounded_rows
 
 BROADCAST_GROUPS = 20_000
+# Bytes, roughly, that fetched rows may have to travel to every executor.
+BROADCAST_BYTES = 64_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,10 +35,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * split else df
 
 
+def _size(value) -> int:  # noqa: ANN001
+    """Bytes of a fetched value, roughly."""
+    if isinstance(value, (str, bytes, bytearray)):
+        return len(value) + 8
+    if isinstance(value, dict):
+        return sum(_size(k) + _size(v) for k, v in value.items())
+    return sum(map(_size, value)) + 8 if isinstance(value, (list, tuple)) else 8
+
+
+def small_rows(df: DataFrame, limit: int) -> list | None:
+    """The rows of a table of at most ``limit`` rows and ``BROADCAST_BYTES`` bytes."""
+    rows = bounded_rows(df, limit)
+    return None if rows is None or sum(map(_size, rows)) > BROADCAST_BYTES else rows
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """Broadcast a key table after fetching at most ``limit`` rows proved that
     it is small; a larger one is returned as it is, for an ordinary join."""
-    rows = bounded_rows(df, limit)
+    rows = small_rows(df, limit)
     return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
@@ -48,7 +65,7 @@ def attach_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> Data
     shuffled. More groups than that use an ordinary join, whose hot keys
     adaptive execution splits.
     """
-    rows = bounded_rows(groups, BROADCAST_GROUPS)
+    rows = small_rows(groups, BROADCAST_GROUPS)
     if rows is not None:
         groups = F.broadcast(df.sparkSession.createDataFrame(rows, groups.schema))
     if not keys:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..session import cut_lineage
 from .common import broadcast_if_small, spread
+from .vectors import nearest_vectors
 
-# Numbers a centroid table may hold before it is too large for every executor.
-CENTROID_NUMBERS = 20_000_000
+# Numbers a centroid table may hold to be a literal of the plan.
+CENTROID_NUMBERS = 20_000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -40,41 +41,47 @@ def class_centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     )
 
 
-def _with_centroids(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
-    """Give every row the array of class centroids: one broadcast row whose
-    size is checked. Class lists are short; a table of centroids that fails the
-    check is no class list and is refused."""
-    size = centroids.agg(F.sum(F.size("centroid") * 2).alias("n"), F.count(F.lit(1)).alias("k")).head()
-    if (size["n"] or 0) > CENTROID_NUMBERS:
-        raise ValueError(f"{size['k']} centroids are too large to give to every row")
-    one = centroids.agg(
-        F.array_sort(F.collect_list(F.struct("label", "centroid", "variance"))).alias("__centroids"),
-        F.max(F.col("centroid").isNotNull()).alias("__has"),
+def _literal(centroids: DataFrame) -> Column | None:
+    """The class centroids as one literal of every row, or ``None`` if there are more
+    numbers than ``CENTROID_NUMBERS``: nothing is joined to the rows."""
+    k = centroids.agg(F.sum(F.size("centroid") * 2).alias("n")).head()["n"] or 0
+    if k > CENTROID_NUMBERS:
+        return None
+    rows = sorted(centroids.collect(), key=lambda r: r["label"])
+    numbers = lambda v: F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in v])
+    if not rows:
+        return F.array().cast("array<struct<label:string,centroid:array<double>,variance:array<double>>>")
+    return F.array(
+        *[F.struct(F.lit(r["label"]).alias("label"), numbers(r["centroid"]).alias("centroid"), numbers(r["variance"]).alias("variance")) for r in rows]
     )
-    # rows that have a vector meet the one row of centroids
-    return df.withColumn("__has", F.col(vector).isNotNull()).join(F.broadcast(one), "__has", "left").drop("__has")
 
 
 def similarity_gate(
     df: DataFrame, vector: str, centroids: DataFrame, threshold: float, keep: Sequence[str]
 ) -> DataFrame:
     """Nearest class centroid by cosine and whether the input is close enough
-    to be accepted."""
+    to be accepted. A list of centroids too long for a literal is searched as
+    training vectors are, by the first of ``keep``, which identifies a row."""
     x = F.col(vector)
+    listed = _literal(centroids)
+    route = F.when(F.col("similarity") >= threshold, "accept").otherwise("review").alias("route")
+    if listed is None:
+        train = centroids.select("label", F.col("centroid").alias(vector))
+        near = nearest_vectors(df.select(keep[0], vector), train, keep[0], vector, "label")
+        return df.select(*keep).join(near, keep[0], "left").select(*keep, "nearest", "similarity", route)
     scored = F.transform(
-        "__centroids",
+        listed,
         lambda c: F.struct(cosine(x, c["centroid"]).alias("similarity"), c["label"].alias("label")),
     )
     best = F.array_max(F.filter(scored, lambda s: s["similarity"].isNotNull()))
     return (
-        _with_centroids(df, vector, centroids)
-        .withColumn("__best", best)
+        df.withColumn("__best", F.when(x.isNotNull(), best))
         .select(
             *keep,
             F.col("__best.label").alias("nearest"),
             F.col("__best.similarity").alias("similarity"),
-            F.when(F.col("__best.similarity") >= threshold, "accept").otherwise("review").alias("route"),
         )
+        .select(*keep, "nearest", "similarity", route)
     )
 
 
@@ -97,13 +104,15 @@ def distance_gate(
         )
         return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v))
 
+    listed = _literal(centroids)
+    if listed is None:
+        raise ValueError("too many centroids for a class list")
     scored = F.transform(
-        "__centroids", lambda c: F.struct(distance(c).alias("distance"), c["label"].alias("label"))
+        listed, lambda c: F.struct(distance(c).alias("distance"), c["label"].alias("label"))
     )
     best = F.array_min(scored)
     return (
-        _with_centroids(df, vector, centroids)
-        .withColumn("__best", best)
+        df.withColumn("__best", F.when(x.isNotNull(), best))
         .select(
             *keep,
             F.col("__best.label").alias("nearest"),

@@ -65,3 +65,26 @@ def test_closest_labels(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert K.closest_labels(df.limit(0), "t", labels, "n").count() == 0
     assert K.closest_labels(df, "t", labels.limit(0), "n").filter("label is not null").count() == 0
+
+
+def test_a_long_list_of_centroids_is_searched(spark, monkeypatch):
+    rng = random.Random(5)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    train = spark.createDataFrame([(f"c{i % 40}", vec()) for i in range(200)], "l string, v array<double>")
+    ask = spark.createDataFrame([(i, vec()) for i in range(50)] + [(90, None), (91, [0.0] * 4)], "id int, v array<double>")
+    centroids = K.class_centroids(train, "v", "l")
+    cut = lambda out: {r["id"]: (r["nearest"], None if r["similarity"] is None else round(r["similarity"], 9), r["route"]) for r in out.collect()}
+    listed = cut(K.similarity_gate(ask, "v", centroids, 0.7, ["id"]))
+    monkeypatch.setattr(K, "CENTROID_NUMBERS", 10)
+    assert cut(K.similarity_gate(ask, "v", centroids, 0.7, ["id"])) == listed and len(listed) == 52
+    assert listed[90] == listed[91] == (None, None, "review")
+
+
+def test_fetched_rows_are_bounded_in_bytes(spark, monkeypatch):
+    from corpusgauge.operators import common
+
+    df = spark.createDataFrame([("x" * 1000,)] * 20, "t string")
+    assert len(common.small_rows(df, 100)) == 20 and common.small_rows(df, 10) is None
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 5_000)
+    assert common.small_rows(df, 100) is None
+    assert common.broadcast_if_small(df).count() == 20
