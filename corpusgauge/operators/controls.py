@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,9 +143,10 @@ def near_copies(df: DataFrame, key: str, text: str, shingle: int = 5, least: flo
     overlap those of a text of smaller key by ``least`` or more; ``kept`` is the smallest
     such key.
 
-    An exact set-similarity join. A text's shingles are numbers, hashed and sorted in its
-    row, and only the first ``n - ceil(least * n) + 1`` of them travel: two sets that
-    overlap enough have one in common there. A common number admits a pair only if the
+    An exact set-similarity join. A text's shingles are numbers, hashed in its row and
+    put into one order for all texts, rare ones first by a table of counts of bounded
+    size; only the first ``n - ceil(least * n) + 1`` of them travel: two sets that overlap
+    enough have one in common there, whatever the order. A common number admits a pair only if the
     sizes allow the overlap and if what follows it on both sides still can reach it; the
     full sets of the pairs left are then intersected. Equal sets are one text, the one of
     smallest key, before the join. Texts of fewer words than a shingle have none and no
@@ -153,12 +157,14 @@ def near_copies(df: DataFrame, key: str, text: str, shingle: int = 5, least: flo
         f"if(size(w) >= {shingle}, transform(sequence(1, size(w) - {shingle - 1}), i -> xxhash64(slice(w, i, {shingle}))), array())"
     )
     sets = spread(df.select(F.col(f"`{key}`").alias("id"), words.alias("w"))).select("id", F.array_sort(F.array_distinct(grams)).alias("h"))
-    sets = cut_lineage(sets.filter("size(h) > 0").select("id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y")))
+    # filtered once stored: a filter on the shingles would sink to the split of the words,
+    # which would then be split anew for every shingle
+    sets = cut_lineage(sets.select("id", "h")).filter("size(h) > 0")
+    sets = sets.select("id", "h", F.size("h").alias("n"), F.xxhash64("h").alias("x"), F.hash("h").alias("y"))
     same = sets.groupBy("n", "x", "y").agg(F.min("id").alias("rep"))
     at = cut_lineage(sets.join(same, ["n", "x", "y"]).select("id", "rep", "n", "h"))
     reps = at.filter("id = rep").select("id", "n", "h")
-    need = f"cast(ceil({least}d * n - 1e-9) as int)"
-    first = reps.select("id", "n", F.posexplode(F.expr(f"slice(h, 1, n - {need} + 1)")).alias("p", "g"))
+    first = _prefixes(reps, least)
     a, b = first.toDF("id", "n", "p", "g"), first.toDF("kept", "m", "q", "g")
     overlap = f"cast(ceil({least}d / (1 + {least}d) * (n + m) - 1e-9) as int)"
     fits = f"kept < id and n >= {least}d * m - 1e-9 and m >= {least}d * n - 1e-9 and 1 + least(n - p - 1, m - q - 1) >= {overlap}"
@@ -174,6 +180,45 @@ def near_copies(df: DataFrame, key: str, text: str, shingle: int = 5, least: flo
     return out.select(F.col("id").alias(key), F.coalesce("kept", "rep").alias("kept"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
 
 
+#: Cells of the table of shingle counts: it is as large for any number of texts.
+SHINGLE_CELLS = 1 << 18
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, p, g): the leading shingles of every set (id, n, h), with their places,
+    in the order of their cell's count, then of their number."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SHINGLE_CELLS, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy() % SHINGLE_CELLS, minlength=SHINGLE_CELLS)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+    sums = sets.select("h").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SHINGLE_CELLS, dtype=np.int64)
+    table[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, places, grams = [], [], []
+            for i, h in enumerate(b.column(2)):
+                h = h.values.to_numpy()
+                k = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+                order = np.lexsort((h, table[h % SHINGLE_CELLS]))[:k]
+                rows.append(np.full(len(order), i))
+                places.append(np.arange(len(order), dtype=np.int32))
+                grams.append(h[order])
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(places)), pa.array(np.concatenate(grams))], ["id", "n", "p", "g"]
+                )
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "n", "h").mapInArrow(leading, f"id {kind}, n int, p int, g long")
+
+
 def deletions(c: Column, edits: int) -> Column:
     """Hashes of a string and of all strings that up to ``edits`` deletions make of it."""
     every = last = F.array(c)
