@@ -382,7 +382,7 @@ def test_planted_paraphrases_of_the_given_benchmark(spark):
             return words
         if how < 3:
             return [rng.choice(vocabulary) if j % (6 if how == 1 else 4) == 2 else w for j, w in enumerate(words)]
-        return [x for j, w in enumerate(words) for x in ([w, "then"] if j % 3 == 2 else [w])]
+        return [x for j, w in enumerate(words) for x in ([w, rng.choice(vocabulary)] if j % 3 == 2 else [w])]
 
     rows, want = [], set()
     for item, text in items:
@@ -394,7 +394,10 @@ def test_planted_paraphrases_of_the_given_benchmark(spark):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     found = {p for p in got if p[0] >= 10_000_000}
-    assert len(want - found) <= len(want) // 50, len(want - found)
+    missed = Counter((d - 10_000_000) % 4 for d, _ in want - found)
+    # whole copies and those with every sixth word replaced are all found
+    assert not missed[0] and not missed[1], missed
+    assert missed[2] + missed[3] <= 4, missed
     assert len({d for d, _ in found}) <= len(rows)
 
 
