@@ -78,12 +78,18 @@ def tfidf_terms(
 ) -> DataFrame:
     """The same weights in long form ``(key, term, tf, df, weight)``. The
     vocabulary is at most ``vocabulary`` terms, the most frequent first, equal
-    ones alphabetically; the cap tells whether it fits a broadcast."""
+    ones alphabetically; the cap tells whether it fits a broadcast.
+
+    Texts meet by key once, as their words; counting a text's terms and its length then
+    need no further shuffle, which would move a row per text and term."""
     docs = df.filter(F.col(text).isNotNull())
     n_docs = docs.count()
+    words = spread(docs.select(key, text)).select(key, F.array_join(word_tokens(text, stop_words), " ").alias("words"))
+    # a number of partitions of its own: those of few bytes would be joined, and hold many terms
+    placed = words.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     tf = (
-        spread(docs.select(key, text))
-        .select(key, F.explode(word_tokens(text, stop_words)).alias("term"))
+        placed.select(key, F.explode(F.split("words", " ")).alias("term"))
+        .filter("term <> ''")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -143,3 +143,20 @@ def test_isotonic_query_scores_held_out_vectors_for_all_classes(spark, sf_dir, m
     held_out = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 4 = 0").count()
     assert {r["class"] for r in got} == {f"c{i}" for i in range(10)} and {r["fold"] for r in got} == {0, 1, 2}
     assert len(got) == 30 * held_out and all(r["vec_id"] % 4 == 0 for r in got)
+
+
+def test_terms_are_weighed_after_one_shuffle_of_the_texts(spark):
+    data = [(1, "red red fox"), (1, "fox hen"), (2, "hen hen fox"), (None, "red"), (None, "red fox"), (3, None), (4, "")]
+    df = spark.createDataFrame(data, "k int, text string")
+    out = features.tfidf_terms(df, "k", "text", 100, 2)
+    # repeated and NULL keys are one text each
+    counts = {(r["k"], r["term"]): (r["tf"], r["df"]) for r in out.collect()}
+    assert counts == {
+        (1, "red"): (2, 2), (1, "fox"): (2, 3), (1, "hen"): (1, 2), (2, "hen"): (2, 2), (2, "fox"): (1, 3), (None, "red"): (2, 2), (None, "fox"): (1, 3),
+    }
+    lengths = out.groupBy("k").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in lengths)
+    # a row per text and term never travels
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    travels = [line for line in plan.splitlines() if "hashpartitioning(k" in line]
+    assert travels and not any("term" in line for line in travels)
