@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BLOCK = 4096
+#: Queries of a block measured at once, and near ties measured again at once.
+STRIP, TIES = 256, 1 << 16
 #: Training vectors looked at to place the centroids; every vector is filed and searched.
 SAMPLE = 20_000
 #: Most numbers (classes x dimensions x dimensions) that travel to every row.
@@ -113,13 +115,36 @@ def _routes(queries: DataFrame, at: np.ndarray, cells: dict[int, tuple[float, fl
                 ask = bound <= b.column(2).to_numpy()[:, None] + slack
                 ask[np.arange(len(d)), first] = False
                 row, of = np.nonzero(ask)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(number[of])], ["q", "v", "cell"])
+            # a query asks many cells: its copies leave in stretches
+            for k in range(0, len(row), BLOCK):
+                take = pa.array(row[k : k + BLOCK])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(number[of[k : k + BLOCK]])], ["q", "v", "cell"]
+                )
 
     kind = queries.schema["q"].dataType.simpleString()
     return queries.mapInArrow(run, f"q {kind}, v array<double>, cell int")
 
 
+def nearest_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``x``, the first of equal ones, and distance of the vector nearest to each
+    of ``y``, a strip of ``y`` at a time: distances of a whole block, or the differences of
+    many copies, would be hundreds of MB in every worker."""
+    near, distance = [], []
+    for k in range(0, len(y), STRIP):
+        part = y[k : k + STRIP]
+        d = _distances(part, x)
+        # near ties are measured without the cancellation of the product
+        row, of = np.nonzero(d <= d.min(axis=1)[:, None] + 1e-6)
+        ties = [slice(i, i + TIES) for i in range(0, len(row), TIES)]
+        exact = np.concatenate([np.sqrt(((x[of[t]] - part[row[t]]) ** 2).sum(axis=1)) for t in ties])
+        pick = np.lexsort((of, np.round(exact, 12), row))
+        pick = pick[np.concatenate([[True], np.diff(row[pick]) > 0])]
+        near.append(of[pick])
+        distance.append(exact[pick])
+    return np.concatenate(near), np.concatenate(distance)
+
+
 def _blocks(filed: DataFrame, asked: DataFrame) -> DataFrame:
     """Best training vector of each query in the cells it asks: (q, id, distance)."""
     n_filed = {r["cell"]: -(-r["count"] // BLOCK) for r in filed.groupBy("cell").count().collect()}
@@ -140,14 +165,8 @@ def _blocks(filed: DataFrame, asked: DataFrame) -> DataFrame:
         ids = ids.take(order)
         x = _matrix(a.column("fv").combine_chunks().take(order))
         y = _matrix(b.column("qv").combine_chunks())
-        d = _distances(y, x)
-        # near ties are measured without the cancellation of the product
-        rows = np.nonzero(d <= d.min(axis=1)[:, None] + 1e-6)
-        exact = np.sqrt(((x[rows[1]] - y[rows[0]]) ** 2).sum(axis=1))
-        pick = np.lexsort((rows[1], np.round(exact, 12), rows[0]))
-        first = np.concatenate([[True], np.diff(rows[0][pick]) > 0])
-        pick = pick[first]
-        return pa.table({"q": queries.take(pa.array(rows[0][pick])), "id": ids.take(pa.array(rows[1][pick])), "distance": exact[pick]})
+        near, distance = nearest_of(x, y)
+        return pa.table({"q": queries, "id": ids.take(pa.array(near)), "distance": distance})
 
     grouped = left.groupBy("cell", "bf", "bq").cogroup(right.groupBy("cell", "bf", "bq"))
     best = grouped.applyInArrow(meet, kinds)

@@ -86,3 +86,34 @@ def test_covariance_distance_equals_numpy(spark):
         assert got[i]["route"] == ("accept" if d[best] <= 2.0 else "review")
     assert V.class_distances(df.limit(0), "id", "v", classes, 2.0).count() == 0
     assert V.class_distances(df.limit(1), "id", "v", {}, 2.0).count() == 0
+
+
+def test_blocks_meet_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (V.BLOCK, 16)), rng.normal(0, 1, (V.BLOCK, 16))
+    x[1000:] = x[999]  # most of a block in one place
+    y[2000:] = x[999]
+    tracemalloc.start()
+    near, distance = V.nearest_of(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+    assert (near[2000:] == 999).all() and (distance[2000:] == 0).all()
+    for i in range(50):
+        d = np.sqrt(((x - y[i]) ** 2).sum(axis=1))
+        assert near[i] == d.argmin() and abs(distance[i] - d.min()) < 1e-12
+
+
+def test_queries_leave_for_their_cells_in_stretches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(V, "BLOCK", 64)
+    asked = spark.createDataFrame([(0, [1.0, 0.0], 9.0)], "q long, v array<double>, best double")
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, run, schema: run)
+    at = np.array([[1.0, float(i)] for i in range(8)])
+    run = V._routes(asked, at, {c: (0.0, 9.0) for c in range(8)}, True)
+    given = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[1.0, float(i)] for i in range(100)]), pa.array([200.0] * 100)], ["q", "v", "best"])
+    sizes = [b.num_rows for b in run(iter([given]))]
+    assert sum(sizes) == 700 and max(sizes) <= 64
