@@ -21,6 +21,8 @@ from .common import spread, top_per
 
 TOP_TERMS = 20
 MIN_ROWS_PER_CLASS = 10
+# Bytes of texts whose n-grams one task counts.
+NGRAM_PIECE = 4 * 1024 * 1024
 
 
 def token_counts(df: DataFrame, tokens: Column, by: Sequence[str] = (DATASET,)) -> DataFrame:
@@ -176,7 +178,7 @@ def top_ngrams(
 ) -> DataFrame:
     """Most frequent n-grams per dataset, or per dataset and class, over all
     rows; stop words go before the n-grams are formed."""
-    df = spread(ds.long(list(dict.fromkeys([text, *by])))).filter(F.col(text).isNotNull())
+    df = spread(ds.long(list(dict.fromkeys([text, *by]))), NGRAM_PIECE).filter(F.col(text).isNotNull())
     for b in by:
         df = df.filter(F.col(b).isNotNull()).withColumn(b, F.col(b).cast("string"))
     keys = [DATASET, *by]

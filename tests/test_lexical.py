@@ -108,3 +108,15 @@ def test_whole_profiles(spark, sf_dir):
     assert side["points:Train"].count() == parts["train"].count()
     with pytest.raises(ValueError):
         compare_named([docs], ["a", "b"])
+
+
+def test_ngrams_are_counted_in_pieces_of_the_texts(spark, monkeypatch):
+    from corpusgauge.operators import common
+
+    df = spark.range(20_000).selectExpr("id", "concat('w', id % 7, ' hen fox') as text")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert common.spread(df, size // 40).rdd.getNumPartitions() >= 40
+    ds = DatasetSet({"train": df, "test": df})
+    before = rows(L.top_ngrams(ds, "text", 2, 3))
+    monkeypatch.setattr(L, "NGRAM_PIECE", size // 10)
+    assert rows(L.top_ngrams(ds, "text", 2, 3)) == before and before[0][3] == 20_000
