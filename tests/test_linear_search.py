@@ -123,3 +123,22 @@ def test_search_of_odd_tables(spark):
     assert cf.agg(F.sum("n")).first()[0] == 21 and cf.filter("y_true is null").count() == 1
     with pytest.raises(ValueError):
         L.search(rows, rows, [one], 5, by="columns")
+
+
+def test_many_rows_are_evaluated_by_their_entries(monkeypatch):
+    import pyarrow as pa
+
+    x, y = data(n=400)
+    x[7] = 0  # a row without entries
+    x[:, 4] = 0  # a feature without entries
+    at = [np.flatnonzero(r).tolist() for r in x]
+    rows = list(pa.array(at, pa.list_(pa.int32()))), list(pa.array([r[i].tolist() for r, i in zip(x, at)], pa.list_(pa.float64())))
+    w = np.random.default_rng(2).normal(0, 1, (x.shape[1] + 1, 3))
+    of, positive, smooth = np.arange(3), np.array([1.0, 2.0, 0.5]), np.array([True, False, True])
+    value, grad = L.in_memory(y, *rows, x.shape[1])(w, of, positive, smooth)
+    # beyond the bound no row becomes a full one again
+    monkeypatch.setattr(L, "DENSE_BYTES", 0)
+    monkeypatch.setattr(L, "ENTRIES", 50, raising=False)
+    monkeypatch.setattr(L, "_block", lambda *a: pytest.fail("rows made full"))
+    found = L.in_memory(y, *rows, x.shape[1])(w, of, positive, smooth)
+    assert np.allclose(found[0], value, rtol=1e-12) and np.allclose(found[1], grad, rtol=1e-9, atol=1e-9)
