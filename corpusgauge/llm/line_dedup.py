@@ -14,8 +14,8 @@ that probes it meets that one only. Lines with links get the label of the least
 lead to. What is left are segments that lines of several labels share: there, and only
 there, lines outside the segment's most frequent label meet the lines of other labels, so
 no link that could still join two components is missed, and pairs of one label, whose
-links could change nothing, are never formed. A letter sketch drops pairs too far apart before they
-are verified. Equal lines are one line throughout: copies by the million are counted with
+links could change nothing, are never formed. A sketch of letters and of three-byte grams
+drops pairs too far apart in the join itself, before they are verified. Equal lines are one line throughout: copies by the million are counted with
 partial sums. The joins are ordinary ones that adaptive execution splits where a segment
 is frequent.
 
@@ -152,6 +152,31 @@ def sketch(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def gram_parities(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits: which of as many classes of three bytes in a row a line holds an odd
+    number of times. An edit takes away and puts in six of them at most, so that it
+    changes at most six bits; lines made of the same letters by other words differ in
+    many more."""
+    at = np.arange(max(len(buf) - 2, 0))
+    x = buf.astype(np.uint64)
+    code = mix64(x[at] << np.uint64(16) | x[at + 1] << np.uint64(8) | x[at + 2]) >> np.uint64(57)
+    bit = np.uint64(1) << (code & np.uint64(63))
+    out = []
+    for half in (0, 1):
+        # parities before each place; two places differ by what lies between them
+        until = np.zeros(len(at) + 1, dtype=np.uint64)
+        np.bitwise_xor.accumulate(np.where(code >> np.uint64(6) == half, bit, np.uint64(0)), out=until[1:])
+        last = np.maximum(begin + n - 2, begin)
+        out.append((until[np.minimum(last, len(at))] ^ until[np.minimum(begin, len(at))]).view(np.int64))
+    return out[0], out[1]
+
+
+def _near_sql(a: str, b: str, how: LineJoin) -> str:
+    """Whether two lines may be within the edits, by their sketches."""
+    grams = f"bit_count({a}.t ^ {b}.t) + bit_count({a}.u ^ {b}.u) <= {6 * how.edits}"
+    return f"{grams} and {_distance_sql(f'{a}.c', f'{b}.c')} <= {2 * how.edits}"
+
+
 def _distance_sql(a: str, b: str) -> str:
     """Sum of the circular differences of two sketches."""
     parts = []
@@ -239,15 +264,16 @@ def _keys_of_lines(how: LineJoin, keys):
                 begin = c.offs[:-1]
                 columns = keys(c, c.prefix(), begin, n, how)
                 take = pa.array(np.tile(np.arange(len(c)) + c.row, len(columns)))
-                sketches = np.tile(sketch(c.buf, begin, n), len(columns))
+                own = [sketch(c.buf, begin, n), *gram_parities(c.buf, begin, n)]
+                sketches = pa.StructArray.from_arrays([pa.array(np.tile(x, len(columns))) for x in own], ["c", "t", "u"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns)), batch.column(0).take(take), pa.array(sketches)], ["key", "d", "sketch"]
+                    [pa.array(np.concatenate(columns)), batch.column(0).take(take), sketches], ["key", "d", "sketch"]
                 )
 
     return run
 
 
-KEYED = "key long, d binary, sketch long"
+KEYED = "key long, d binary, sketch struct<c:bigint,t:bigint,u:bigint>"
 
 
 def line_links(base: DataFrame, lines: DataFrame, how: LineJoin) -> DataFrame:
@@ -289,7 +315,7 @@ def represented_pairs(keyed: DataFrame, how: LineJoin) -> DataFrame:
     least = keyed.filter("not probe").groupBy("key").agg(F.min(F.struct("d", "sketch")).alias("r"))
     least = least.select("key", F.col("r.d").alias("a"), F.col("r.sketch").alias("sa"))
     asked = keyed.filter("probe").toDF("key", "b", "sb", "probe").drop("probe")
-    near = F.expr(f"a <> b and {_distance_sql('sa', 'sb')} <= {2 * how.edits}")
+    near = F.expr(f"a <> b and {_near_sql('sa', 'sb', how)}")
     return _ordered(asked.join(least, "key").filter(near))
 
 
@@ -304,7 +330,7 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, how: LineJoin) -> DataFr
     several = stored(several, "line-crossing")
     filed = several.filter("not probe").select("key", F.col("d").alias("a"), F.col("sketch").alias("sa"), F.col("c").alias("ca"), F.col("other").alias("oa"))
     asked = several.filter("probe").select("key", F.col("d").alias("b"), F.col("sketch").alias("sb"), F.col("c").alias("cb"), F.col("other").alias("ob"))
-    near = F.expr(f"ca <> cb and {_distance_sql('sa', 'sb')} <= {2 * how.edits}")
+    near = F.expr(f"ca <> cb and {_near_sql('sa', 'sb', how)}")
     pairs = [
         filed.filter("oa").join(asked, "key").filter(near),
         filed.filter("not oa").join(asked.filter("ob"), "key").filter(near),

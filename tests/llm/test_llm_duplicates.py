@@ -461,3 +461,39 @@ def test_pipeline_stages(spark, sf_dir):
     whole = corpus_pipeline.run(spark, sf_dir)
     digest = lambda df: hashlib.sha256(str(sorted(map(tuple, df.collect()))).encode()).hexdigest()
     assert digest(whole) == digest(at) and len(texts) > whole.count()
+
+
+def test_sketch_of_grams_keeps_lines_within_the_edits_and_drops_rearranged_ones():
+    import numpy as np
+
+    from corpusgauge.llm import line_dedup as D
+
+    rng = np.random.default_rng(5)
+    lines, edited = [], []
+    for _ in range(300):
+        line = bytearray(rng.integers(97, 103, int(rng.integers(30, 90))).astype(np.uint8).tobytes())
+        other = bytearray(line)
+        for _ in range(2):
+            i = int(rng.integers(0, len(other)))
+            kind = int(rng.integers(0, 3))
+            if kind == 0:
+                other[i] = int(rng.integers(97, 103))
+            elif kind == 1:
+                other.insert(i, 122)
+            else:
+                del other[i]
+        lines.append(bytes(line))
+        edited.append(bytes(other))
+
+    def bits(some):
+        n = np.array([len(x) for x in some])
+        pair = D.gram_parities(np.frombuffer(b"".join(some), dtype=np.uint8), np.cumsum(n) - n, n)
+        return [(int(t) & (1 << 64) - 1) | (int(u) & (1 << 64) - 1) << 64 for t, u in zip(*pair)]
+
+    a, b = bits(lines), bits(edited)
+    assert all((x ^ y).bit_count() <= 6 * 2 for x, y in zip(a, b))
+    assert bits([lines[0]])[0] == a[0]  # a line's bits are its own
+    # the same letters in another order are not near the line
+    mixed = [rng.permutation(np.frombuffer(lines[1] + lines[2], dtype=np.uint8)).tobytes() for _ in range(60)]
+    m = bits(mixed)
+    assert all((m[i] ^ m[j]).bit_count() > 12 for i in range(60) for j in range(i))
