@@ -10,7 +10,7 @@ the stack; of them only links are noted.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html import unescape
 
 # a comment, a declaration, a tag with quoted attributes, or one whose quotes never close
@@ -49,10 +49,19 @@ ENDS = {
 @dataclass(slots=True)
 class Block:
     text: str
-    path: str  # open elements, outermost first, each with the words of its attributes
+    within: tuple | None = field(compare=False, repr=False)  # innermost open element: what holds it, and its own part of the path
     linked: int  # characters inside links
     links: int
 
+    @property
+    def path(self) -> str:
+        """Open elements, outermost first, each with the words of its attributes."""
+        parts, node = [], self.within
+        while node:
+            node, part = node
+            parts.append(part)
+        return "".join(reversed(parts))
+
 
 def attribute_words(attributes: str) -> str:
     """The words of class, id and role, and a mark for elements that are not shown."""
@@ -74,7 +83,7 @@ def blocks(html: str) -> list[Block]:
     """The leaf blocks in page order; white space of each is one blank, ends trimmed."""
     out: list[Block] = []
     tags: list[str] = []
-    paths: list[str] = [""]
+    paths: list[tuple | None] = [None]  # shared by the blocks: deep pages have no path of their own each
     parts: list[str] = []
     linked = links = depth = 0
     at, n, end_tags = 0, len(html), {}
@@ -160,6 +169,6 @@ def blocks(html: str) -> list[Block]:
         if name not in EMPTY:
             words = attribute_words(m.group(3)) if m.group(3) else ""
             tags.append(name)
-            paths.append(f"{paths[-1]}>{name}.{words}" if words else f"{paths[-1]}>{name}")
+            paths.append((paths[-1], f">{name}.{words}" if words else f">{name}"))
     flush()
     return out
