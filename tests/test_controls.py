@@ -88,3 +88,18 @@ def test_fetched_rows_are_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 5_000)
     assert common.small_rows(df, 100) is None
     assert common.broadcast_if_small(df).count() == 20
+
+
+def test_near_copies_store_and_move_their_sets_once(spark, monkeypatch):
+    """Equal texts under other keys, a key with two texts, and a pair to be intersected."""
+    stored, cut = [], K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: stored.append(df.dtypes) or cut(df))
+    a, b = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    texts = [(1, a), (2, a), (2, a), (3, a + " z"), (4, b), (3, b), (5, "short"), (6, None), (None, a)]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    out = K.near_copies(df, "id", "t")
+    got = sorted((r["id"], r["kept"], round(r["jaccard"], 6)) for r in out.collect())
+    near = round(36 / 37, 6)
+    # as the join over all rows of a key had it
+    assert got == [(2, 1, 1.0), (2, 1, 1.0), (3, 1, near), (3, 1, near), (4, 1, near)]
+    assert sum(kind == "array<bigint>" for dtypes in stored for _, kind in dtypes) == 1
