@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,11 @@ from .common import attach_groups
 from .rows import stratified_split
 
 KEY = ["fold", "class"]
+# Bytes of features in a task of a fit. An iteration is one job, so a table in small
+# partitions would cost the scheduling of its tasks, thousands of times; so few of them
+# are left as they are.
+FIT_BYTES = 64 << 20
+FIT_TASKS = 4
 # Level blocks that all isotonic fits together may have.
 BLOCKS = 2_000_000
 
@@ -40,7 +47,15 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFra
 def fit_margins(train: DataFrame, max_iter: int = 2000, reg: float = 1e-3):
     """One-vs-rest linear classifier on ``features`` and ``code``."""
     base = LinearSVC(regParam=reg, maxIter=max_iter)
-    return OneVsRest(classifier=base, featuresCol="features", labelCol="code", parallelism=8).fit(train)
+    return OneVsRest(classifier=base, featuresCol="features", labelCol="code", parallelism=16).fit(train)
+
+
+def in_fit_tasks(train: DataFrame) -> DataFrame:
+    """``train`` in partitions of about :data:`FIT_BYTES` of ``features``, merged where
+    they lie; their number follows the size of the table."""
+    size = F.coalesce(F.size(vector_to_array("features")), F.lit(0))
+    n = train.agg(F.sum(8 * size.cast("long"))).first()[0] or 0
+    return train.coalesce(max(FIT_TASKS, -(-n // FIT_BYTES)))
 
 
 def margins_of(model, df: DataFrame, key: str, classes: Sequence[str], *keep: str) -> DataFrame:
@@ -57,15 +72,18 @@ def fold_margins(
     train: DataFrame, test: DataFrame, key: str, classes: Sequence[str], folds: int = 3, **fit
 ) -> tuple[DataFrame, DataFrame]:
     """Fit one classifier per fold on the other folds' rows, the folds being
-    stratified by class. Returns the
+    stratified by class and fitted side by side. Returns the
     margins of each fold's own rows, with ``positive``, to calibrate on, and
     the margins of ``test`` under every fold's classifier. Both are
     ``(key, fold, class, margin)``; store them before calibrating."""
     tagged = cut_lineage(stratified_folds(train, key, "code", folds))
     names = F.array(*[F.lit(c) for c in classes])
     held, scored = None, None
-    for f in range(folds):
-        model = fit_margins(tagged.filter(F.col("fold") != f), **fit)
+    one = lambda f: fit_margins(in_fit_tasks(tagged.filter(F.col("fold") != f)), **fit)
+    one = inheritable_thread_target(train.sparkSession)(one)
+    with ThreadPool(folds) as threads:
+        models = threads.map(one, range(folds))
+    for f, model in enumerate(models):
         own = margins_of(model, tagged.filter(F.col("fold") == f), key, classes, "code")
         own = own.select(
             key,

@@ -1,4 +1,5 @@
 import math
+import threading
 
 import pytest
 from conftest import by, rows
@@ -160,3 +161,26 @@ def test_terms_are_weighed_after_one_shuffle_of_the_texts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     travels = [line for line in plan.splitlines() if "hashpartitioning(k" in line]
     assert travels and not any("term" in line for line in travels)
+
+
+def test_folds_are_fitted_side_by_side_in_few_tasks(spark, monkeypatch):
+    together = threading.Barrier(3, timeout=60)
+    tasks, fit = [], C.fit_margins
+
+    def fit_together(train, **how):
+        together.wait()
+        tasks.append(train.rdd.getNumPartitions())
+        return fit(train, **how)
+
+    monkeypatch.setattr(C, "fit_margins", fit_together)
+    monkeypatch.setattr(C, "cut_lineage", lambda df: df.repartition(32))
+    code = (F.col("id") % 2).cast("double")
+    df = spark.range(60).select("id", code.alias("code"), array_to_vector(F.array(code, F.lit(1.0))).alias("features"))
+    held, scored = C.fold_margins(df, df.select("id", "features"), "id", ["even", "odd"], 3, max_iter=20)
+    assert tasks == [C.FIT_TASKS] * 3
+    assert held.count() == 120 and scored.count() == 360
+    # every row's own class has the greater margin, in a fold that has not seen the row
+    assert held.filter("positive <> (margin > 0)").count() == 0
+    # a larger table gets more tasks
+    monkeypatch.setattr(C, "FIT_BYTES", 64)
+    assert C.in_fit_tasks(df.repartition(32)).rdd.getNumPartitions() == 15
