@@ -16,14 +16,18 @@ hash       ``hashed``, ``hash_columns``, ``mode``, ``aggregate_hash``, ``error``
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..datasets import DATASET, DatasetSet, kind_of
+from ..functions import sha256
 from ..functions.columns import fold_missing, row_text
+from ..session import remove, scratch_path
 from .quality import digest, value_digest_counts
 from .quantiles import SMALL_GROUP, exact_quantiles, percentile_row
 
@@ -31,6 +35,10 @@ REPORT_SCHEMA = "section string, column string, position int, stat string, value
 # Leading hex digits by which row hashes are grouped at each level of the digest
 # tree, the same for a table of any size.
 TREE_LEVELS = (6, 3, 0)
+# Different row hashes, of 32 bytes, that one task of the flat digest reads.
+LINK_ROWS = 1 << 21
+# Copies of one hash that are digested at a time.
+REPEATED = 1 << 14
 SECTIONS = ("shape", "column", "dtype", "stat", "null", "hash")
 # Fixed value: what a statistic reads that one side lacks.
 MISSING = "MISSING_OR_NULL"
@@ -49,12 +57,52 @@ def row_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.sha2(row_text(list(columns)), 256).alias("h"))
 
 
-def flat_hash(hashes: DataFrame) -> DataFrame:
-    """SHA-256 of all row hashes sorted and concatenated. One task holds every
-    hash: a form for small tables, made only when asked for."""
-    return hashes.agg(
-        F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("aggregate_hash")
-    )
+def _link(state: bytes):
+    """The state of the flat digest after one slice, whose hashes come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state
+        for b in batches:
+            h, c = b.column(0), b.column(1).to_numpy()
+            # stretches of hashes that occur once, and single hashes that occur more often
+            first = 0
+            for i in [*np.flatnonzero(c > 1).tolist(), len(c)]:
+                now = sha256.blocks(now, b"".join(h.slice(first, i - first).to_pylist()).hex().encode())
+                first = i + 1
+                if i < len(c):
+                    one, left = h[i].as_py().hex().encode(), int(c[i])
+                    while left:
+                        now = sha256.blocks(now, one * min(left, REPEATED))
+                        left -= min(left, REPEATED)
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary())], ["state"])
+
+    return run
+
+
+def flat_hash(hashes: DataFrame, link_rows: int = LINK_ROWS) -> DataFrame:
+    """SHA-256 of all row hashes sorted and concatenated. The order makes this one
+    sequence, but not one task: equal hashes are counted, and slices of about
+    ``link_rows`` by leading digits are stored; the task of a slice takes up the digest
+    in the state in which the one before left it. A hash in hex is one block of the
+    digest, so nothing but that state travels. The jobs run while the frame is built."""
+    spark = hashes.sparkSession
+    slices = max(1, -(-hashes.count() // link_rows))
+    counted = hashes.filter("h is not null").groupBy(F.unhex("h").alias("h")).agg(F.count(F.lit(1)).alias("c"))
+    lead = F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long")
+    counted = counted.withColumn("slice", F.floor(lead * F.lit(slices) / F.lit(1 << 32)).cast("int"))
+    path = scratch_path(spark, "row-hashes")
+    counted.repartitionById(slices, "slice").write.partitionBy("slice").parquet(path)
+    try:
+        stored = spark.read.schema("h binary, c long, slice int").parquet(path)
+        sizes = {r[0]: r[1] for r in stored.groupBy("slice").agg(F.sum("c")).collect()}
+        state = sha256.START
+        for k in sorted(sizes):
+            one = spark.read.schema("h binary, c long").parquet(f"{path}/slice={k}")
+            state = bytes(one.coalesce(1).sortWithinPartitions("h").mapInArrow(_link(state), "state binary").head()[0])
+    finally:
+        remove(spark, path)
+    digest = sha256.finish(state, sha256.BLOCK * sum(sizes.values()))
+    return spark.createDataFrame([(digest,)], "aggregate_hash string").coalesce(1)
 
 
 def tree_hash(hashes: DataFrame, levels: Sequence[int] = TREE_LEVELS) -> DataFrame:

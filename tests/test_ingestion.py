@@ -4,6 +4,7 @@ import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
 
+from corpusgauge.functions import sha256
 from corpusgauge.operators import ingestion as I
 from corpusgauge.plans.validate import validate_ingestion
 from corpusgauge.sources import tables as S
@@ -27,6 +28,41 @@ def test_flat_hash_golden(spark):
     assert hashlib.sha256("".join(rows_).encode()).hexdigest() == golden
 
 
+def test_sha256_is_taken_up_where_it_was_left():
+    data = bytes(range(256)) * 3
+    for step in (sha256.blocks, sha256.plain_blocks):
+        state = sha256.START
+        for piece in (data[:64], data[64:64], data[64:320], data[320:]):
+            state = step(state, piece)
+        assert sha256.finish(state, len(data)) == hashlib.sha256(data).hexdigest()
+    assert sha256.finish(sha256.START, 0) == hashlib.sha256(b"").hexdigest()
+    with pytest.raises(ValueError):
+        sha256.blocks(sha256.START, b"x")
+
+
+@pytest.mark.parametrize("parts, link", [(1, 1 << 21), (7, 500), (3, 300)])
+def test_flat_hash_is_formed_in_links(spark, parts, link, monkeypatch):
+    """No task takes more than a slice, and a row that comes often keeps its copies."""
+    taken = []
+    monkeypatch.setattr(I, "_link", lambda state, f=I._link: taken.append(state) or f(state))
+    keys = [7 if i % 3 == 0 else i for i in range(2000)]
+    base = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts)
+    text = "".join(sorted(hashlib.sha256(str(k).encode()).hexdigest() for k in keys))
+    got = I.flat_hash(I.row_hashes(base, ["k"]), link).head()[0]
+    assert got == hashlib.sha256(text.encode()).hexdigest()
+    assert len(taken) == -(-2000 // link)
+    assert len(set(taken)) == len(taken)
+
+
+def test_flat_hash_of_few_rows(spark):
+    none = I.row_hashes(spark.createDataFrame([], "k long"), ["k"])
+    assert I.flat_hash(none).head()[0] == hashlib.sha256(b"").hexdigest()
+    # null hashes are left out; slices without a hash are passed over
+    some = spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(),), (None,)] * 2, "h string")
+    want = hashlib.sha256((hashlib.sha256(b"a").hexdigest() * 2).encode()).hexdigest()
+    assert I.flat_hash(some, 1).head()[0] == want
+
+
 def tree(counts, levels):
     nodes = [(d, f"{d}:{c}") for d, c in counts.items()]
     for digits in levels:
