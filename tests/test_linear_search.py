@@ -142,3 +142,65 @@ def test_many_rows_are_evaluated_by_their_entries(monkeypatch):
     monkeypatch.setattr(L, "_block", lambda *a: pytest.fail("rows made full"))
     found = L.in_memory(y, *rows, x.shape[1])(w, of, positive, smooth)
     assert np.allclose(found[0], value, rtol=1e-12) and np.allclose(found[1], grad, rtol=1e-9, atol=1e-9)
+
+
+def fitted(spark, some, **bound):
+    """Counts and iterations of settings fitted on 121 rows, one of them without a class."""
+    from pyspark.sql import functions as F
+
+    x, y = data(150, 12, seed=3)
+    x[5] = 0  # a row without entries
+    train, held = frame(spark, x[:120], y[:120]), frame(spark, x[120:], y[120:])
+    train = train.unionByName(train.limit(1).withColumn("code", F.lit(None).cast("int")))
+    cf, status = L.search(train, held, some, 12, **bound)
+    told = [(r["run"], r["iterations"], r["not_converged"], r["error"]) for r in status.collect()]
+    return sorted(map(tuple, cf.collect()), key=str), sorted(told)
+
+
+SOME = [L.LinearSetting(0.1, 1000, b, p) for b in (False, True) for p in ("l2", "l1")] + [L.LinearSetting(0.01, 5, False)]
+
+
+def test_rows_too_many_for_a_task_are_all_fitted(spark):
+    whole = fitted(spark, SOME)
+    assert sum(r[-1] for r in whole[0]) == 30 * len(SOME)
+    # none of the 120 is left out where a task may hold 30
+    assert fitted(spark, SOME, max_rows=30) == whole
+
+
+def test_entries_too_many_for_a_task_go_by_rows(spark, monkeypatch):
+    import os
+
+    from corpusgauge.session import shared_folder
+
+    seen, stored = [], L.stored_blocks
+    monkeypatch.setattr(L, "stored_blocks", lambda *a: seen.append(stored(*a)) or seen[-1])
+    whole, before = fitted(spark, SOME[:2]), {k: spark.conf.get(k, None) for k in L.PASSING}
+    assert not seen
+    # a few columns share a pass, blocks have 4 rows, and sums are added in tasks
+    for name, bound in (("MAX_ENTRIES", 50), ("COLUMN_BYTES", 13 * 8 * 4), ("DENSE_BYTES", 13 * 8 * 4), ("RESULT_BYTES", 0)):
+        monkeypatch.setattr(L, name, bound)
+    assert fitted(spark, SOME[:2]) == whole
+    assert len(seen) == 1 and not [p for p in os.listdir(shared_folder(spark)) if p.startswith("rows-")]
+    assert {k: spark.conf.get(k, None) for k in L.PASSING} == before
+
+
+def test_a_pass_over_stored_blocks_is_the_sum_over_the_rows(spark, monkeypatch):
+    import pyarrow as pa
+
+    from corpusgauge.session import remove
+
+    x, y = data(n=300)
+    x[7], x[:, 4] = 0, 0
+    at = [np.flatnonzero(r).tolist() for r in x]
+    arrays = list(pa.array(at, pa.list_(pa.int32()))), list(pa.array([r[i].tolist() for r, i in zip(x, at)], pa.list_(pa.float64())))
+    w = np.random.default_rng(2).normal(0, 1, (x.shape[1] + 1, 3))
+    of, positive, smooth = np.arange(3), np.array([1.0, 2.0, 0.5]), np.array([True, False, True])
+    value, grad = L.in_memory(y, *arrays, x.shape[1])(w, of, positive, smooth)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 50)
+    path = L.stored_blocks(frame(spark, x, y), x.shape[1], int((x != 0).sum()))
+    blocks = spark.read.parquet(path)
+    for bound in (0, L.RESULT_BYTES):
+        monkeypatch.setattr(L, "RESULT_BYTES", bound)
+        got = L.one_pass(blocks, blocks.rdd.getNumPartitions(), w, of, positive, smooth)
+        assert np.allclose(got[0], value, rtol=1e-12) and np.allclose(got[1], grad, rtol=1e-9, atol=1e-9)
+    remove(spark, path)
